@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lattica.llm import url_rules
+from lattica.llm import mixing, quality, url_rules
 
 QUERIES = {
     "op5_url_rules": url_rules.op5_url_rules,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 SQL = {
