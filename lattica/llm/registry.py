@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lattica.llm import mixing, quality, url_rules
+from lattica.llm import decontaminate, licenses, mixing, quality, url_rules
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_url_rules": url_rules.op5_url_rules,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_rules": quality.op10_quality_rules,
