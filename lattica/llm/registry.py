@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, licenses, mixing, quality, url_rules
+from lattica.llm import decontaminate, langid, licenses, mixing, quality, surrogates, url_rules
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
+    "op3_surrogates": surrogates.op3_surrogates,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_url_rules": url_rules.op5_url_rules,
+    "op7_language": langid.op7_language,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_rules": quality.op10_quality_rules,
 }
