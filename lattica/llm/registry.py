@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, langid, licenses, mixing, quality, surrogates, url_rules
+from lattica.llm import decontaminate, html_text, langid, licenses, mixing, quality, surrogates, url_rules
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
+    "op2_html_text": html_text.op2_html_text,
     "op3_surrogates": surrogates.op3_surrogates,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_url_rules": url_rules.op5_url_rules,
