@@ -3,9 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lattica.llm import decontaminate, mixing
-from lattica.llm.common import materialise, table
+from lattica.llm import decontaminate, jaccard, langid, mixing, surrogates
+from lattica.llm.common import held_out, materialise, table
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; the model learns from the labelled ones that are not held out."""
+    labelled = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"), 4))
+    return langid.keep_identified(docs, langid.train(labelled))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: five words, a similarity of 0.8."""
+    return jaccard.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,21 +25,33 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets are replaced by surrogates."""
+    found = surrogates.pseudonymise(docs)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How often each document is taken so that the sources have their weights."""
     return mixing.mix(docs)
 
 
 STAGES = [
+    ("language", identified),
+    ("near copies", deduplicated),
     ("decontamination", without_benchmark),
+    ("personal data", without_personal_data),
     ("mixing", mixed),
 ]
 
-#: Pairs, trained models and random rounding cannot be told in SQL; the tests hold the stages against brute force.
+#: Similarity of pairs, a trained model and random rounding cannot be told in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; between two stages the rows are written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, html_text, jaccard, langid, licenses, mixing, quality, surrogates, url_rules
+from lattica.llm import decontaminate, html_text, jaccard, langid, licenses, lm, mixing, quality, surrogates, url_rules
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_url_rules": url_rules.op5_url_rules,
     "op6_jaccard": jaccard.op6_jaccard,
     "op7_language": langid.op7_language,
+    "op8_lm": lm.op8_lm,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_rules": quality.op10_quality_rules,
 }
