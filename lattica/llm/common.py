@@ -9,13 +9,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of licence and benchmark matching on raw text (the class also takes A-Z, which callers lower-case).
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Words between ASCII white space.
-SPACE_WORD = r"[^\x20\x09-\x0D]+"
-#: ASCII white space as a set of characters.
-SPACES = " \t\n\x0b\x0c\r"
-
+#: Words of ASCII letters, digits and all that isn't ASCII, for Java: the same as [^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+, in fewer tests a character.
+ALNUM_WORD = r"[\p{Alnum}\P{ASCII}]+"
+#: Words between ASCII white space, for Java: [^\x20\x09-\x0D]+.
+SPACE_WORD = r"\S+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from lattica.llm.common import ALNUM_WORD, fresh, table
 
 K = 3
+#: The hash of the K words from place {1} on, of their hashes {0}; 64 bits, so that equal hashes are equal words.
+_GRAM = "xxhash64(" + ", ".join(f"{{0}}[{{1}} + {k}]" for k in range(K)) + ")"
 
 
 @dataclass(frozen=True)
@@ -70,18 +72,17 @@ def scan(docs: DataFrame, base: tuple[Template, ...] = BASE, templates: tuple[Te
         words = t.words.split()
         if len(words) < K:
             raise ValueError(f"a template needs {K} words: {t.words!r}")
-        grams += [(" ".join(words[p : p + K]), i, p) for p in range(len(words) - K + 1)]
-    index = spark.createDataFrame(grams, "gram string, template int, at int")  # a row for each word of the templates
-    index = index.select(F.xxhash64("gram").alias("hash"), "gram", "template", "at")
+        grams += [(words[p : p + K], i, p) for p in range(len(words) - K + 1)]
+    index = spark.createDataFrame(grams, "w array<string>, template int, at int")  # a row for each word of the templates
+    index = index.select(F.expr(_GRAM.format("transform(w, x -> xxhash64(x))", 0)).alias("hash"), "template", "at")
 
     keyed = docs.withColumn("__th", F.xxhash64("text"))
-    # on raw text, the class with A-Z cuts where the lower-cased text is cut; only the grams are lower-cased
-    words = keyed.select("doc_id", "__th", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({ALNUM_WORD})"), 1).alias("w"))
-    rolled = f"transform(sequence(0, size(w) - {K}), i -> concat_ws(' ', slice(w, i + 1, {K})))"
-    rows = words.where(F.size("w") >= K).select("doc_id", "__th", F.posexplode(F.expr(rolled)).alias("place", "raw"))
-    rows = rows.withColumn("low", F.lower("raw")).withColumn("h", F.xxhash64("low"))
-    same = (F.col("h") == F.col("hash")) & (F.col("low") == F.col("gram")) & (F.octet_length("raw") == F.octet_length("gram"))
-    hits = rows.join(F.broadcast(index), same)
+    # lower() also turns the Kelvin sign into k; no other letter outside ASCII becomes one within
+    low = F.lower(F.replace(F.coalesce("text", F.lit("")), F.lit("\u212a"), F.lit("\u00e5")))
+    words = keyed.select("doc_id", "__th", F.regexp_extract_all(low, F.lit(ALNUM_WORD), 0).alias("w")).where(F.size("w") >= K)
+    words = words.select("doc_id", "__th", F.expr("transform(w, x -> xxhash64(x))").alias("h"))
+    rows = words.select("doc_id", "__th", F.posexplode(F.expr(f"transform(sequence(0, size(h) - {K}), i -> {_GRAM.format('h', 'i')})")).alias("place", "gram"))
+    hits = rows.join(F.broadcast(index), F.col("gram") == F.col("hash"))
     votes = hits.groupBy("doc_id", "__th", "template", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("votes"))
 
     by_span = Window.partitionBy("doc_id", "__th", "template").orderBy("diagonal")
