@@ -1,15 +1,562 @@
-"""Queries over the test tables and the SQL that says the same."""
+"""Queries over the test tables, each with the SQL that says the same."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.labels import Labels, parse
+from lattica.operators import convert, foreach, linalg, shape, solvers
+from lattica.operators import reduce as R
+from lattica.plans.blocks import multiply, tile_product
+from lattica.plans.einsum import einsum
+from lattica.plans.nodes import Node
+from lattica.plans.planner import evaluate
+from lattica.sources.tables import Tables
+from lattica.tensor import SPARSE, Tensor, diagonal, fill, from_numpy, init_elements
+from lattica.tiling import TiledRange, Tiling
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+_Q = "q AS (SELECT l_suppkey AS s, l_partkey AS p, SUM(l_quantity) AS v FROM lineitem GROUP BY ALL)"
+_C = "c AS (SELECT l_suppkey AS s, l_partkey AS p, CAST(COUNT(*) AS DOUBLE) AS v FROM lineitem GROUP BY ALL)"
+_L = "l AS (SELECT l_suppkey AS s, CAST(month(l_shipdate) - 1 AS BIGINT) AS m, CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS BIGINT) AS f, l_quantity AS w FROM lineitem), lm AS (SELECT s, m, f, SUM(w) AS v FROM l GROUP BY ALL)"
+_E = "e0 AS (SELECT user_id AS u, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS BIGINT) AS t FROM events), e AS (SELECT u, t, CAST(COUNT(*) AS DOUBLE) AS v FROM e0 GROUP BY ALL)"
+_X = "x AS (SELECT vec_id AS n, CAST(k - 1 AS BIGINT) AS f, FLOOR(CAST(embedding[k] AS DOUBLE) * 1000) AS v FROM embeddings, range(1, 65) AS r(k))"
+_T = f"{_Q}, t AS (SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY s) - 1 AS BIGINT) AS n, v FROM q)"
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    def keep(f: Callable[[Tables], DataFrame]) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+def rows(t: Tensor | Node, names: str) -> DataFrame:
+    """A tensor's rows with coordinates named."""
+    if isinstance(t, Node):
+        outer, inner = parse(names)
+        t = evaluate(t, outer, inner)
+    named = names.replace(";", ",").replace(" ", "").split(",")
+    return t.df.select(*[F.col(c).alias(x) for c, x in zip(t.coordinates, named)], *t.values)
+
+
+# ---- products
+
+
+@query("contract", f"WITH {_Q} SELECT a.s AS i, b.s AS j, SUM(a.v * b.v) AS v FROM q a JOIN q b ON a.p = b.p GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    q = t.supplier_part()
+    return rows(q["i,k"] * q["j,k"], "i,j")
+
+
+@query("contract_scaled_permuted", f"WITH {_Q}, {_C} SELECT b.s AS j, a.s AS i, 2 * SUM(a.v * b.v) AS v FROM q a JOIN c b ON a.p = b.p GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return rows(2.0 * (t.supplier_part()["i,k"] * t.prices()["j,k"]), "j,i")
+
+
+@query("contract_assigned", f"WITH {_Q} SELECT a.p AS i, b.p AS j, SUM(a.v * b.v) AS v FROM q a JOIN q b ON a.s = b.s WHERE a.p < 100 AND b.p < 100 GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    q, c = t.supplier_part(), Tensor(None, TiledRange.whole((1, 1)))
+    tiles = q.trange.modes[0].tiles
+    c["i,j"] = q["k,i"].block((0, 0), (tiles, 1)) * q["k,j"].block((0, 0), (tiles, 1))
+    return rows(c, "i,j")
+
+
+@query("matvec", f"WITH {_Q} SELECT s AS i, SUM(v * (p % 7)) AS v FROM q WHERE p % 7 > 0 GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    q = t.supplier_part()
+    w = init_elements(t.spark, TiledRange((q.trange.modes[1],)), lambda k: k % 7, SPARSE)
+    w = Tensor(w.df.where("v > 0"), w.trange, SPARSE)
+    return rows(q["i,k"] * w["k"], "i")
+
+
+@query("hadamard", f"WITH {_Q}, {_C} SELECT s AS i, p AS j, a.v * b.v AS v FROM q a JOIN c b USING (s, p)")
+def _(t: Tables) -> DataFrame:
+    return rows(t.supplier_part()["i,j"] * t.prices()["i,j"], "i,j")
+
+
+@query("hadamard_permuted", f"WITH {_Q}, {_C} SELECT p AS j, s AS i, 3 * a.v * b.v AS v FROM q a JOIN c b USING (s, p)")
+def _(t: Tables) -> DataFrame:
+    c = t.prices()
+    flipped = evaluate(c["i,j"], Labels(("j", "i")))
+    return rows(3.0 * (t.supplier_part()["i,j"] * flipped["j,i"]), "j,i")
+
+
+@query("general_product", f"WITH {_L} SELECT a.s AS s, a.f AS a, b.f AS b, SUM(a.v * b.v) AS v FROM lm a JOIN lm b ON a.s = b.s AND a.m = b.m GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    x = t.supplier_month_flag()
+    return rows(x["s,m,a"] * x["s,m,b"], "s,a,b")
+
+
+@query("hadamard_reduction", f"WITH {_L} SELECT s, SUM(v * v) AS v FROM lm GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    x = t.supplier_month_flag()
+    return rows(einsum("smf,smf->s", x, x), "s")
+
+
+@query("fused_broadcast", f"WITH {_Q}, b AS (SELECT s, SUM(v) AS w FROM q GROUP BY ALL) SELECT s, p, v * w AS v FROM q JOIN b USING (s)")
+def _(t: Tables) -> DataFrame:
+    q = t.supplier_part()
+    return rows(q["s,p"] * R.reduce_modes(q["s,p"], 1)["s"], "s,p")
+
+
+@query("outer_product", f"WITH {_Q}, b AS (SELECT s, SUM(v) AS w FROM q GROUP BY ALL) SELECT a.s AS i, b.s AS j, a.w * b.w AS v FROM b a CROSS JOIN b")
+def _(t: Tables) -> DataFrame:
+    b = R.reduce_modes(t.supplier_part()["s,p"], 1)
+    return rows(b["i"] * b["j"], "i,j")
+
+
+@query("chain3", f"WITH {_Q}, g AS (SELECT a.s AS i, b.s AS j, SUM(a.v * b.v) AS v FROM q a JOIN q b ON a.p = b.p GROUP BY ALL), l AS (SELECT s, p, v FROM q WHERE p < 100) SELECT g.i, l.p AS l, SUM(g.v * l.v) AS v FROM g JOIN l ON g.j = l.s GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    q = t.supplier_part()
+    head = q["j,l"].block((0, 0), (q.trange.modes[0].tiles, 1))
+    return rows(q["i,k"] * q["j,k"] * head, "i,l")
+
+
+@query("einsum_chain", f"WITH {_Q}, {_E}, g AS (SELECT s, SUM(q.v) AS v FROM q WHERE p < 100 GROUP BY ALL), h AS (SELECT SUM(e.v * e.v) AS w FROM e) SELECT g.s AS i, SUM(g.v * w) AS v FROM g CROSS JOIN h GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    q, e = t.supplier_part(), t.user_event()
+    head = evaluate(q["i,j"].block((0, 0), (q.trange.modes[0].tiles, 1)), Labels(("i", "j")))
+    ones = fill(t.spark, TiledRange((head.trange.modes[1],)), 1.0)
+    return rows(einsum("ij,j,ab,ab->i", head, ones, e, e), "i")
+
+
+@query("label_demand", f"WITH {_X}, y AS (SELECT * FROM x WHERE n < 40 AND f < 8) SELECT a.n AS p, b.n AS q, SUM(a.v * b.v * (1 + a.f % 3)) AS v FROM y a JOIN y b ON a.f = b.f GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    x = t.embedding()
+    y = convert.retile(x, TiledRange.uniform((40, 8), 8))
+    z = init_elements(t.spark, TiledRange((y.trange.modes[1],)), lambda k: 1 + k % 3)
+    return rows(y["p,r"] * y["q,r"] * z["r"], "p,q")
+
+
+@query("gram_embeddings", f"WITH {_X} SELECT a.n AS n, b.n AS m, SUM(a.v * b.v) AS v FROM x a JOIN x b ON a.f = b.f GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    x = t.embedding()
+    return rows(tile_product(x, "n,f", x, "m,f", "n,m", 128), "n,m")
+
+
+@query("gram_embeddings_elements", f"WITH {_X}, y AS (SELECT * FROM x WHERE n < 100) SELECT a.n AS n, b.n AS m, SUM(a.v * b.v) AS v FROM y a JOIN y b ON a.f = b.f GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    x = convert.retile(t.embedding(), TiledRange.uniform((100, 64), 50))
+    return rows(multiply(x, "n,f", x, "m,f", "n,m"), "n,m")
+
+
+# ---- sums and projections
+
+
+@query("add", f"WITH {_Q}, {_C} SELECT s AS i, p AS j, a.v + b.v AS v FROM q a JOIN c b USING (s, p)")
+def _(t: Tables) -> DataFrame:
+    return rows(t.supplier_part()["i,j"] + t.prices()["i,j"], "i,j")
+
+
+@query("subtract_scaled", f"WITH {_Q}, {_C} SELECT s AS i, p AS j, 2 * a.v - 3 * b.v AS v FROM q a JOIN c b USING (s, p)")
+def _(t: Tables) -> DataFrame:
+    return rows(2.0 * t.supplier_part()["i,j"] - 3.0 * t.prices()["i,j"], "i,j")
+
+
+@query("add_disjoint_support", f"WITH {_Q} SELECT s AS i, p AS j, v FROM q WHERE p < 200")
+def _(t: Tables) -> DataFrame:
+    q = t.supplier_part()
+    n = q.trange.modes[0].tiles
+    a, b = q["i,j"].block((0, 0), (n, 1), preserve=True), q["i,j"].block((0, 1), (n, 2), preserve=True)
+    wide = convert.retile(q, TiledRange((q.trange.modes[0], Tiling.uniform(200, 100))))
+    left = Tensor(evaluate(a, Labels(("i", "j"))).df, wide.trange)
+    right = Tensor(evaluate(b, Labels(("i", "j"))).df, wide.trange)
+    return rows(left["i,j"] + right["i,j"], "i,j")
+
+
+@query("compound_assignment", f"WITH {_Q}, {_C} SELECT s AS i, p AS j, (a.v + b.v) * a.v AS v FROM q a JOIN c b USING (s, p)")
+def _(t: Tables) -> DataFrame:
+    q, c = t.supplier_part(), t.prices()
+    c["i,j"] = c["i,j"] + q["i,j"]
+    c["i,j"] = c["i,j"] * q["i,j"]
+    return rows(c, "i,j")
+
+
+@query("negate_permute", f"WITH {_Q} SELECT p AS j, s AS i, -v AS v FROM q")
+def _(t: Tables) -> DataFrame:
+    return rows(-t.supplier_part()["i,j"], "j,i")
+
+
+@query("conjugate", f"WITH {_Q}, {_C} SELECT s AS i, p AS j, 2 * a.v AS re, -2 * b.v AS im FROM q a JOIN c b USING (s, p)")
+def _(t: Tables) -> DataFrame:
+    q, c = t.supplier_part(), t.prices()
+    z = Tensor(q.df.withColumnRenamed("v", "re").join(c.df.withColumnRenamed("v", "im"), ["i0", "i1"]), q.trange)
+    return rows(2.0 * z["i,j"].conj(), "i,j")
+
+
+@query("complex_contract", f"WITH {_Q}, {_C}, z AS (SELECT s, p, a.v AS re, b.v AS im FROM q a JOIN c b USING (s, p) WHERE p < 300) SELECT a.s AS i, b.s AS j, SUM(a.re * b.re + a.im * b.im) AS re, SUM(a.im * b.re - a.re * b.im) AS im FROM z a JOIN z b ON a.p = b.p GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    q, c = t.supplier_part(), t.prices()
+    z = Tensor(q.df.withColumnRenamed("v", "re").join(c.df.withColumnRenamed("v", "im"), ["i0", "i1"]), q.trange)
+    n = q.trange.modes[0].tiles
+    last = min(3, q.trange.modes[1].tiles)
+    return rows(z["i,k"].block((0, 0), (n, last)) * z["j,k"].block((0, 0), (n, last)).conj(), "i,j")
+
+
+@query("cast", f"WITH {_Q} SELECT s AS i, p AS j, CAST(v AS BIGINT) AS v FROM q")
+def _(t: Tables) -> DataFrame:
+    return rows(t.supplier_part().cast("bigint"), "i,j")
+
+
+# ---- blocks and masks
+
+
+@query("block", f"WITH {_Q} SELECT s AS i, p - 100 AS j, v FROM q WHERE s < 10 AND p >= 100 AND p < 200")
+def _(t: Tables) -> DataFrame:
+    q = t.supplier_part()
+    q = convert.retile(q, TiledRange((Tiling.uniform(q.extents[0], 10), q.trange.modes[1])))
+    return rows(q["i,j"].block((0, 1), (1, 2)), "i,j")
+
+
+@query("block_preserved", f"WITH {_Q} SELECT s AS i, p AS j, 5 * v AS v FROM q WHERE s < 10 AND p >= 100 AND p < 200")
+def _(t: Tables) -> DataFrame:
+    q = t.supplier_part()
+    q = convert.retile(q, TiledRange((Tiling.uniform(q.extents[0], 10), q.trange.modes[1])))
+    return rows(5.0 * q["i,j"].block((0, 1), (1, 2), preserve=True), "i,j")
+
+
+@query("block_assigned", f"WITH {_Q} SELECT s AS i, p AS j, v FROM q WHERE p >= 100 UNION ALL SELECT s, p - 100, 2 * v FROM q WHERE p >= 100 AND p < 200")
+def _(t: Tables) -> DataFrame:
+    q = t.supplier_part()
+    n = q.trange.modes[0].tiles
+    source = q.clone()
+    q["i,j"].block((0, 0), (n, 1)).assign(2.0 * source["i,j"].block((0, 1), (n, 2)))
+    return rows(q, "i,j")
+
+
+@query("block_added", f"WITH {_Q} SELECT s AS i, p AS j, CASE WHEN p < 100 THEN 2 * v ELSE v END AS v FROM q")
+def _(t: Tables) -> DataFrame:
+    q = t.supplier_part()
+    n = q.trange.modes[0].tiles
+    block = q["i,j"].block((0, 0), (n, 1))
+    block += q.clone()["i,j"].block((0, 0), (n, 1))
+    return rows(q, "i,j")
+
+
+@query("masked_contract", f"WITH {_Q} SELECT a.s AS i, b.s AS j, SUM(a.v * b.v) AS v FROM q a JOIN q b ON a.p = b.p WHERE a.s < 5 AND b.s < 5 GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    q = t.supplier_part()
+    q = convert.retile(q, TiledRange((Tiling.uniform(q.extents[0], 5), q.trange.modes[1])))
+    mask = t.spark.createDataFrame([(0, 0, 1.0)], "t0 int, t1 int, norm double")
+    return rows((q["i,k"] * q["j,k"]).set_shape(mask), "i,j")
+
+
+_TILES = "CAST(floor(s / 5) AS INT) AS t0, CAST(floor(p / 100) AS INT) AS t1"
+
+
+def _cut(t: Tables) -> Tensor:
+    q = t.supplier_part()
+    return convert.retile(q, TiledRange((Tiling.uniform(q.extents[0], 5), q.trange.modes[1])))
+
+
+@query("shape_norms", f"WITH {_Q} SELECT {_TILES}, round(sqrt(SUM(v * v)) / 500, 6) AS norm FROM q GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return shape.norms(_cut(t)).select("t0", "t1", F.round("norm", 6).alias("norm"))
+
+
+@query("shape_gemm", f"WITH {_Q}, n AS (SELECT {_TILES}, sqrt(SUM(v * v)) / 500 AS norm FROM q GROUP BY ALL) SELECT a.t0 AS t0, b.t0 AS t1, round(SUM(a.norm * 100 * b.norm * 100) / 1000000, 6) AS norm FROM n a JOIN n b ON a.t1 = b.t1 GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    q = _cut(t)
+    n = shape.norms(q)
+    found = shape.gemm(n, Labels("ik"), q.trange, n, Labels("jk"), Labels("ij"))
+    return found.select("t0", "t1", F.round(F.col("norm") / 1000000, 6).alias("norm"))
+
+
+@query("shape_add_mult", f"WITH {_Q}, {_C}, n AS (SELECT {_TILES}, sqrt(SUM(v * v)) / 500 AS norm FROM q GROUP BY ALL), m AS (SELECT {_TILES}, sqrt(SUM(v * v)) / 500 AS norm FROM c GROUP BY ALL) SELECT t0, t1, round(n.norm + m.norm + n.norm * m.norm * 500, 6) AS norm FROM n JOIN m USING (t0, t1)")
+def _(t: Tables) -> DataFrame:
+    q = _cut(t)
+    a, b = shape.norms(q), shape.norms(Tensor(t.prices().df, q.trange))
+    found = shape.add(shape.add(a, b), shape.mult(a, b, q.trange))
+    return found.select("t0", "t1", F.round("norm", 6).alias("norm"))
+
+
+@query("truncate", f"WITH {_Q}, n AS (SELECT *, floor(s / 5) AS t0, floor(p / 100) AS t1 FROM q), k AS (SELECT t0, t1 FROM n GROUP BY ALL HAVING sqrt(SUM(v * v)) / 500 >= 0.6) SELECT s AS i, p AS j, v FROM n JOIN k USING (t0, t1)")
+def _(t: Tables) -> DataFrame:
+    return rows(convert.truncate(_cut(t), 0.6), "i,j")
+
+
+@query("to_dense", f"WITH {_E} SELECT a.u AS u, b.t AS t, COALESCE(e.v, 0) AS v FROM range(0, (SELECT max(user_id) + 1 FROM events)) a(u) CROSS JOIN (SELECT DISTINCT t FROM e) b LEFT JOIN e ON e.u = a.u AND e.t = b.t")
+def _(t: Tables) -> DataFrame:
+    return rows(convert.to_dense(t.user_event()), "u,t")
+
+
+@query("to_sparse", f"WITH {_E}, k AS (SELECT floor(u / 50) AS b FROM e GROUP BY ALL) SELECT a.u AS u, b.t AS t, COALESCE(e.v, 0) AS v FROM range(0, (SELECT max(user_id) + 1 FROM events)) a(u) CROSS JOIN (SELECT DISTINCT t FROM e) b LEFT JOIN e ON e.u = a.u AND e.t = b.t WHERE floor(a.u / 50) IN (SELECT b FROM k)")
+def _(t: Tables) -> DataFrame:
+    return rows(convert.to_sparse(convert.to_dense(t.user_event())), "u,t")
+
+
+# ---- reductions
+
+
+def _one(name: str, sql: str, build: Callable[[Tables], DataFrame]) -> None:
+    query(name, sql)(build)
+
+
+_one("sum", f"WITH {_Q} SELECT SUM(v) AS value FROM q", lambda t: R.reduction("sum", t.supplier_part()["i,j"]))
+_one("squared_norm", f"WITH {_Q} SELECT SUM(v * v) AS value FROM q", lambda t: R.reduction("squared_norm", t.supplier_part()["i,j"]))
+_one("norm", f"WITH {_Q} SELECT round(sqrt(SUM(v * v)), 6) AS value FROM q", lambda t: R.reduction("norm", t.supplier_part()["i,j"]).select(F.round("value", 6).alias("value")))
+_one("abs_max", f"WITH {_Q} SELECT MAX(abs(v)) AS value FROM q", lambda t: R.reduction("abs_max", -t.supplier_part()["i,j"]))
+_one("max", f"WITH {_Q} SELECT MAX(v) AS value FROM q", lambda t: R.reduction("max", t.supplier_part()["i,j"]))
+_one("min", f"WITH {_X} SELECT MIN(v) AS value FROM x", lambda t: R.reduction("min", t.embedding()["i,j"]))
+_one("abs_min", f"WITH {_X} SELECT MIN(abs(v)) AS value FROM x", lambda t: R.reduction("abs_min", t.embedding()["i,j"]))
+_one("trace", f"WITH {_Q} SELECT COALESCE(SUM(v), 0) AS value FROM q WHERE s = p", lambda t: R.reduction("trace", t.supplier_part()["i,j"]))
+_one("volume", f"WITH {_Q} SELECT COUNT(*) AS value FROM q", lambda t: R.reduction("volume", t.supplier_part()["i,j"]))
+_one("dot", f"WITH {_Q}, {_C} SELECT SUM(a.v * b.v) AS value FROM q a JOIN c b USING (s, p)", lambda t: R.dot_frame(t.supplier_part()["i,j"], t.prices()["i,j"]))
+_one("ternary_dot", f"WITH {_L}, y AS (SELECT * FROM lm WHERE s < 10) SELECT SUM(a.v * b.v * c.v) AS value FROM y a JOIN y b ON a.s = b.s AND a.f = b.f JOIN y c ON c.s = a.s AND c.m = b.m AND c.f = a.f AND c.m = a.m", lambda t: _ternary(t))
+
+
+def _ternary(t: Tables) -> DataFrame:
+    x = t.supplier_month_flag()
+    y = convert.retile(x, TiledRange((Tiling.whole(min(10, x.extents[0])), *x.trange.modes[1:])))
+    return R.ternary_dot("smf,smf,smf", y, y, y)
+
+
+@query("product_small", f"WITH {_E} SELECT round(ln(exp(SUM(ln(v)))), 6) AS value FROM e WHERE u = 0")
+def _(t: Tables) -> DataFrame:
+    e = t.user_event()
+    first = Tensor(e.df.where("i0 = 0"), TiledRange((Tiling.whole(1), e.trange.modes[1])))
+    return R.reduction("product", first["u,t"]).select(F.round(F.log("value"), 6).alias("value"))
+
+
+@query("inner_product_complex", f"WITH {_Q}, {_C} SELECT SUM(a.v * a.v + b.v * b.v) AS re, CAST(0 AS DOUBLE) AS im FROM q a JOIN c b USING (s, p)")
+def _(t: Tables) -> DataFrame:
+    q, c = t.supplier_part(), t.prices()
+    z = Tensor(q.df.withColumnRenamed("v", "re").join(c.df.withColumnRenamed("v", "im"), ["i0", "i1"]), q.trange)
+    return R.dot_frame(z["i,j"], z["i,j"], conjugate=True)
+
+
+@query("custom_reduction", f"WITH {_Q} SELECT MAX(v) AS value FROM q")
+def _(t: Tables) -> DataFrame:
+    return R.custom(t.supplier_part()["i,j"], F.lit(0.0), lambda a, b: F.greatest(a, b))
+
+
+@query("reduce_modes", f"WITH {_L} SELECT s, m, SUM(v) AS v FROM lm GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return rows(R.reduce_modes(t.supplier_month_flag()["s,m,f"], 1), "s,m")
+
+
+# ---- ranges
+
+
+@query("retile", f"WITH {_Q} SELECT s AS i, p AS j, v FROM q WHERE s < 7 AND p < 333")
+def _(t: Tables) -> DataFrame:
+    return rows(convert.retile(t.supplier_part(), TiledRange((Tiling((0, 3, 7)), Tiling((0, 10, 333))))), "i,j")
+
+
+@query("concat_rows", f"WITH {_Q}, {_C} SELECT s AS i, p AS j, v FROM q UNION ALL SELECT s + (SELECT max(s_suppkey) + 1 FROM supplier), p, v FROM c")
+def _(t: Tables) -> DataFrame:
+    return rows(convert.concat([t.supplier_part(), t.prices()], [0]), "i,j")
+
+
+@query("concat_both", f"WITH {_Q}, {_C} SELECT s AS i, p AS j, v FROM q UNION ALL SELECT s + (SELECT max(s_suppkey) + 1 FROM supplier), p + (SELECT max(p_partkey) + 1 FROM part), v FROM c")
+def _(t: Tables) -> DataFrame:
+    return rows(convert.concat([t.supplier_part(), t.prices()], [0, 1]), "i,j")
+
+
+@query("stack", f"WITH {_Q}, {_C} SELECT CAST(0 AS BIGINT) AS k, s AS i, p AS j, v FROM q UNION ALL SELECT CAST(1 AS BIGINT), s, p, v FROM c")
+def _(t: Tables) -> DataFrame:
+    return rows(convert.stack([t.supplier_part(), t.prices()]), "k,i,j")
+
+
+@query("split", f"WITH {_C} SELECT s AS i, p AS j, v FROM c")
+def _(t: Tables) -> DataFrame:
+    return rows(convert.split(convert.stack([t.supplier_part(), t.prices()]), 1), "i,j")
+
+
+@query("shift", f"WITH {_Q} SELECT s + 3 AS i, p - 2 AS j, v FROM q")
+def _(t: Tables) -> DataFrame:
+    return rows(convert.shift(t.supplier_part(), (3, -2)), "i,j")
+
+
+@query("replicate", f"WITH {_E} SELECT r.k AS k, u, t, v FROM range(0, 3) r(k) CROSS JOIN e")
+def _(t: Tables) -> DataFrame:
+    return rows(convert.replicate(t.user_event(), (3,)), "k,u,t")
+
+
+@query("delta_slice", f"WITH {_Q} SELECT p AS j, v FROM q WHERE s = 3")
+def _(t: Tables) -> DataFrame:
+    return rows(convert.delta_select(t.supplier_part(), 0, 3), "j")
+
+
+@query("diagonal", "SELECT s_suppkey AS i, s_suppkey AS j, CAST(2 AS DOUBLE) AS v FROM supplier")
+def _(t: Tables) -> DataFrame:
+    n = t.extent("supplier", "s_suppkey")
+    return rows(diagonal(t.spark, TiledRange.uniform((n, n), 25), 2.0), "i,j")
+
+
+@query("fill", "SELECT a.k AS i, b.k AS j, CAST(1.5 AS DOUBLE) AS v FROM range(0, 28) a(k) CROSS JOIN range(0, 11) b(k)")
+def _(t: Tables) -> DataFrame:
+    return rows(fill(t.spark, TiledRange((Tiling((0, 2, 5, 10, 17, 28)), Tiling.uniform(11, 3))), 1.5), "i,j")
+
+
+@query("save_load", f"WITH {_Q} SELECT s AS i, p AS j, v FROM q WHERE s < 5")
+def _(t: Tables) -> DataFrame:
+    from lattica.sources.shared import settled
+
+    q = t.supplier_part()
+    kept = Tensor(settled(q.df.sortWithinPartitions("i0", "i1")), q.trange, q.policy)
+    return rows(Tensor(kept.df.where("i0 < 5"), kept.trange), "i,j")
+
+
+# ---- functions of one's own
+
+
+@query("foreach", f"WITH {_Q} SELECT s AS i, p AS j, floor(v / 2) AS v FROM q")
+def _(t: Tables) -> DataFrame:
+    return rows(foreach.map_elements(t.supplier_part(), lambda v: F.floor(v / 2)), "i,j")
+
+
+@query("foreach_intersect", f"WITH {_Q}, {_C} SELECT s AS i, p AS j, greatest(a.v, 2 * b.v) AS v FROM (SELECT * FROM q WHERE p < 500) a JOIN c b USING (s, p)")
+def _(t: Tables) -> DataFrame:
+    q = t.supplier_part()
+    a = Tensor(q.df.where("i1 < 500"), q.trange)
+    return rows(foreach.zip_elements(a, t.prices(), lambda v, w: F.greatest(v, 2 * w)), "i,j")
+
+
+@query("foreach_union", f"WITH {_Q}, {_C} SELECT COALESCE(a.s, b.s) AS i, COALESCE(a.p, b.p) AS j, COALESCE(a.v, 0) - COALESCE(b.v, 0) AS v FROM (SELECT * FROM q WHERE p < 500) a FULL JOIN c b ON a.s = b.s AND a.p = b.p")
+def _(t: Tables) -> DataFrame:
+    q = t.supplier_part()
+    a = Tensor(q.df.where("i1 < 500"), q.trange)
+    return rows(foreach.zip_elements(a, t.prices(), lambda v, w: v - w, foreach.UNION), "i,j")
+
+
+@query("foreach_tiles", f"WITH {_X}, m AS (SELECT floor(n / 125) AS b, MAX(v) AS top FROM x GROUP BY ALL) SELECT n AS i, f AS j, top - v AS v FROM x JOIN m ON floor(x.n / 125) = m.b")
+def _(t: Tables) -> DataFrame:
+    return rows(foreach.map_tiles(t.embedding(), lambda tile, _: tile.max() - tile), "i,j")
+
+
+# ---- tensors of tensors
+
+
+@query("nested_hadamard", f"WITH {_T} SELECT p, n, v * v AS v FROM t")
+def _(t: Tables) -> DataFrame:
+    x = t.part_suppliers()
+    return rows(x["p;n"] * x["p;n"], "p;n")
+
+
+@query("nested_outer", f"WITH {_T} SELECT a.p AS p, a.n AS m, b.n AS n, a.v * b.v AS v FROM t a JOIN t b ON a.p = b.p WHERE a.p < 50")
+def _(t: Tables) -> DataFrame:
+    x = t.part_suppliers()
+    head = Tensor(x.df.where("i0 < 50"), TiledRange((Tiling.whole(50),)), SPARSE, 1)
+    return rows(head["p;m"] * head["p;n"], "p;m,n")
+
+
+@query("nested_contract", f"WITH {_T} SELECT a.n AS m, SUM(a.v * b.v) AS v FROM t a JOIN t b ON a.p = b.p AND a.n = b.n GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    # the outer label is contracted, the inner one stays: cells of different lengths meet
+    x = t.part_suppliers()
+    found = Tensor(x.df, x.trange, SPARSE, 1)["p;m"] * Tensor(x.df, x.trange, SPARSE, 1)["p;m"]
+    return _inner_only(found)
+
+
+def _inner_only(node: Node) -> DataFrame:
+    from lattica.plans.planner import plan
+
+    p = plan(node, Labels(), Labels(("m",))).settled()
+    return p.df.select("m", "v")
+
+
+@query("tensor_times_nested", f"WITH {_T} SELECT p, n, v * (1 + p % 5) AS v FROM t")
+def _(t: Tables) -> DataFrame:
+    x = t.part_suppliers()
+    w = init_elements(t.spark, x.trange, lambda p: 1 + p % 5, SPARSE)
+    return rows(w["p"] * x["p;n"], "p;n")
+
+
+@query("dot_inner", f"WITH {_T} SELECT p, SUM(v * v) AS v FROM t GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    x = t.part_suppliers()
+    return rows(x["p;n"].dot_inner(x["p;n"]), "p")
+
+
+@query("einsum_denest", f"WITH {_T} SELECT a.p AS p, b.p AS q, SUM(a.v * b.v) AS v FROM t a JOIN t b ON a.n = b.n WHERE a.p < 40 AND b.p < 40 GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    x = t.part_suppliers()
+    head = Tensor(x.df.where("i0 < 40"), TiledRange((Tiling.whole(40),)), SPARSE, 1)
+    return rows(einsum(head["p;n"], head["q;n"], "p,q", denest=True), "p,q")
+
+
+# ---- linear algebra: residuals of small systems, rounded
+
+
+def _spd(t: Tables) -> Tensor:
+    """A positive definite matrix of whole numbers: the Gram matrix of flags and months plus a diagonal."""
+    x = t.supplier_month_flag()
+    y = R.reduce_modes(evaluate(x["s,m,f"], Labels(("m", "f", "s")))["m,f,s"], 1)
+    g = evaluate(y["m,f"] * y["n,f"], Labels(("m", "n")))
+    return evaluate(g["m,n"] + diagonal(t.spark, g.trange, 1e6)["m,n"], Labels(("m", "n")))
+
+
+def _residual(t: Tables, name: str, value: float) -> DataFrame:
+    return t.spark.createDataFrame([(name, round(abs(value), 6))], "name string, residual double")
+
+
+def _linear(name: str, residual: Callable[[Tables], float]) -> None:
+    query(name, f"SELECT '{name}' AS name, CAST(0 AS DOUBLE) AS residual")(lambda t: _residual(t, name, residual(t)))
+
+
+def _cholesky(t: Tables) -> float:
+    a = _spd(t)
+    low = linalg.cholesky(a).to_numpy()
+    m = a.to_numpy()
+    return float(np.abs(low @ low.T - m).max() / np.abs(m).max())
+
+
+def _heig(t: Tables) -> float:
+    a = _spd(t)
+    values, vectors = linalg.heig(a)
+    m, v = a.to_numpy(), vectors.to_numpy()
+    return float(np.abs(m @ v - v * values).max() / np.abs(m).max())
+
+
+def _svd(t: Tables) -> float:
+    a = _spd(t)
+    s, u, vh = linalg.svd(a)
+    m = a.to_numpy()
+    return float(np.abs(u.to_numpy() * s @ vh.to_numpy() - m).max() / np.abs(m).max())
+
+
+def _lu(t: Tables) -> float:
+    a = _spd(t)
+    return float(np.abs(linalg.lu_inv(a).to_numpy() @ a.to_numpy() - np.eye(a.extents[0])).max())
+
+
+def _qr(t: Tables) -> float:
+    x = t.embedding()
+    q, r = linalg.cholesky_qr(x)
+    return float(np.abs(q.to_numpy() @ r.to_numpy() - x.to_numpy()).max() / 1000)
+
+
+def _solve(t: Tables) -> float:
+    a = _spd(t)
+    b = from_numpy(t.spark, np.ones((a.extents[0], 1)))
+    x = linalg.cholesky_solve(a, b)
+    return float(np.abs(a.to_numpy() @ x.to_numpy() - 1).max())
+
+
+def _cg(t: Tables) -> float:
+    a = from_numpy(t.spark, np.array([[1.0, 2, 3], [2, 5, 8], [3, 8, 15]]))
+    b, ones = from_numpy(t.spark, np.array([1.0, 4, 0])), from_numpy(t.spark, np.ones(3))
+    x = solvers.conjugate_gradient(lambda v: evaluate(a["i,j"] * v["j"], Labels(("i",))), b, from_numpy(t.spark, np.zeros(3)), ones, 1e-11)
+    return float(np.abs(x.to_numpy() - [-6.5, 9, -3.5]).max())
+
 
-def contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).agg(F.sum("l_quantity").alias("v"))
-    return q.alias("a").join(q.alias("b"), "p").groupBy(F.col("a.s").alias("i"), F.col("b.s").alias("j")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("v"))
+def _cp(t: Tables) -> float:
+    ones = fill(t.spark, TiledRange.uniform((11, 7, 15), 4), 1.0)
+    cp = solvers.Cp(ones)
+    cp.compute_rank(1)
+    return float(np.abs(cp.reconstruct().to_numpy() - 1).max())
 
 
-QUERIES = {"contract": contract}
-SQL = {"contract": "WITH q AS (SELECT l_suppkey AS s, l_partkey AS p, SUM(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT a.s AS i, b.s AS j, SUM(a.v*b.v) AS v FROM q a JOIN q b ON a.p=b.p GROUP BY ALL"}
+for _name, _f in {"cholesky": _cholesky, "heig": _heig, "svd": _svd, "lu_inv": _lu, "cholesky_qr": _qr, "cholesky_solve": _solve, "conjugate_gradient": _cg, "cp_als": _cp}.items():
+    _linear(_name, _f)
