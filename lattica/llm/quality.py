@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import SPACE_WORD, SPACES, fresh, table
+from lattica.llm.common import SPACE_WORD, fresh, materialise, table
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -32,18 +32,18 @@ def text_features(df: DataFrame, text: str = "text") -> DataFrame:
     df = fresh(df, *FEATURES)
     keep = df.columns
     t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("__t", t).withColumn("__w", F.regexp_extract_all("__t", F.lit(f"({SPACE_WORD})"), 1))
+    df = df.withColumn("__t", t).withColumn("__w", F.regexp_extract_all("__t", F.lit(SPACE_WORD), 0))
     df = df.withColumn("__n", F.size("__w"))
     windows = "CASE WHEN __n >= 4 THEN array_sort(transform(sequence(0, __n - 3), i -> struct(xxhash64(__w[i], __w[i + 1], __w[i + 2]) AS h, i AS p))) ELSE cast(array() AS array<struct<h:bigint,p:int>>) END"
     df = df.withColumn("__s", F.expr(windows))
     twice = "filter(transform(__s, (x, i) -> CASE WHEN (i > 0 AND __s[i - 1].h = x.h) OR (i + 1 < size(__s) AND __s[i + 1].h = x.h) THEN x.p ELSE -1 END), p -> p >= 0)"
     df = df.withColumn("__d", F.expr(f"CASE WHEN size(__s) > 1 THEN {twice} ELSE cast(array() AS array<int>) END"))
-    df = df.withColumn("__l", F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    df = df.withColumn("__l", F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"\S")))
     return df.select(
         *keep,
         F.col("__n").cast("bigint").alias("n_words"),
-        F.length(F.translate("__t", SPACES, "")).cast("bigint").alias("word_chars"),
-        (F.length("__t") - F.length(F.translate("__t", "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
+        F.length(F.regexp_replace("__t", r"\s+", "")).cast("bigint").alias("word_chars"),
+        (F.length("__t") - F.length(F.regexp_replace("__t", "[#*$%&|<>]+", ""))).cast("bigint").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("bigint").alias("n_dup_lines"),
         F.expr("CAST(size(array_distinct(flatten(transform(__d, p -> array(p, p + 1, p + 2))))) AS BIGINT)").alias("n_repeat_words"),
     )
@@ -144,7 +144,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", max
     Null texts have no words and fail the base. Rows with equal or null ids are judged each by
     itself; a null id has no label. No labels, or an empty table, leave the base rules alone.
     """
-    features = text_features(docs).drop("text")
+    features = materialise(text_features(docs).drop("text"), "features")  # read twice: to learn, to judge
     return apply_cutoffs(features, learn_cutoffs(features, labels, stratum, max_false, confidence, rules), stratum, rules)
 
 
