@@ -6,7 +6,7 @@ similarity is at least the threshold; classes are the connected components of th
 1. Equal sets are one class member from the start, so that copies cost one row.
 2. Sets that may reach the threshold share one of their rarest n-grams (the prefix rule: the first
    ``n - ceil(t * n) + 1`` of n-grams in one order of all). The order puts n-grams first whose slot in
-   a fixed-size table of counts is emptier, so that passages which many documents share come last.
+   a table of counts of bounded size is emptier, so that passages which many documents share come last.
    These shared n-grams deal the documents out to blocks; no pair is formed yet.
 3. In a block, n-grams are hashed into groups and the counts of the groups are points in an R-tree.
    The overlap of a set with all sets below a tree node is at most the sum of the smaller
@@ -19,13 +19,14 @@ similarity is at least the threshold; classes are the connected components of th
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import materialise, table
@@ -35,14 +36,16 @@ from lattica.llm.components import components
 BLOCK_GRAMS = 4_000_000
 #: Small blocks share tasks of about so many n-grams.
 TASK_GRAMS = 1_500_000
+#: The most sets of a run (one n-gram's) that a task holds; hotter n-grams are split into pairs of parts.
+RUN_SETS = 20_000
 #: Candidates' ids are broadcast up to this count (32 bytes each).
 BROADCAST_IDS = 1_000_000
-#: Slots of the table of counts (a byte each when broadcast).
-MIN_SLOTS, MAX_SLOTS = 1 << 18, 1 << 24
-_SLOT_BLOCK = 1 << 12
+#: Slots of the table of counts (two bytes each when broadcast).
+SLOTS_PER_DOC, MIN_SLOTS, MAX_SLOTS = 16, 1 << 18, 1 << 24
+_SLOT_BLOCK = 1 << 14
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
-_CACHE = 500_000
+_CACHE = 150_000
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -82,35 +85,118 @@ def _key(grams: np.ndarray) -> int:
 
 
 def _rarity(docs: DataFrame, n: int, slots: int) -> np.ndarray:
-    """How full the slot of an n-gram is, as a rounded logarithm: a table of fixed size, counted over all documents."""
+    """How full the slot of an n-gram is: a table of fixed size, counted over all documents.
+
+    Differences well below the chance scatter of the counts are rounded away, so that two bytes do.
+    """
     shift = np.uint64(64 - slots.bit_length() + 1)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, total = Shingler(n), np.zeros(slots, np.int64)
+        grams, total = Shingler(n), np.zeros(slots, np.int32)
         for pdf in batches:
-            sets = [grams(t) for t in pdf["text"]]
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=slots)
-        rows = [(b, c.astype(np.int32).tobytes()) for b, c in enumerate(total.reshape(-1, min(slots, _SLOT_BLOCK))) if c.any()]
+            for text in pdf["text"]:
+                np.add.at(total, (grams(text) >> shift).astype(np.intp), np.int32(1))
+        rows = [(b, zlib.compress(c.tobytes(), 1)) for b, c in enumerate(total.reshape(-1, _SLOT_BLOCK)) if c.any()]
         yield pd.DataFrame(rows, columns=["block", "counts"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, np.int32).astype(np.int64) for c in pdf["counts"])
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "level": [np.floor(2 * np.log2(total + 1)).astype(np.uint8).tobytes()]})
+        total = sum(np.frombuffer(zlib.decompress(c), np.int32).astype(np.int64) for c in pdf["counts"])
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    counts = np.zeros(slots, np.int64)
+    for r in docs.select("text").mapInPandas(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect():
+        counts[r.block * _SLOT_BLOCK : (r.block + 1) * _SLOT_BLOCK] = np.frombuffer(zlib.decompress(r.counts), np.int64)
+    scatter = math.sqrt(max(1.0, float(counts.mean())))
+    return np.minimum(counts >> max(0, int(math.log2(scatter / 4)) if scatter > 4 else 0), 65535).astype(np.uint16)
+
+
+def _vector(grams: np.ndarray) -> bytes:
+    """Counts of groups of n-grams, a byte each; from 8 groups on, about one for four to eight n-grams."""
+    groups = 1 << max(3, (len(grams) // 8).bit_length())
+    while True:
+        counts = np.bincount((grams & np.uint64(groups - 1)).astype(np.intp), minlength=groups)
+        if counts.max() < 256:
+            return counts.astype(np.uint8).tobytes()
+        groups *= 2
+
 
-    out = np.zeros(slots, np.uint8)
-    for r in docs.select("text").mapInPandas(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, level binary").collect():
-        size = len(r.level)
-        out[r.block * size : (r.block + 1) * size] = np.frombuffer(r.level, np.uint8)
+def _folded(vector: bytes, groups: int) -> np.ndarray:
+    """Fewer groups: those with the same last bits are added up."""
+    return np.frombuffer(vector, np.uint8).reshape(-1, groups).sum(axis=0, dtype=np.int32)
+
+
+def _bounded_links(keys: np.ndarray, sizes: np.ndarray, vectors: list[bytes], parts: np.ndarray, t: float) -> list[tuple[int, int]]:
+    """Pairs that connect all pairs which the summed coordinate minima allow to be similar.
+
+    Each row is held against the rows that are not reached yet, so that a group of near copies costs
+    one pass. Sizes of allowed pairs differ by less than a factor of two, so rows are taken by their
+    number of groups together with those that have twice as many.
+    """
+    out: list[tuple[int, int]] = []
+    widths = np.array([len(v) for v in vectors])
+    need = t / (1 + t)
+    for groups in np.unique(widths).tolist():
+        rows = np.flatnonzero((widths >= groups) & (sizes <= sizes[widths == groups].max() / t + 1e-9))
+        if len(rows) < 2:
+            continue
+        points, size, part = np.stack([_folded(vectors[r], groups) for r in rows]), sizes[rows], parts[rows]
+        crossed = len(np.unique(part)) > 1
+        left = np.arange(len(rows))
+        while len(left):
+            front, left = [int(left[0])], left[1:]
+            while front and len(left):
+                i = front.pop()
+                fit = np.minimum(points[left], points[i]).sum(axis=1) >= need * (size[left] + size[i]) - 1e-9
+                fit &= (size[left] >= t * size[i] - 1e-9) & (size[left] <= size[i] / t + 1e-9)
+                if crossed:
+                    fit &= part[left] != part[i]
+                hits = left[fit]
+                out += [(int(keys[rows[i]]), int(keys[rows[j]])) for j in hits]
+                front += hits.tolist()
+                left = left[~fit]
     return out
 
 
+def _runs(t: float):
+    """From rows sorted by gram (and part pair), links of each run of equal ones; a run is held whole, and hot ones come in parts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, seen = None, set()
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            marks = pdf[["gram", "i", "j"]].to_numpy()
+            last = (marks == marks[-1]).all(axis=1)
+            rest = pdf[last]
+            yield _linked(pdf[~last], t, seen)
+        if rest is not None:
+            yield _linked(rest, t, seen)
+
+    return run
+
+
+def _linked(pdf: pd.DataFrame, t: float, seen: set[int]) -> pd.DataFrame:
+    out: list[tuple[int, int]] = []
+    if len(pdf):
+        marks = pdf[["gram", "i", "j"]].to_numpy()
+        starts = np.concatenate(([0], np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1, [len(pdf)]))
+        keys, sizes, parts, vectors = pdf["key"].to_numpy(), pdf["n"].to_numpy(), pdf["part"].to_numpy(), pdf["vector"].tolist()
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            if b - a > 1:
+                # copies of a passage or a text share many n-grams: the same rows are not held against each other again
+                same = hash((keys[a:b].tobytes(), parts[a:b].tobytes()))
+                if same not in seen:
+                    if len(seen) < _CACHE:
+                        seen.add(same)
+                    out += _bounded_links(keys[a:b], sizes[a:b], vectors[a:b], parts[a:b], t)
+    return pd.DataFrame(sorted(set(out)), columns=["u", "v"]).astype("int64")
+
+
 def _prefixes(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """doc_id, n, key (of the set; null if empty) and prefix: the n-grams by which the set is dealt out."""
+    """doc_id, n, key (of the set; null if empty), prefix (the n-grams by which the set is dealt out) and vector (counts of groups)."""
     spark = docs.sparkSession
-    wanted = max(1, docs.count()) * 4
+    wanted = max(1, docs.count()) * SLOTS_PER_DOC
     slots = min(MAX_SLOTS, max(MIN_SLOTS, 1 << wanted.bit_length()))
-    levels = spark.sparkContext.broadcast(_rarity(docs, n, slots))  # MAX_SLOTS bytes at most
+    levels = spark.sparkContext.broadcast(_rarity(docs, n, slots))  # 2 * MAX_SLOTS bytes at most
     shift = np.uint64(64 - slots.bit_length() + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,16 +206,17 @@ def _prefixes(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 g = grams(text)
                 if not len(g):
-                    rows.append((doc, 0, None, []))
+                    rows.append((doc, 0, None, [], b""))
                     continue
+                vector = _vector(g)
                 order = np.argsort(level[(g >> shift).astype(np.int64)], kind="stable")
                 size = len(g) - math.ceil(t * len(g)) + 1
-                rows.append((doc, len(g), _key(g), g[order[:size]].view(np.int64)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "key", "prefix"])
+                rows.append((doc, len(g), _key(g), g[order[:size]].view(np.int64), vector))
+            out = pd.DataFrame(rows, columns=["doc_id", "n", "key", "prefix", "vector"])
             out["doc_id"], out["key"] = out["doc_id"].astype("Int64"), out["key"].astype("Int64")
             yield out
 
-    return materialise(docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, "doc_id bigint, n bigint, key bigint, prefix array<bigint>"), "prefixes")
+    return materialise(docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, "doc_id bigint, n bigint, key bigint, prefix array<bigint>, vector binary"), "prefixes")
 
 
 class CountTree:
@@ -220,6 +307,13 @@ def _links(t: Fraction):
     return run
 
 
+def _in_parts(rows: DataFrame, parts: Column) -> DataFrame:
+    """Adds parts, part, i and j: rows of a group in several parts are repeated so that part p meets each part q in group (min, max)."""
+    rows = rows.withColumn("parts", parts.cast("int")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumn("i", F.least("part", "q")).withColumn("j", F.greatest("part", "q"))
+
+
 def classes(docs: DataFrame, n: int = 5, threshold: Fraction | str = Fraction(4, 5)) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -230,21 +324,20 @@ def classes(docs: DataFrame, n: int = 5, threshold: Fraction | str = Fraction(4,
     """
     t = Fraction(threshold)
     base = _prefixes(docs, n, t)
-    sets = base.where("key IS NOT NULL").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
+    sets = base.where("key IS NOT NULL").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("vector").alias("vector"))
     sets = materialise(sets, "sets")
     dealt = sets.select("key", F.explode("prefix").alias("gram"))
-    shared = dealt.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("gram", "low")
-    near = dealt.join(shared, "gram").where("key <> low").select(F.col("key").alias("u"), F.col("low").alias("v"))
-    blocks = components(near)
+    shared = dealt.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("sets")).where("low <> high")
+    live = dealt.join(shared.select("gram", "sets"), "gram").join(sets.select("key", "n", "vector"), "key")
+    live = _in_parts(live, F.ceil(F.col("sets") / RUN_SETS))
+    runs = live.select("gram", "i", "j", "part", "key", "n", "vector").repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "key")
+    blocks = components(runs.mapInPandas(_runs(float(t)), "u bigint, v bigint"))
 
     members = materialise(sets.where("rep IS NOT NULL").join(blocks, sets.key == blocks.node).select("root", "key", "rep", "n"), "members")
     sums = members.groupBy("root").agg(F.sum("n").alias("grams"))
     total = members.agg(F.sum("n").alias("n"), F.count("*").alias("docs")).collect()[0]
     tasks = max(1, math.ceil((total.n or 0) / TASK_GRAMS))
-    dealt_out = members.join(sums, "root").withColumn("parts", F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    # part p meets every other part q in block (min, max), and itself in block (p, p)
-    meet = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt_out = dealt_out.withColumn("q", meet).withColumn("i", F.least("part", "q")).withColumn("j", F.greatest("part", "q"))
+    dealt_out = _in_parts(members.join(sums, "root"), F.ceil(F.col("grams") / BLOCK_GRAMS))
     task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", "i", "j"))
     dealt_out = dealt_out.select("rep", "key", "root", "i", "j", "part", task.alias("task"))
     ids = members.select("rep", F.col("key").alias("rep_key"))
