@@ -14,7 +14,13 @@ ALNUM_WORD = r"[\p{Alnum}\P{ASCII}]+"
 #: Words between ASCII white space, for Java: [^\x20\x09-\x0D]+.
 SPACE_WORD = r"\S+"
 
+#: Rows of a batch that Python workers get at once; texts may be long.
+BATCH_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -215,6 +215,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf = pdf[~(pdf["n_hit"] > max_cover * pdf["n_words"])].reset_index(drop=True)
+            if not len(pdf):
+                continue
             pdf["text"] = [cut(t, [(int(s["start"]), int(s["stop"])) for s in spans]) if len(spans) else t for t, spans in zip(pdf["text"], pdf["spans"])]
             if "n_chars" in pdf:
                 pdf["n_chars"] = [n if t is None or not len(s) else len(t) for n, t, s in zip(pdf["n_chars"], pdf["text"], pdf["spans"])]

@@ -191,6 +191,7 @@ class Page:
         """The blocks within these elements, in page order, by one newline."""
         inside = [False] * len(self.tags)
         chosen = set(roots)
+        inside[0] = 0 in chosen
         for n in range(1, len(self.tags)):
             inside[n] = n in chosen or inside[self.parents[n]]
         return "\n".join(text for owner, text, _ in self.blocks if inside[owner])
@@ -211,7 +212,8 @@ def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for path, s in {page.paths[n]: s for n, s in sorted(found.items(), key=lambda x: x[1])}.items():
                     if 2 * s >= top > 0:
                         rows[host, path] = rows.get((host, path), 0) + int(1000 * s / top)
-        yield pd.DataFrame([(h, p, v) for (h, p), v in rows.items()], columns=["__host", "path", "votes"])
+        if rows:
+            yield pd.DataFrame([(h, p, v) for (h, p), v in rows.items()], columns=["__host", "path", "votes"])
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ MAX_GRAM = 4
 #: Texts of which the model is less sure are rejected in pipelines; few clean texts come near it.
 MIN_SCORE = 0.3
 
-_CACHE = 200_000
+_CACHE = 100_000
 
 
 def words_of(text: str) -> list[str]:
@@ -121,7 +121,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
                     for x in grams_of(w[:64]):
                         g[x] = g.get(x, 0) + c
                 rows = [(lang, 0, w, c) for w, c in n.items()] + [(lang, len(x), x, c) for x, c in g.items()]
-                yield pd.DataFrame(rows, columns=["lang", "kind", "key", "n"])
+                if rows:
+                    yield pd.DataFrame(rows, columns=["lang", "kind", "key", "n"])
 
     counts = sample.mapInPandas(count, "lang string, kind int, key string, n bigint").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).where("n > 1")
     # the least count that keeps the wanted number of keys, by a histogram of counts: no key is ranked in one task

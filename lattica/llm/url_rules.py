@@ -122,7 +122,8 @@ def judge_urls(df: DataFrame, rules: tuple[UrlRule, ...] = BASE_RULES + JUNK_RUL
     parts = parts.withColumn("__url", F.concat("__host", "__path")).withColumn("__tokens", F.array_distinct(F.split("__url", _CUT)))
     fetched = f"""array_union(flatten(transform(__tokens, t -> transform(filter(element_at(array({entries}), cast(pmod(xxhash64(t), {places}) as int) + 1), e -> e.token = t), e -> e.rule))), {fixed})"""
     parts = parts.withColumn("__rules", F.expr(fetched))
-    fits = f"transform(__rules, i -> element_at(array({rows}), i + 1))"
+    rows = f"array({rows})" if rules else "cast(array() as array<struct<pattern:string,rank:int,verdict:string,label:string>>)"
+    fits = f"transform(__rules, i -> element_at({rows}, i + 1))"
     best = f"array_max(transform(filter({fits}, r -> __url rlike r.pattern), r -> struct(r.rank as rank, r.label as label, r.verdict as verdict)))"
     parts = parts.withColumn("__best", F.expr(best))
     out = [F.col(c) for c in keep]
