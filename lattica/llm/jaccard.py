@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import materialise, table
 from lattica.llm.components import components
+from lattica.llm.tokens import chunks, tokenised
 
 #: The most n-grams of a block that one task holds; larger blocks are split into pairs of parts.
 BLOCK_GRAMS = 4_000_000
@@ -41,7 +42,7 @@ RUN_SETS = 20_000
 #: Candidates' ids are broadcast up to this count (32 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Slots of the table of counts (two bytes each when broadcast).
-SLOTS_PER_DOC, MIN_SLOTS, MAX_SLOTS = 16, 1 << 18, 1 << 24
+SLOTS_PER_DOC, MIN_SLOTS, MAX_SLOTS = 64, 1 << 18, 1 << 24
 _SLOT_BLOCK = 1 << 14
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
@@ -53,31 +54,31 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class Shingler:
-    """Sorted distinct 64-bit hashes of the word n-grams of texts; words are those between ASCII white space, with A-Z lower-cased."""
-
-    def __init__(self, n: int):
-        self.n, self.known = n, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > _CACHE:
-            known.clear()
-        hashes = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            hashes.append(h)
-        h = np.array(hashes, np.uint64)
-        k = min(self.n, len(h))
-        out = np.full(len(h) - k + 1, k, np.uint64)  # a shorter whole sequence is no n-gram of a longer text
-        for i in range(k):
-            out = _mixed((out + _MIX) * _MUL ^ h[i : len(h) - k + 1 + i])
-        return np.unique(out)
+def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word n-grams of each text; words are those between ASCII white space, with A-Z lower-cased."""
+    starts, numbers, hashes, _ = tokenised(texts)
+    h = hashes.view(np.uint64)[numbers]
+    all_ = _rolled(h, n)
+    out = []
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        # a whole sequence that is shorter is no n-gram of a longer text: the length goes into the hash
+        out.append(np.unique(all_[a : b - n + 1] if b - a >= n else _rolled(h[a:b], b - a)))
+    return out
+
+
+def _rolled(h: np.ndarray, n: int) -> np.ndarray:
+    size = max(0, len(h) - n + 1) if n else 0
+    out = np.full(size, n, np.uint64)
+    for i in range(n):
+        out = _mixed((out + _MIX) * _MUL ^ h[i : size + i])
+    return out
+
+
+def _sets(pdf: pd.DataFrame, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows' sets, worked out for some texts at a time."""
+    texts = pdf["text"].tolist()
+    for rows in chunks(texts):
+        yield from zip(rows, gram_sets([texts[i] for i in rows], n))
 
 
 def _key(grams: np.ndarray) -> int:
@@ -92,12 +93,13 @@ def _rarity(docs: DataFrame, n: int, slots: int) -> np.ndarray:
     shift = np.uint64(64 - slots.bit_length() + 1)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, total = Shingler(n), np.zeros(slots, np.int32)
+        total = np.zeros(slots, np.int32)
         for pdf in batches:
-            for text in pdf["text"]:
-                np.add.at(total, (grams(text) >> shift).astype(np.intp), np.int32(1))
+            for _, g in _sets(pdf, n):
+                np.add.at(total, (g >> shift).astype(np.intp), np.int32(1))
         rows = [(b, zlib.compress(c.tobytes(), 1)) for b, c in enumerate(total.reshape(-1, _SLOT_BLOCK)) if c.any()]
-        yield pd.DataFrame(rows, columns=["block", "counts"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["block", "counts"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zlib.decompress(c), np.int32).astype(np.int64) for c in pdf["counts"])
@@ -111,8 +113,8 @@ def _rarity(docs: DataFrame, n: int, slots: int) -> np.ndarray:
 
 
 def _vector(grams: np.ndarray) -> bytes:
-    """Counts of groups of n-grams, a byte each; from 8 groups on, about one for four to eight n-grams."""
-    groups = 1 << max(3, (len(grams) // 8).bit_length())
+    """Counts of groups of n-grams, a byte each; from 8 groups on, one for eight to sixteen n-grams."""
+    groups = 1 << max(3, (len(grams) // 16).bit_length())
     while True:
         counts = np.bincount((grams & np.uint64(groups - 1)).astype(np.intp), minlength=groups)
         if counts.max() < 256:
@@ -164,22 +166,28 @@ def _runs(t: float):
         rest, seen = None, set()
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            marks = pdf[["gram", "i", "j"]].to_numpy()
+            marks = _marks(pdf)
             last = (marks == marks[-1]).all(axis=1)
             rest = pdf[last]
-            yield _linked(pdf[~last], t, seen)
+            if not last.all():
+                yield _linked(pdf[~last], t, seen)
         if rest is not None:
             yield _linked(rest, t, seen)
 
     return run
 
 
+def _marks(pdf: pd.DataFrame) -> np.ndarray:
+    """What tells runs apart: the n-gram and the pair of parts."""
+    return np.stack((pdf["gram"].to_numpy(), pdf["place"].to_numpy() >> 21), axis=1)
+
+
 def _linked(pdf: pd.DataFrame, t: float, seen: set[int]) -> pd.DataFrame:
     out: list[tuple[int, int]] = []
     if len(pdf):
-        marks = pdf[["gram", "i", "j"]].to_numpy()
+        marks = _marks(pdf)
         starts = np.concatenate(([0], np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1, [len(pdf)]))
-        keys, sizes, parts, vectors = pdf["key"].to_numpy(), pdf["n"].to_numpy(), pdf["part"].to_numpy(), pdf["vector"].tolist()
+        keys, sizes, parts, vectors = pdf["key"].to_numpy(), pdf["n"].to_numpy(), pdf["place"].to_numpy() & ((1 << 21) - 1), pdf["vector"].tolist()
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
             if b - a > 1:
                 # copies of a passage or a text share many n-grams: the same rows are not held against each other again
@@ -200,11 +208,12 @@ def _prefixes(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
     shift = np.uint64(64 - slots.bit_length() + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, level = Shingler(n), levels.value
+        level = levels.value
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                g = grams(text)
+            ids = pdf["doc_id"].tolist()
+            for i, g in _sets(pdf, n):
+                doc = ids[i]
                 if not len(g):
                     rows.append((doc, 0, None, [], b""))
                     continue
@@ -213,7 +222,9 @@ def _prefixes(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
                 size = len(g) - math.ceil(t * len(g)) + 1
                 rows.append((doc, len(g), _key(g), g[order[:size]].view(np.int64), vector))
             out = pd.DataFrame(rows, columns=["doc_id", "n", "key", "prefix", "vector"])
-            out["doc_id"], out["key"] = out["doc_id"].astype("Int64"), out["key"].astype("Int64")
+            # from the lists themselves: with a null among them, pandas would have made floats of long numbers
+            out["doc_id"] = pd.array([None if pd.isna(r[0]) else int(r[0]) for r in rows], "Int64")
+            out["key"] = pd.array([r[2] for r in rows], "Int64")
             yield out
 
     return materialise(docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, "doc_id bigint, n bigint, key bigint, prefix array<bigint>, vector binary"), "prefixes")
@@ -327,10 +338,11 @@ def classes(docs: DataFrame, n: int = 5, threshold: Fraction | str = Fraction(4,
     sets = base.where("key IS NOT NULL").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("vector").alias("vector"))
     sets = materialise(sets, "sets")
     dealt = sets.select("key", F.explode("prefix").alias("gram"))
-    shared = dealt.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("sets")).where("low <> high")
-    live = dealt.join(shared.select("gram", "sets"), "gram").join(sets.select("key", "n", "vector"), "key")
+    shared = dealt.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
+    live = dealt.join(shared, "gram").join(sets.select("key", "n", "vector"), "key")
     live = _in_parts(live, F.ceil(F.col("sets") / RUN_SETS))
-    runs = live.select("gram", "i", "j", "part", "key", "n", "vector").repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "key")
+    place = F.shiftleft(F.col("i").cast("bigint"), 42) + F.shiftleft(F.col("j").cast("bigint"), 21) + F.col("part")
+    runs = live.select("gram", place.alias("place"), "key", "n", "vector").repartition("gram", F.shiftright("place", 21)).sortWithinPartitions("gram", "place", "key")
     blocks = components(runs.mapInPandas(_runs(float(t)), "u bigint, v bigint"))
 
     members = materialise(sets.where("rep IS NOT NULL").join(blocks, sets.key == blocks.node).select("root", "key", "rep", "n"), "members")
@@ -345,12 +357,12 @@ def classes(docs: DataFrame, n: int = 5, threshold: Fraction | str = Fraction(4,
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(ids, "rep").select("rep_key", "text")
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make = Shingler(n)
         for pdf in batches:
-            found = [make(x) for x in pdf["text"]]
+            keys = pdf["rep_key"].tolist()
             # another row may bear the same id; the set tells
-            rows = [(k, len(g), g.view(np.int64)) for k, g in zip(pdf["rep_key"], found) if len(g) and _key(g) == k]
-            yield pd.DataFrame(rows, columns=["key", "n", "grams"])
+            rows = [(keys[i], len(g), g.view(np.int64)) for i, g in _sets(pdf, n) if len(g) and _key(g) == keys[i]]
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", "n", "grams"])
 
     held = texts.mapInPandas(grams, "key bigint, n bigint, grams array<bigint>")
     deals = F.broadcast(dealt_out.drop("rep")) if total.docs <= BROADCAST_IDS else dealt_out.drop("rep")
