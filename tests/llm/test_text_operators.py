@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import decontaminate, langid, licenses, lm, mixing, quality
+from lattica.llm import decontaminate, langid, licenses, lm, mixing, quality, tokens
 
 LOW = {c: c + 32 for c in range(65, 91)}
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -279,9 +279,9 @@ def test_word_hashes():
     import pyarrow as pa
 
     ws = ["a", "b", "ab", "ba", "aa", "x" * 300, "x" * 301, "é"]
-    h = lm.hash_words(pa.array(ws, pa.large_string()))
-    assert len(set(h.tolist())) == len(ws) and h.tolist() == lm.hash_words(pa.array(ws[::-1], pa.large_string()))[::-1].tolist()
-    starts, numbers, _, kinds = lm.tokenised([" A b\t", None, "", "\x0b a\x1cB"])
+    h = tokens.hash_words(pa.array(ws, pa.large_string()))
+    assert len(set(h.tolist())) == len(ws) and h.tolist() == tokens.hash_words(pa.array(ws[::-1], pa.large_string()))[::-1].tolist()
+    starts, numbers, _, kinds = tokens.tokenised([" A b\t", None, "", "\x0b a\x1cB"])
     assert starts.tolist() == [0, 2, 2, 2, 3] and kinds.take(pa.array(numbers)).to_pylist() == ["a", "b", "a\x1cb"]
 
 
