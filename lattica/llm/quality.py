@@ -152,3 +152,56 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = judge_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return judged.select("doc_id", *FEATURES, "base_failed", "kept")
+
+
+def _sql(max_false: float = 0.05, confidence: float = 0.95, rules: tuple[Rule, ...] = RULES) -> str:
+    """The same in SQL: binomial tails as sums of terms by log-gamma."""
+    grid = ", ".join(f"('{r.name}', {c!r}, {str(r.upper).lower()})" for r in rules for c in r.grid)
+    value = "CASE g.rule " + " ".join(f"WHEN '{r.name}' THEN {r.signal}" for r in rules) + " END"
+    share, tests = max_false / len(rules), sum(len(r.grid) for r in rules)
+    return rf"""
+WITH t AS (
+  SELECT doc_id, lang, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3
+), g3 AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 2), ' ') AS g FROM p
+), twice AS (
+  SELECT doc_id, g FROM g3 GROUP BY doc_id, g HAVING COUNT(*) > 1
+), r AS (
+  SELECT doc_id, COUNT(*) AS n FROM (SELECT DISTINCT g3.doc_id AS doc_id, unnest(range(i, i + 3)) AS at FROM g3 JOIN twice ON g3.doc_id = twice.doc_id AND g3.g = twice.g) GROUP BY doc_id
+), f AS (
+  SELECT t.doc_id AS doc_id, lang, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(x) - length(regexp_replace(x, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM t LEFT JOIN r ON r.doc_id = t.doc_id
+), good AS (
+  SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING MIN(quality) = 1
+), h AS (
+  SELECT f.* FROM f JOIN good ON good.doc_id = f.doc_id
+), g AS (
+  SELECT * FROM (VALUES {grid}) AS v(rule, cutoff, above)
+), c AS (
+  SELECT lang, rule, cutoff, above, COUNT(*) AS n, CAST(SUM(CASE WHEN above THEN CAST({value} > cutoff AS INT) ELSE CAST({value} < cutoff AS INT) END) AS BIGINT) AS k
+  FROM h CROSS JOIN g GROUP BY lang, rule, cutoff, above
+), terms AS (
+  SELECT lang, rule, cutoff, above, n, k, unnest(range(0, CAST(k AS BIGINT) + 1)) AS i FROM c
+), tails AS (
+  SELECT lang, rule, cutoff, above, CASE WHEN k >= n THEN 1.0 ELSE SUM(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({share!r}) + (n - i) * ln(1 - {share!r}))) END AS tail
+  FROM terms GROUP BY lang, rule, cutoff, above, n, k
+), valid AS (
+  SELECT lang, rule, above, CASE WHEN above THEN MIN(cutoff) ELSE MAX(cutoff) END AS cutoff FROM tails
+  WHERE tail <= {1 - confidence!r} / ({tests} * (SELECT COUNT(*) FROM (SELECT DISTINCT lang FROM h))) GROUP BY lang, rule, above
+), bad AS (
+  SELECT DISTINCT f.doc_id AS doc_id FROM f JOIN valid g ON f.lang IS NOT DISTINCT FROM g.lang WHERE CASE WHEN above THEN {value} > cutoff ELSE {value} < cutoff END
+)
+SELECT f.doc_id AS doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND bad.doc_id IS NULL AS kept
+FROM f LEFT JOIN bad ON bad.doc_id = f.doc_id
+"""
+
+
+OP10_SQL = _sql()

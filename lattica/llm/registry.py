@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_decontaminate": decontaminate.OP4_SQL,
+    "op10_quality_rules": quality.OP10_SQL,
     "op5_url_rules": url_rules.OP5_SQL,
 }
