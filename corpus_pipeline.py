@@ -34,8 +34,12 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often each document is taken so that the sources have their weights."""
-    return mixing.mix(docs)
+    """How often each document is taken so that the sources have their weights.
+
+    Texts are measured but not carried along: those of the stage before belong to the rows by doc_id,
+    and whoever writes the mixture joins them once, in the place of shuffling them here.
+    """
+    return mixing.mix(docs.withColumn("size", mixing.words_in("text")).drop("text"), size="size")
 
 
 STAGES = [

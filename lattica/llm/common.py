@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +19,7 @@ ALNUM_WORD = r"[\p{Alnum}\P{ASCII}]+"
 SPACE_WORD = r"\S+"
 
 #: Rows of a batch that Python workers get at once; texts may be long.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 300
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +68,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def columns_of(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields]
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives its memory back at the end: Python workers live on for other tasks."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped
 
 
 def fresh(df: DataFrame, *names: str) -> DataFrame:

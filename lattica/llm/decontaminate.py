@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import ALNUM_WORD, fresh, table
+from lattica.llm.common import ALNUM_WORD, fresh, lean, table
 
 WINDOW = 10
 #: The most item words that one automaton holds (some 1 KB each in a worker); more items make more automata, each streamed by itself.
@@ -140,32 +140,34 @@ _HITS = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, cont
 _ADDED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans")
 
 
-def _item_blocks(items: DataFrame) -> list[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of about AUTOMATON_WORDS words; only as many as one block are fetched at once."""
+def _item_blocks(items: DataFrame) -> Iterator[tuple[bool, list[tuple[str, list[bytes]]]]]:
+    """The items in blocks of about AUTOMATON_WORDS words, each with whether it is the last; one block is fetched at once."""
     named = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("name"), "text")
     words = named.agg(F.sum(F.regexp_count("text", F.lit(ALNUM_WORD))).alias("n")).collect()[0].n or 0
     blocks = max(1, -(-words // AUTOMATON_WORDS))
     for b in range(blocks):
         rows = named.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b).collect()
-        yield [(r.name, words_of(r.text)) for r in sorted(rows, key=lambda r: (r.name, r.text))]
+        yield b == blocks - 1, [(r.name, words_of(r.text)) for r in sorted(rows, key=lambda r: (r.name, r.text))]
 
 
-def find_overlap(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def find_overlap(docs: DataFrame, items: DataFrame, window: int = WINDOW, finish: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
     """The input's columns (the text included) with n_words, n_hit, n_items, items_sha256, contaminated, items and spans.
 
     A window is ``window`` consecutive words of an item, or all words of an item that has fewer. Null
     texts and items have no words; items without words or id match nothing; an empty benchmark hits
     nothing. Equal rows are handled each by itself. Rows stay in their partitions: nothing is shuffled.
+    ``finish`` changes the rows in the same pass to rows of the input's columns.
     """
     docs = fresh(docs, *_ADDED)
     spark = docs.sparkSession
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out, first = docs, True
-    for block in _item_blocks(items):
+    for last, block in _item_blocks(items):
+        end = finish if last else None
         shared = spark.sparkContext.broadcast(Automaton(block, window))
         names = docs.columns
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared, first=first, names=names) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], shared=shared, first=first, names=names, end=end) -> Iterator[pd.DataFrame]:
             sam = shared.value
             for pdf in batches:
                 rows = []
@@ -178,9 +180,12 @@ def find_overlap(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
                         hit |= set(pdf["items"].iloc[k])
                     known = sorted(hit)
                     rows.append((len(words), sum(b - a for a, b in spans), len(known), hashlib.sha256(",".join(known).encode()).hexdigest(), bool(spans), known, [{"start": a, "stop": b} for a, b in spans]))
-                yield pd.concat([pdf[names].reset_index(drop=True), pd.DataFrame(rows, columns=list(_ADDED))], axis=1)
+                found = pd.concat([pdf[[c for c in names if c not in _ADDED]].reset_index(drop=True), pd.DataFrame(rows, columns=list(_ADDED))], axis=1)
+                found = end(found) if end else found
+                if len(found):
+                    yield found
 
-        out = out.mapInPandas(run, f"{fields}, {_HITS}")
+        out = out.mapInPandas(lean(run), docs.schema if end else f"{fields}, {_HITS}")
         first = False
     return out
 
@@ -208,23 +213,51 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_cover: float = 0.8) -> DataFrame:
-    """The input's columns: hit spans are cut from the texts; a text of which more than max_cover of the words are hit goes."""
+    """The input's columns: hit spans are cut from the texts; a text of which more than max_cover of the words are hit goes. Columns named as results of find_overlap go too."""
+    docs = fresh(docs, *_ADDED)
     names = docs.columns
-    found = find_overlap(docs, items, window)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[~(pdf["n_hit"] > max_cover * pdf["n_words"])].reset_index(drop=True)
-            if not len(pdf):
-                continue
-            pdf["text"] = [cut(t, [(int(s["start"]), int(s["stop"])) for s in spans]) if len(spans) else t for t, spans in zip(pdf["text"], pdf["spans"])]
-            if "n_chars" in pdf:
-                pdf["n_chars"] = [n if t is None or not len(s) else len(t) for n, t, s in zip(pdf["n_chars"], pdf["text"], pdf["spans"])]
-            yield pdf[names]
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[~(pdf["n_hit"] > max_cover * pdf["n_words"])].reset_index(drop=True)
+        spans = [[(int(s["start"]), int(s["stop"])) for s in found] for found in pdf["spans"]]
+        pdf["text"] = [cut(t, s) if s else t for t, s in zip(pdf["text"], spans)]
+        if "n_chars" in pdf:
+            pdf["n_chars"] = [len(t) if s else n for n, t, s in zip(pdf["n_chars"], pdf["text"], spans)]
+        return pdf[names]
 
-    return found.mapInPandas(run, docs.schema)
+    return find_overlap(docs, items, window, finish)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return find_overlap(docs, table(spark, sf_dir, "benchmark")).select("doc_id", *_ADDED[:5])
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bp AS (
+  SELECT item, w, len(w) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0
+), bw AS (
+  SELECT DISTINCT item, least(n, 10) AS size, array_to_string(list_slice(w, i, i + least(n, 10) - 1), ' ') AS g FROM bp
+), sizes AS (
+  SELECT DISTINCT size FROM bw
+), dp AS (
+  SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d CROSS JOIN sizes WHERE len(w) >= size
+), dw AS (
+  SELECT doc_id, size, i, array_to_string(list_slice(w, i, i + size - 1), ' ') AS g FROM dp
+), hits AS (
+  SELECT doc_id, dw.size AS size, i, item FROM dw JOIN bw ON dw.g = bw.g AND dw.size = bw.size
+), places AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS p FROM hits
+), hit AS (
+  SELECT doc_id, COUNT(*) AS n FROM places GROUP BY doc_id
+), names AS (
+  SELECT doc_id, COUNT(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id AS doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(names.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names.items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN names ON names.doc_id = d.doc_id
+"""

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import fresh, materialise, table
+from lattica.llm.common import fresh, lean, materialise, table
 
 #: Winning paths of this many hosts (some 150 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_HOSTS = 200_000
@@ -218,7 +218,7 @@ def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def winning_paths(pages: DataFrame) -> DataFrame:
     """__host and path, one row for each host. Votes are added up before the shuffle, so a hot host costs nothing."""
-    votes = pages.select("__host", "html").mapInPandas(_votes, "__host string, path string, votes bigint")
+    votes = pages.select("__host", "html").mapInPandas(lean(_votes), "__host string, path string, votes bigint")
     added = votes.groupBy("__host", "path").agg(F.sum("votes").alias("votes"))
     return added.groupBy("__host").agg(F.max_by("path", F.struct("votes", "path")).alias("__path"))
 
@@ -254,7 +254,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield out
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name in names)
-    return joined.select(*names, "html", "__path").mapInPandas(run, f"{fields}, text string, n_chars bigint")
+    return joined.select(*names, "html", "__path").mapInPandas(lean(run), f"{fields}, text string, n_chars bigint")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ from lattica.llm.common import SPACE_WORD, fresh, materialise, table
 WEIGHTS = (5.0, 2.0, 1.0)
 #: The documents, and the words, of a bucket, about; its rows are in one task's memory.
 BUCKET, BUCKET_WORDS = 10_000, 5_000_000
+#: Sources are told to the tasks by broadcast up to this count (about 50 bytes each).
+BROADCAST_SOURCES = 100_000
 _ADDED = ("size", "source_size", "target", "taken", "copies")
 
 
@@ -121,7 +123,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, at_most: float =
     want = targets([(r.source, r.n) for r in sums], weights, at_most)
     spark = docs.sparkSession
     known = spark.createDataFrame([(r.source, r.n, want[r.source], max(1, math.ceil(max(r.docs / bucket, r.n / BUCKET_WORDS)))) for r in sums], "__s string, source_size bigint, target double, __buckets int")
-    rows = sized.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")  # a row for each source
+    known = F.broadcast(known) if len(sums) <= BROADCAST_SOURCES else known
+    rows = sized.join(known, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
     x = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("__mean", F.when(F.col("size") > 0, x).otherwise(F.lit(0.0)))
     rows = rows.withColumn("__whole", F.floor(F.col("__mean") + 1e-9)).withColumn("__x", F.greatest(F.col("__mean") - F.col("__whole"), F.lit(0.0))).drop("__mean")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import fresh, table
+from lattica.llm.common import fresh, lean, table
 
 KEY = b"lattica-surrogates"
 
@@ -260,7 +260,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             yield pdf
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(run, f"{fields}, n_entities bigint, entities array<struct<type:string,original:string,surrogate:string>>")
+    return docs.mapInPandas(lean(run), f"{fields}, n_entities bigint, entities array<struct<type:string,original:string,surrogate:string>>")
 
 
 def collisions(found: DataFrame) -> DataFrame:

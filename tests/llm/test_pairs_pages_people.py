@@ -274,7 +274,8 @@ def test_pipeline(spark, table, docs, sf_dir, tmp_path):
     originals = [r.o for r in surrogates.pseudonymise(seen[3][1]).select(F.explode("entities.original").alias("o")).collect()]
     assert originals and not any(o in r.text for r in seen[3][2].collect() for o in originals)
     final = held.collect()
-    assert len(final) == seen[3][2].count() and all(0 <= r.copies <= 3 for r in final)
+    sizes = sorted(len((r.text or "").encode().split()) for r in seen[3][2].collect())
+    assert sorted(r.size for r in final) == sizes and all(0 <= r.copies <= 3 and r.taken == r.copies * r.size for r in final)
 
 
 def test_pipeline_of_nothing(spark, empty, sf_dir):
