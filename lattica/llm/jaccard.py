@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import materialise, table
+from lattica.llm.common import lean, materialise, table
 from lattica.llm.components import components
 from lattica.llm.tokens import chunks, tokenised
 
@@ -85,6 +85,16 @@ def _key(grams: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes()))))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """In the fewest bytes a count, compressed; the first byte says how many."""
+    width = next(w for w in (1, 2, 4, 8) if int(counts.max()) < 1 << (8 * w))
+    return bytes([width]) + zlib.compress(counts.astype(f"u{width}").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), f"u{data[0]}").astype(np.int64)
+
+
 def _rarity(docs: DataFrame, n: int, slots: int) -> np.ndarray:
     """How full the slot of an n-gram is: a table of fixed size, counted over all documents.
 
@@ -97,17 +107,17 @@ def _rarity(docs: DataFrame, n: int, slots: int) -> np.ndarray:
         for pdf in batches:
             for _, g in _sets(pdf, n):
                 np.add.at(total, (g >> shift).astype(np.intp), np.int32(1))
-        rows = [(b, zlib.compress(c.tobytes(), 1)) for b, c in enumerate(total.reshape(-1, _SLOT_BLOCK)) if c.any()]
+        rows = [(b, _packed(c)) for b, c in enumerate(total.reshape(-1, _SLOT_BLOCK)) if c.any()]
         if rows:
             yield pd.DataFrame(rows, columns=["block", "counts"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(c), np.int32).astype(np.int64) for c in pdf["counts"])
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+        total = sum(_unpacked(c) for c in pdf["counts"])
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [_packed(total)]})
 
     counts = np.zeros(slots, np.int64)
-    for r in docs.select("text").mapInPandas(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect():
-        counts[r.block * _SLOT_BLOCK : (r.block + 1) * _SLOT_BLOCK] = np.frombuffer(zlib.decompress(r.counts), np.int64)
+    for r in docs.select("text").mapInPandas(lean(count), "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect():
+        counts[r.block * _SLOT_BLOCK : (r.block + 1) * _SLOT_BLOCK] = _unpacked(r.counts)
     scatter = math.sqrt(max(1.0, float(counts.mean())))
     return np.minimum(counts >> max(0, int(math.log2(scatter / 4)) if scatter > 4 else 0), 65535).astype(np.uint16)
 
@@ -227,7 +237,7 @@ def _prefixes(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
             out["key"] = pd.array([r[2] for r in rows], "Int64")
             yield out
 
-    return materialise(docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, "doc_id bigint, n bigint, key bigint, prefix array<bigint>, vector binary"), "prefixes")
+    return materialise(docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(lean(run), "doc_id bigint, n bigint, key bigint, prefix array<bigint>, vector binary"), "prefixes")
 
 
 class CountTree:
@@ -343,7 +353,7 @@ def classes(docs: DataFrame, n: int = 5, threshold: Fraction | str = Fraction(4,
     live = _in_parts(live, F.ceil(F.col("sets") / RUN_SETS))
     place = F.shiftleft(F.col("i").cast("bigint"), 42) + F.shiftleft(F.col("j").cast("bigint"), 21) + F.col("part")
     runs = live.select("gram", place.alias("place"), "key", "n", "vector").repartition("gram", F.shiftright("place", 21)).sortWithinPartitions("gram", "place", "key")
-    blocks = components(runs.mapInPandas(_runs(float(t)), "u bigint, v bigint"))
+    blocks = components(runs.mapInPandas(lean(_runs(float(t))), "u bigint, v bigint"))
 
     members = materialise(sets.where("rep IS NOT NULL").join(blocks, sets.key == blocks.node).select("root", "key", "rep", "n"), "members")
     sums = members.groupBy("root").agg(F.sum("n").alias("grams"))
@@ -364,7 +374,7 @@ def classes(docs: DataFrame, n: int = 5, threshold: Fraction | str = Fraction(4,
             if rows:
                 yield pd.DataFrame(rows, columns=["key", "n", "grams"])
 
-    held = texts.mapInPandas(grams, "key bigint, n bigint, grams array<bigint>")
+    held = texts.mapInPandas(lean(grams), "key bigint, n bigint, grams array<bigint>")
     deals = F.broadcast(dealt_out.drop("rep")) if total.docs <= BROADCAST_IDS else dealt_out.drop("rep")
     links = held.join(deals, "key").groupBy("task").applyInPandas(_links(t), "u bigint, v bigint")
     joined = components(links)
@@ -381,6 +391,7 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: Fraction | str = Fraction(4
     found = classes(docs, n, threshold).where("doc_id IS NOT NULL AND doc_id = component_id")
     kept = materialise(found.groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
     ids = kept.select(F.col("doc_id").alias("__id"))
+    ids = F.broadcast(ids) if kept.count() <= BROADCAST_IDS else ids  # few enough ids spare the texts a shuffle
     rows = docs.where(F.col("doc_id").isNotNull()).join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
     if kept.where("rows > 1").limit(1).count():
         rows = rows.dropDuplicates(["doc_id"])

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import fresh, held_out, table
+from lattica.llm.common import fresh, held_out, lean, materialise, table
 
 UND = "und"
 #: Training texts of each language, about: all of a smaller language, an even sample by id of a larger one.
@@ -23,6 +23,8 @@ SAMPLE_DOCS = 2_000
 #: The most frequent words, and n-grams of each length, that the model keeps of each language.
 KEEP_WORDS, KEEP_GRAMS = 20_000, 8_000
 MAX_GRAM = 4
+#: Facts of each language are broadcast up to this many languages (some 30 bytes each).
+BROADCAST_LANGS = 10_000
 #: Texts of which the model is less sure are rejected in pipelines; few clean texts come near it.
 MIN_SCORE = 0.3
 
@@ -107,7 +109,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     spark = docs.sparkSession
     rates = spark.createDataFrame([(x, min(1.0, sample_docs / n)) for x, n in sizes.items()], "lang string, rate double")
     even = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.join(F.broadcast(rates), "lang").where(even < F.col("rate")).select("lang", "text")
+    rates = F.broadcast(rates) if len(langs) <= BROADCAST_LANGS else rates  # else every text would be shuffled
+    sample = labelled.join(rates, "lang").where(even < F.col("rate")).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -124,7 +127,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
                 if rows:
                     yield pd.DataFrame(rows, columns=["lang", "kind", "key", "n"])
 
-    counts = sample.mapInPandas(count, "lang string, kind int, key string, n bigint").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = sample.mapInPandas(lean(count), "lang string, kind int, key string, n bigint")
+    counts = materialise(counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).where("n > 1"), "lang-counts")  # read three times
     # the least count that keeps the wanted number of keys, by a histogram of counts: no key is ranked in one task
     held = counts.groupBy("lang", "kind", "n").agg(F.count("*").alias("keys")).groupBy("lang", "kind").agg(F.sort_array(F.collect_list(F.struct("n", "keys")), False).alias("h")).collect()
     least = []
@@ -138,7 +142,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
         least.append((r.lang, r.kind, cut))
     sums = {(r.lang, r.kind): r.total for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("total")).collect()}
     cuts = spark.createDataFrame(least, "lang string, kind int, least bigint")
-    top = counts.join(F.broadcast(cuts), ["lang", "kind"]).where("n >= least").select("lang", "kind", "key", "n").collect()
+    cuts = F.broadcast(cuts) if len(langs) <= BROADCAST_LANGS else cuts
+    top = counts.join(cuts, ["lang", "kind"]).where("n >= least").select("lang", "kind", "key", "n").collect()
     at = {x: i for i, x in enumerate(langs)}
     keys = sorted({(r.kind, r.key) for r in top})
     place = {k: i for i, k in enumerate(keys)}
@@ -171,7 +176,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pdf
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInPandas(lean(run), f"{fields}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
