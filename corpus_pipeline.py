@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm import decontaminate, jaccard, langid, mixing, surrogates
-from lattica.llm.common import held_out, materialise, table
+from lattica.llm.common import fresh, held_out, materialise, table
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +34,18 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often each document is taken so that the sources have their weights.
+    """The documents, and how often each is taken so that the sources have their weights.
 
-    Texts are measured but not carried along: those of the stage before belong to the rows by doc_id,
-    and whoever writes the mixture joins them once, in the place of shuffling them here.
+    Texts are large: narrow rows are settled, and what came out is joined to the texts once. Equal rows
+    share a key; each takes one of the results of their key.
     """
-    return mixing.mix(docs.withColumn("size", mixing.words_in("text")).drop("text"), size="size")
+    docs = fresh(docs, *mixing.ADDED)
+    keyed = docs.withColumn("__row", F.xxhash64(*docs.columns))
+    narrow = materialise(keyed.select("__row", "source", mixing.words_in("text").alias("size")), "sizes")  # read twice
+    settled = mixing.mix(narrow, size="size").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("copies", *(c for c in mixing.ADDED if c != "copies")))).alias("__all"))
+    nr = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
+    joined = keyed.join(settled, "__row").withColumn("__one", F.element_at("__all", nr))
+    return joined.select(*docs.columns, *(F.col(f"__one.{c}").alias(c) for c in mixing.ADDED))
 
 
 STAGES = [

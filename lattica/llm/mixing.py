@@ -24,7 +24,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BUCKET, BUCKET_WORDS = 10_000, 5_000_000
 #: Sources are told to the tasks by broadcast up to this count (about 50 bytes each).
 BROADCAST_SOURCES = 100_000
-_ADDED = ("size", "source_size", "target", "taken", "copies")
+ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], at_most: float) -> dict[str | None, float]:
@@ -116,7 +116,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, at_most: float =
     the added names are replaced. Sources are gathered as one row of sums each.
     """
     docs = docs.withColumn("__size", F.col(size).cast("bigint") if size else words_in("text"))
-    docs = fresh(docs, *_ADDED)
+    docs = fresh(docs, *ADDED)
     keep = [c for c in docs.columns if c != "__size"]
     sized = docs.withColumnRenamed("__size", "size")
     sums = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()

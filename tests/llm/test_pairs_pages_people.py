@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import html_text, jaccard, surrogates, url_rules
+from lattica.llm import html_text, jaccard, mixing, surrogates, url_rules
 from lattica.llm.components import components
 
 # ---- near copies
@@ -285,3 +285,17 @@ def test_pipeline_of_nothing(spark, empty, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         held = stage(spark, held, sf_dir)
     assert held.count() == 0
+
+
+def test_pipeline_ends_with_the_cleaned_texts(spark, table, sf_dir):
+    """Rows of one doc_id, of none and equal ones each come out once, with their text and its own size."""
+    import corpus_pipeline
+
+    docs = table.where("doc_id < 100 OR doc_id IS NULL OR doc_id >= 9000").unionByName(table.where("doc_id = 9006").withColumn("text", F.lit("another text of this id")))
+    got = corpus_pipeline.mixed(spark, docs, sf_dir)
+    assert got.columns == [*docs.columns, "size", "source_size", "target", "copies", "taken"]
+    assert collections.Counter(tuple(r) for r in got.select(*docs.columns).collect()) == collections.Counter(tuple(r) for r in docs.collect())
+    assert all(r.size == len((r.text or "").encode().split()) and r.taken == r.copies * r.size for r in got.collect())
+    narrow = mixing.mix(docs).groupBy("source").agg(F.count("*").alias("n"), F.first("target").alias("t"))
+    wide = got.groupBy("source").agg(F.count("*").alias("n"), F.first("target").alias("t"))
+    assert {tuple(r) for r in wide.collect()} == {tuple(r) for r in narrow.collect()}
