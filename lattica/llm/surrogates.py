@@ -186,7 +186,7 @@ _TITLE = "|".join(sorted(map(re.escape, _TITLE_GENDER), key=len, reverse=True))
 _NAME = rf"(?:(?P<title>{_TITLE})\.? (?P<named>(?=[^\W\d_a-z]){_LETTER}+(?: (?=[^\W\d_a-z]){_LETTER}+)?))"
 _PATTERNS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "secret": r"(?<=[\"'=: ])(?:[0-9a-f]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9_-])(?:[0-9a-f]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?!\w)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
@@ -195,7 +195,7 @@ _PATTERNS = {
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in _PATTERNS.items()))
 _NAMES = re.compile(_NAME)
-_HINT = re.compile(r"[@0-9]")
+_HINT = re.compile(r"[@0-9]|AKIA|gh[pousr]_|sk-|[a-f]{32}")
 _TITLE_HINT = re.compile(rf"(?:{_TITLE})\.? ")
 
 

@@ -226,6 +226,14 @@ def test_surrogates_keep_types(p):
     assert surrogates.replace(text, p)[0] == out and surrogates.replace(text, surrogates.Permuter(b"other"))[0] != out
 
 
+@pytest.mark.parametrize("secret", ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "AKIA" + "Q7" * 8, "AKIA" + "QZ" * 8, "ghp_" + "aB3" * 12, "sk-" + "aB" * 12])
+def test_secrets_after_anything_but_a_word(p, secret):
+    for before in ("", "\n", "\t", "(", ",", "[", "<", "key="):
+        out, found = surrogates.replace(f"{before}{secret}\n", p)
+        assert [x[:2] for x in found] == [("secret", secret)] and secret not in out
+    assert surrogates.replace(f"x{secret}", p)[1] == [] and surrogates.replace(f"x_{secret}", p)[1] == []
+
+
 def test_clean_texts_stay(p):
     for text in ("", "Nothing here 12 345 or 3.14 or 1.2.3 or v1.2.3.4.5", "on 2024-01-02 at 10:30", "Mr and mrs", "a @ b", "1,000,000 people"):
         assert surrogates.replace(text, p) == (text, [])
