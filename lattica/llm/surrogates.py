@@ -5,6 +5,9 @@ equal surrogates everywhere (coreference) and different ones different surrogate
 without any table of entities: permutations have no collisions. Where a permuted value would leave
 the format (an address class, a leading digit, a name that is a list's), it is permuted again until
 it is back in (cycle walking), which is still a permutation. ``collisions`` checks this on a corpus.
+
+Names are found after titles; their words (of two letters at least) are then replaced wherever they
+stand in the same text, each by the same surrogate in any place of a name.
 """
 
 from __future__ import annotations
@@ -103,7 +106,7 @@ def _phone(p: Permuter, s: str) -> str:
     head = head[0] if head else ""
     digits = re.sub(r"\D", "", s[len(head) :])
     must = [i for i in (0, 3) if len(digits) == 10 and digits[i] in "23456789"]
-    return head + _into(s[len(head) :], p.text(digits, f"phone{head.strip()}{must}", lambda d: all(d[i] in "23456789" for i in must)))
+    return head + _into(s[len(head) :], p.text(digits, f"phone{head.strip()}{must}", lambda d: [i for i in (0, 3) if len(d) == 10 and d[i] in "23456789"] == must))
 
 
 def _kind_of_ip(a: int, b: int) -> str:
@@ -130,7 +133,7 @@ def _email(p: Permuter, s: str) -> str:
     labels = host.split(".")
     keep = 2 if labels[-2] == "example" else 1
     hidden = ".".join(labels[:-keep])
-    name = p.text(f"{local}@{hidden}" if hidden else local, "email" + ".".join(labels[-keep:]))
+    name = p.text(f"{local}@{hidden}" if hidden else local, "email" + ".".join(labels[-keep:]), lambda s: keep == 2 or not s.endswith(("@example", ".example")))
     return (name if hidden else name + "@").rstrip(".") + ("." if hidden else "") + ".".join(labels[-keep:])
 
 
@@ -146,13 +149,13 @@ def _script(word: str) -> str:
     return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 or 0x1F00 <= c < 0x2000 else "latin"
 
 
-def _given(p: Permuter, name: str, gender: str | None) -> str:
-    """A listed name gives another of its script and gender; an unlisted one a spelt name that is on no list."""
+def _name(p: Permuter, name: str) -> str:
+    """A listed given name gives another of its script and gender; any other word a spelt one that is on no list, wherever in a name it stands."""
     group = _GENDERED.get(name)
     if group:
         names = GIVEN[group]
         return names[p.number(names.index(name), len(names), f"given{group}")]
-    return _spelt(p, name, f"given{gender}")
+    return _spelt(p, name)
 
 
 _LETTERS = {
@@ -162,8 +165,8 @@ _LETTERS = {
 }
 
 
-def _spelt(p: Permuter, name: str, tweak: str) -> str:
-    """Letters of the script's alphabet become others, in their own case; other letters stay."""
+def _spelt(p: Permuter, name: str) -> str:
+    """Letters of the script's alphabet become others, in their own case; other letters stay. One permutation for each script and form."""
     letters = _LETTERS[_script(name)]
     places = [i for i, c in enumerate(name) if c.lower() in letters]
 
@@ -174,11 +177,16 @@ def _spelt(p: Permuter, name: str, tweak: str) -> str:
             out[i] = letters[d].upper() if name[i].isupper() else letters[d]
         return "".join(out)
 
-    x = 0
-    for i in places:
-        x = x * len(letters) + letters.index(name[i].lower())
+    def number(word: str) -> int:
+        x = 0
+        for i in places:
+            x = x * len(letters) + letters.index(word[i].lower())
+        return x
+
+    # the capital of two small letters (sigma) counts as one of them
+    ok = lambda y: (w := spell(y)) not in _GENDERED and number(w) == y
     form = "".join("#" if i in places else c for i, c in enumerate(name)) + "".join(str(int(c.isupper())) for c in name)
-    return spell(p.number(x, len(letters) ** len(places), f"{tweak}|{form}", lambda y: tweak == "family" or spell(y) not in _GENDERED)) if places else name
+    return spell(p.number(number(name), len(letters) ** len(places), f"name{_script(name)}|{form}", ok)) if places else name
 
 
 _LETTER = r"[^\W\d_]"
@@ -225,17 +233,20 @@ def replace(text: str, p: Permuter) -> tuple[str, list[tuple[str, str, str]]]:
         return out
 
     def named(m: re.Match) -> str:
-        gender = _TITLE_GENDER[m["title"]]
-        first, *rest = m["named"].split(" ")
-        parts = [_given(p, first, gender), *(_spelt(p, w, "family") for w in rest)]
-        out = m[0][: m.start("named") - m.start()] + " ".join(parts)
-        found.append(("name", m["named"], " ".join(parts)))
-        return out
+        at = m.start("named") if m["named"] else m.start()
+        out = " ".join(_name(p, w) for w in m.string[at : m.end()].split(" "))
+        found.append(("name", m.string[at : m.end()], out))
+        return m.string[m.start() : at] + out
 
     if _HINT.search(text):
         text = _ANY.sub(entity, text)
     if _TITLE_HINT.search(text):
-        text = _NAMES.sub(named, text)
+        words = {w for m in _NAMES.finditer(text) for w in m["named"].split(" ") if len(w) > 1}
+        if words:
+            again = "|".join(sorted(map(re.escape, words), key=len, reverse=True))
+            text = re.sub(rf"{_NAME}|(?<!\w)(?:{again})(?: (?:{again}))*(?!\w)", named, text)
+        else:
+            text = _NAMES.sub(named, text)
     return text, found
 
 

@@ -234,6 +234,31 @@ def test_secrets_after_anything_but_a_word(p, secret):
     assert surrogates.replace(f"x{secret}", p)[1] == [] and surrogates.replace(f"x_{secret}", p)[1] == []
 
 
+def test_names_do_not_collide(p):
+    """All words of a form, after any title and in any place of a name, have one surrogate each."""
+    small, letters = "abcdefghijklmnopqrstuvwxyz", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
+    for words in ([a.upper() + b for a in small for b in small], [a + b for a in letters for b in letters]):
+        out = collections.defaultdict(set)
+        for w in words:
+            for text in (f"Mr {w}", f"Ms {w}", f"Mr Paul {w}"):
+                out[w].add(surrogates.replace(text, p)[0].split(" ")[-1])
+        assert all(len(s) == 1 for s in out.values()) and len(set.union(*out.values())) == len(words)
+
+
+def test_later_mentions_follow(p):
+    out, found = surrogates.replace("Smythe wrote. Mr John Smythe and Mr Smythe came; John Smythe and Smythe's Smythes left, and smythe.", p)
+    names = dict(x[1:] for x in found)
+    john, smythe = names["John Smythe"].split(" ")
+    assert smythe == names["Smythe"] != "Smythe"
+    assert out == f"{smythe} wrote. Mr {john} {smythe} and Mr {smythe} came; {john} {smythe} and {smythe}'s Smythes left, and smythe."
+
+
+def test_phone_and_email_classes_do_not_share_surrogates(p):
+    for digits in ("1234567890", "2134567890", "0014567890"):
+        out = re.sub(r"\D", "", surrogates._phone(p, f"{digits[:3]}-{digits[3:6]}-{digits[6:]}"))
+        assert [c in "23456789" for c in (out[0], out[3])] == [c in "23456789" for c in (digits[0], digits[3])]
+
+
 def test_clean_texts_stay(p):
     for text in ("", "Nothing here 12 345 or 3.14 or 1.2.3 or v1.2.3.4.5", "on 2024-01-02 at 10:30", "Mr and mrs", "a @ b", "1,000,000 people"):
         assert surrogates.replace(text, p) == (text, [])
