@@ -28,7 +28,8 @@ BROADCAST_LANGS = 10_000
 #: Texts of which the model is less sure are rejected in pipelines; few clean texts come near it.
 MIN_SCORE = 0.3
 
-_CACHE = 100_000
+#: Words whose scores are kept, and their letters at most; longer ones are scored anew.
+_CACHE, _CACHED = 100_000, 64
 
 
 def words_of(text: str) -> list[str]:
@@ -61,7 +62,7 @@ class Model:
         """The score of a word that is not known, by the longest n-grams that are; a bounded cache keeps it."""
         found = self.cache.get(word)
         if found is None:
-            w, at, found = f"^{word[:64]}$", 0, np.zeros(len(self.langs))
+            w, at, found = f"^{word}$", 0, np.zeros(len(self.langs))
             while at < len(w):
                 for n in range(min(MAX_GRAM, len(w) - at), 0, -1):
                     row = self.grams.get(w[at : at + n])
@@ -72,9 +73,10 @@ class Model:
                     n, found = 1, found + self.floor
                 at += n
             found = found / (len(w) / 2)  # as much as a known word, not as its many pieces
-            if len(self.cache) >= _CACHE:
-                self.cache.clear()
-            self.cache[word] = found
+            if len(word) <= _CACHED:
+                if len(self.cache) >= _CACHE:
+                    self.cache.clear()
+                self.cache[word] = found
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -121,7 +123,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
                         n[w] = n.get(w, 0) + 1
                 g: dict[str, int] = {}
                 for w, c in n.items():
-                    for x in grams_of(w[:64]):
+                    for x in grams_of(w):
                         g[x] = g.get(x, 0) + c
                 rows = [(lang, 0, w, c) for w, c in n.items()] + [(lang, len(x), x, c) for x, c in g.items()]
                 if rows:

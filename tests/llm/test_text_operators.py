@@ -199,6 +199,16 @@ def test_backoff_takes_the_longest_known_gram():
     assert m.predict("the")[0] == "a" and m.predict("x")[0] == "b" and m.predict(None) == ("und", 0.0) and m.predict("12 !")[0] == "und"
 
 
+def test_long_runs_of_letters_count_whole(spark):
+    import numpy as np
+
+    m = langid.Model(["a", "b"], {}, {"x": 0, "y": 1}, np.array([[1, 0], [0, 1]], np.float32), np.zeros(2))
+    run = "x" * 64 + "y" * 300
+    assert m.predict(run)[0] == "b" and m.unseen(run) == pytest.approx(np.array([64, 300]) / (366 / 2)) and run not in m.cache
+    docs = spark.createDataFrame([(k, "x" * 64 + "qz" * 40, "en") for k in range(3)], "doc_id bigint, text string, lang string")
+    assert "qzqz" in langid.train(docs).grams
+
+
 def test_language_edges(empty, clashing):
     model = langid.train(empty)
     assert model.predict("any words") == ("und", 0.0)
