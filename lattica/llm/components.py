@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import materialise
+from lattica.llm.common import discard, materialise
+
+#: The most hubs that are broadcast (16 bytes each), and the least edges of a hub.
+HUBS, HUB_EDGES = 100_000, 1_000
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -13,24 +16,39 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return row.n, row.s or 0
 
 
+def _with_least(edges: DataFrame, low: DataFrame, hub: int) -> DataFrame:
+    """Edges u, v with m of low (u, m, n: its edges).
+
+    The edges of a hub aren't dealt by u, or all of them would meet in one task: what is known of hubs
+    is broadcast. Of E edges there are at most E / hub hubs, which ``components`` bounds by 2 * HUBS.
+    """
+    marked = edges.join(F.broadcast(low.where(F.col("n") >= hub).select("u", F.col("m").alias("hm"))), "u", "left")
+    rest = marked.where("hm IS NULL").drop("hm").join(low.where(F.col("n") < hub).select("u", "m"), "u")
+    return marked.where("hm IS NOT NULL").select("u", "v", F.col("hm").alias("m")).unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Edges u, v to rows node, root: the smallest node of each node's component.
 
     Each round joins a node's edges with its smallest neighbour (added up before the shuffle), first
     over larger neighbours, then over smaller ones, until the edges are stars. The number of rounds
     grows with the logarithm of the longest path. Nothing is gathered but the edges' count and sum.
+    Loops and repeated edges count once; no edges give no rows. The table of a round is deleted as soon as the next is written.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialise(edges, "edges")
     mark = _mark(edges)
     while mark[0]:
+        hub = max(HUB_EDGES, mark[0] // HUBS)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both, low, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = _with_least(large, low, hub)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialise(small, "edges")
+        found = materialise(small, "edges")
+        discard(edges)
+        edges = found
         mark, before = _mark(edges), mark
         if mark == before:
             break

@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import ALNUM_WORD, fresh, lean, table
+from lattica.llm.common import ALNUM_WORD, KEEP, discard, extended, fresh, materialise, table
 
 WINDOW = 10
 #: The most item words that one automaton holds (some 1 KB each in a worker); more items make more automata, each streamed by itself.
@@ -150,44 +150,67 @@ def _item_blocks(items: DataFrame) -> Iterator[tuple[bool, list[tuple[str, list[
         yield b == blocks - 1, [(r.name, words_of(r.text)) for r in sorted(rows, key=lambda r: (r.name, r.text))]
 
 
-def find_overlap(docs: DataFrame, items: DataFrame, window: int = WINDOW, finish: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
+def find_overlap(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The input's columns (the text included) with n_words, n_hit, n_items, items_sha256, contaminated, items and spans.
 
     A window is ``window`` consecutive words of an item, or all words of an item that has fewer. Null
     texts and items have no words; items without words or id match nothing; an empty benchmark hits
-    nothing. Equal rows are handled each by itself. Rows stay in their partitions: nothing is shuffled.
-    ``finish`` changes the rows in the same pass to rows of the input's columns.
+    nothing; an empty table gives an empty result. Equal rows are handled each by itself, and long
+    texts whole. Input columns of the added names are replaced. Rows stay in their partitions:
+    nothing is shuffled. A benchmark of more words than one automaton holds is taken in blocks, with
+    the rows written to the shared folder between them, so that one automaton is in memory at a time.
     """
+    return _streamed(docs, items, window, None)
+
+
+def _streamed(docs: DataFrame, items: DataFrame, window: int, max_cover: float | None) -> DataFrame:
+    """``find_overlap``, or, where max_cover is given, the rows of ``decontaminate``, in the last pass."""
     docs = fresh(docs, *_ADDED)
-    spark = docs.sparkSession
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out, first = docs, True
+    names, out, before = docs.columns, docs, None
     for last, block in _item_blocks(items):
-        end = finish if last else None
-        shared = spark.sparkContext.broadcast(Automaton(block, window))
-        names = docs.columns
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared, first=first, names=names, end=end) -> Iterator[pd.DataFrame]:
-            sam = shared.value
-            for pdf in batches:
-                rows = []
-                for k, text in enumerate(pdf["text"]):
-                    words = words_of(text)
-                    spans, hit = sam.spans(words)
-                    if not first:  # what other blocks of items have hit
-                        before = pdf["spans"].iloc[k]
-                        spans = _union([*spans, *((int(s["start"]), int(s["stop"])) for s in before)])
-                        hit |= set(pdf["items"].iloc[k])
-                    known = sorted(hit)
-                    rows.append((len(words), sum(b - a for a, b in spans), len(known), hashlib.sha256(",".join(known).encode()).hexdigest(), bool(spans), known, [{"start": a, "stop": b} for a, b in spans]))
-                found = pd.concat([pdf[[c for c in names if c not in _ADDED]].reset_index(drop=True), pd.DataFrame(rows, columns=list(_ADDED))], axis=1)
-                found = end(found) if end else found
-                if len(found):
-                    yield found
-
-        out = out.mapInPandas(lean(run), docs.schema if end else f"{fields}, {_HITS}")
-        first = False
-    return out
+        shared = docs.sparkSession.sparkContext.broadcast(Automaton(block, window))  # of AUTOMATON_WORDS words or one item, about
+        out = _pass(out, shared, before is None, max_cover if last else None)
+        if not last:
+            written = materialise(out, "overlap")
+            shared.unpersist()
+            if before is not None:
+                discard(before)
+            out = before = written
+    return out.select(*names, *(_ADDED if max_cover is None else ()))
+
+
+def _pass(docs: DataFrame, shared: Broadcast, first: bool, max_cover: float | None) -> DataFrame:
+    counted = max_cover is not None and "n_chars" in docs.columns
+    reads = ["text", *(() if first else ("spans", "items")), *(("n_chars",) if counted else ())]
+
+    def start():
+        sam = shared.value
+
+        def work(texts: list[str | None], *more: list) -> dict[str, list]:
+            out: dict[str, list] = {c: [] for c in _ADDED}
+            for k, text in enumerate(texts):
+                words = words_of(text)
+                spans, hit = sam.spans(words)
+                if not first:  # what other blocks of items have hit
+                    spans = _union([*spans, *((x["start"], x["stop"]) for x in more[0][k])])
+                    hit |= set(more[1][k])
+                known = sorted(hit)
+                row = (len(words), sum(b - a for a, b in spans), len(known), hashlib.sha256(",".join(known).encode()).hexdigest(), bool(spans), known, [{"start": a, "stop": b} for a, b in spans])
+                for c, x in zip(_ADDED, row):
+                    out[c].append(x)
+            if max_cover is None:
+                return out
+            spans = [[(x["start"], x["stop"]) for x in found] for found in out["spans"]]
+            left = [cut(t, x) if x else t for t, x in zip(texts, spans)]
+            done = {"text": left, KEEP: [not n > max_cover * m for n, m in zip(out["n_hit"], out["n_words"])]}
+            return done | ({"n_chars": [len(t) if x else n for n, t, x in zip(more[-1], left, spans)]} if counted else {})
+
+        return work
+
+    if max_cover is None:
+        return extended(docs, reads, start, _HITS)
+    kind = f", n_chars {docs.schema['n_chars'].dataType.simpleString()}" if counted else ""
+    return extended(docs, reads, start, f"text string{kind}", drop=_ADDED)
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -213,19 +236,12 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_cover: float = 0.8) -> DataFrame:
-    """The input's columns: hit spans are cut from the texts; a text of which more than max_cover of the words are hit goes. Columns named as results of find_overlap go too."""
-    docs = fresh(docs, *_ADDED)
-    names = docs.columns
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[~(pdf["n_hit"] > max_cover * pdf["n_words"])].reset_index(drop=True)
-        spans = [[(int(s["start"]), int(s["stop"])) for s in found] for found in pdf["spans"]]
-        pdf["text"] = [cut(t, s) if s else t for t, s in zip(pdf["text"], spans)]
-        if "n_chars" in pdf:
-            pdf["n_chars"] = [len(t) if s else n for n, t, s in zip(pdf["n_chars"], pdf["text"], spans)]
-        return pdf[names]
+    """The input's columns: hit spans are cut from the texts; a text of which more than max_cover of the words are hit goes.
 
-    return find_overlap(docs, items, window, finish)
+    Null and empty texts stay as they are, as do texts without a hit. n_chars, where there is such a
+    column, follows a text that is cut. Columns named as results of find_overlap go. Everything else as there.
+    """
+    return _streamed(docs, items, window, max_cover)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

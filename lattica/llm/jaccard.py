@@ -26,10 +26,11 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import lean, materialise, table
+from lattica.llm.common import extended, lean, materialise, table
 from lattica.llm.components import components
 from lattica.llm.tokens import chunks, tokenised
 
@@ -43,7 +44,9 @@ RUN_SETS = 20_000
 BROADCAST_IDS = 1_000_000
 #: Slots of the table of counts (two bytes each when broadcast).
 SLOTS_PER_DOC, MIN_SLOTS, MAX_SLOTS = 64, 1 << 18, 1 << 24
-_SLOT_BLOCK = 1 << 14
+_SLOT_BLOCK = 1 << 16
+#: Tables of so many tasks are added up in one group.
+_FAN = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
 _CACHE = 150_000
@@ -74,9 +77,8 @@ def _rolled(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _sets(pdf: pd.DataFrame, n: int) -> Iterator[tuple[int, np.ndarray]]:
+def _sets(texts: list[str | None], n: int) -> Iterator[tuple[int, np.ndarray]]:
     """The rows' sets, worked out for some texts at a time."""
-    texts = pdf["text"].tolist()
     for rows in chunks(texts):
         yield from zip(rows, gram_sets([texts[i] for i in rows], n))
 
@@ -105,18 +107,22 @@ def _rarity(docs: DataFrame, n: int, slots: int) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(slots, np.int32)
         for pdf in batches:
-            for _, g in _sets(pdf, n):
+            for _, g in _sets(pdf["text"].tolist(), n):
                 np.add.at(total, (g >> shift).astype(np.intp), np.int32(1))
-        rows = [(b, _packed(c)) for b, c in enumerate(total.reshape(-1, _SLOT_BLOCK)) if c.any()]
+        part = TaskContext.get().partitionId() // _FAN
+        rows = [(b, part, _packed(c)) for b, c in enumerate(total.reshape(-1, _SLOT_BLOCK)) if c.any()]
         if rows:
-            yield pd.DataFrame(rows, columns=["block", "counts"])
+            yield pd.DataFrame(rows, columns=["block", "part", "counts"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(_unpacked(c) for c in pdf["counts"])
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [_packed(total)]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [0], "counts": [_packed(total)]})
 
+    # in two levels, so that no task gets a block from every other one
+    kind = "block int, part int, counts binary"
+    sums = docs.select("text").mapInPandas(lean(count), kind).groupBy("block", "part").applyInPandas(add, kind).groupBy("block").applyInPandas(add, kind)
     counts = np.zeros(slots, np.int64)
-    for r in docs.select("text").mapInPandas(lean(count), "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect():
+    for r in sums.collect():  # at most MAX_SLOTS counts
         counts[r.block * _SLOT_BLOCK : (r.block + 1) * _SLOT_BLOCK] = _unpacked(r.counts)
     scatter = math.sqrt(max(1.0, float(counts.mean())))
     return np.minimum(counts >> max(0, int(math.log2(scatter / 4)) if scatter > 4 else 0), 65535).astype(np.uint16)
@@ -140,32 +146,36 @@ def _folded(vector: bytes, groups: int) -> np.ndarray:
 def _bounded_links(keys: np.ndarray, sizes: np.ndarray, vectors: list[bytes], parts: np.ndarray, t: float) -> list[tuple[int, int]]:
     """Pairs that connect all pairs which the summed coordinate minima allow to be similar.
 
-    Each row is held against the rows that are not reached yet, so that a group of near copies costs
-    one pass. Sizes of allowed pairs differ by less than a factor of two, so rows are taken by their
-    number of groups together with those that have twice as many.
+    The rows are points of an R-tree; each row searches it, and what it reaches is not reached again,
+    so that a group of near copies costs one pass. Sizes of allowed pairs differ by less than a factor
+    of two, so rows are taken by their number of groups together with those that have twice as many.
     """
     out: list[tuple[int, int]] = []
     widths = np.array([len(v) for v in vectors])
-    need = t / (1 + t)
     for groups in np.unique(widths).tolist():
         rows = np.flatnonzero((widths >= groups) & (sizes <= sizes[widths == groups].max() / t + 1e-9))
         if len(rows) < 2:
             continue
         points, size, part = np.stack([_folded(vectors[r], groups) for r in rows]), sizes[rows], parts[rows]
         crossed = len(np.unique(part)) > 1
-        left = np.arange(len(rows))
-        while len(left):
-            front, left = [int(left[0])], left[1:]
-            while front and len(left):
+        tree, left, unreached = CountTree(points, size), np.ones(len(rows), bool), len(rows)
+        for first in range(len(rows)):
+            if not left[first]:
+                continue
+            front, left[first], unreached = [first], False, unreached - 1
+            while front and unreached:
                 i = front.pop()
-                fit = np.minimum(points[left], points[i]).sum(axis=1) >= need * (size[left] + size[i]) - 1e-9
-                fit &= (size[left] >= t * size[i] - 1e-9) & (size[left] <= size[i] / t + 1e-9)
+                near = tree.search(points[i], int(size[i]), t)
+                near = near[left[near]]
                 if crossed:
-                    fit &= part[left] != part[i]
-                hits = left[fit]
-                out += [(int(keys[rows[i]]), int(keys[rows[j]])) for j in hits]
-                front += hits.tolist()
-                left = left[~fit]
+                    near = near[part[near] != part[i]]
+                if len(near):
+                    hits = near.tolist()
+                    left[near], unreached = False, unreached - len(hits)
+                    out += [(int(keys[rows[i]]), int(keys[rows[j]])) for j in hits]
+                    front += hits
+            if not unreached:
+                break
     return out
 
 
@@ -210,34 +220,31 @@ def _linked(pdf: pd.DataFrame, t: float, seen: set[int]) -> pd.DataFrame:
 
 
 def _prefixes(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """doc_id, n, key (of the set; null if empty), prefix (the n-grams by which the set is dealt out) and vector (counts of groups)."""
+    """doc_id, th (the text's hash), n, key (of the set; null if empty), prefix (the n-grams by which the set is dealt out) and vector (counts of groups)."""
     spark = docs.sparkSession
     wanted = max(1, docs.count()) * SLOTS_PER_DOC
     slots = min(MAX_SLOTS, max(MIN_SLOTS, 1 << wanted.bit_length()))
     levels = spark.sparkContext.broadcast(_rarity(docs, n, slots))  # 2 * MAX_SLOTS bytes at most
     shift = np.uint64(64 - slots.bit_length() + 1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         level = levels.value
-        for pdf in batches:
-            rows = []
-            ids = pdf["doc_id"].tolist()
-            for i, g in _sets(pdf, n):
-                doc = ids[i]
-                if not len(g):
-                    rows.append((doc, 0, None, [], b""))
-                    continue
-                vector = _vector(g)
+
+        def work(texts: list[str | None]) -> dict[str, list]:
+            out = {"n": [], "key": [], "prefix": [], "vector": []}
+            for _, g in _sets(texts, n):
+                size = len(g) - math.ceil(t * len(g)) + 1 if len(g) else 0
                 order = np.argsort(level[(g >> shift).astype(np.int64)], kind="stable")
-                size = len(g) - math.ceil(t * len(g)) + 1
-                rows.append((doc, len(g), _key(g), g[order[:size]].view(np.int64), vector))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "key", "prefix", "vector"])
-            # from the lists themselves: with a null among them, pandas would have made floats of long numbers
-            out["doc_id"] = pd.array([None if pd.isna(r[0]) else int(r[0]) for r in rows], "Int64")
-            out["key"] = pd.array([r[2] for r in rows], "Int64")
-            yield out
+                out["n"].append(len(g))
+                out["key"].append(_key(g) if len(g) else None)
+                out["prefix"].append(g[order[:size]].view(np.int64))
+                out["vector"].append(_vector(g) if len(g) else b"")
+            return out
 
-    return materialise(docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(lean(run), "doc_id bigint, n bigint, key bigint, prefix array<bigint>, vector binary"), "prefixes")
+        return work
+
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("th"))
+    return materialise(extended(rows, ["text"], start, "n bigint, key bigint, prefix array<bigint>, vector binary", drop=["text"]), "prefixes")
 
 
 class CountTree:
@@ -335,15 +342,8 @@ def _in_parts(rows: DataFrame, parts: Column) -> DataFrame:
     return rows.withColumn("i", F.least("part", "q")).withColumn("j", F.greatest("part", "q"))
 
 
-def classes(docs: DataFrame, n: int = 5, threshold: Fraction | str = Fraction(4, 5)) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
-
-    component_id is the smallest doc_id that links lead to, the row's own included. A text of fewer
-    than n words is one n-gram; a null text and one without words has none and links with nothing.
-    A null doc_id is no id to be found by: such a row takes part in no link but with equal sets.
-    Repeated rows are equal sets. Empty tables give empty results.
-    """
-    t = Fraction(threshold)
+def _classed(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
+    """doc_id, th, n, root (of the class; null for the empty set) and least (the class's smallest doc_id)."""
     base = _prefixes(docs, n, t)
     sets = base.where("key IS NOT NULL").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("vector").alias("vector"))
     sets = materialise(sets, "sets")
@@ -370,7 +370,7 @@ def classes(docs: DataFrame, n: int = 5, threshold: Fraction | str = Fraction(4,
         for pdf in batches:
             keys = pdf["rep_key"].tolist()
             # another row may bear the same id; the set tells
-            rows = [(keys[i], len(g), g.view(np.int64)) for i, g in _sets(pdf, n) if len(g) and _key(g) == keys[i]]
+            rows = [(keys[i], len(g), g.view(np.int64)) for i, g in _sets(pdf["text"].tolist(), n) if len(g) and _key(g) == keys[i]]
             if rows:
                 yield pd.DataFrame(rows, columns=["key", "n", "grams"])
 
@@ -381,20 +381,43 @@ def classes(docs: DataFrame, n: int = 5, threshold: Fraction | str = Fraction(4,
 
     placed = sets.select("key", "n", "rep").join(joined, sets.key == joined.node, "left").withColumn("root", F.coalesce("root", "key"))
     least = placed.groupBy("root").agg(F.min("rep").alias("least"))
-    placed = placed.join(least, "root").select(F.col("key").alias("k"), F.col("n").alias("m"), "least")
-    out = base.select("doc_id", "n", "key").join(placed, (F.col("key") == F.col("k")) & (F.col("n") == F.col("m")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    placed = placed.join(least, "root").select(F.col("key").alias("k"), F.col("n").alias("m"), "root", "least")
+    return base.select("doc_id", "th", "n", "key").join(placed, (F.col("key") == F.col("k")) & (F.col("n") == F.col("m")), "left").select("doc_id", "th", "n", "root", "least")
+
+
+def classes(docs: DataFrame, n: int = 5, threshold: Fraction | str = Fraction(4, 5)) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; other columns are left out, whatever their names.
+
+    component_id is the smallest doc_id that links lead to, the row's own included. A text of fewer
+    than n words is one n-gram; a null text and one without words has none and links with nothing.
+    A null doc_id is no id to be found by: such a row takes part in no link but with equal sets.
+    Repeated rows are equal sets; one id with several texts has a row, and maybe a class, for each.
+    Texts are taken whole, however long. Empty tables give empty results.
+    """
+    found = _classed(docs, n, Fraction(threshold))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: Fraction | str = Fraction(4, 5)) -> DataFrame:
-    """The rows, with their own columns, that are the first of their class by doc_id; rows without an id stay."""
-    found = classes(docs, n, threshold).where("doc_id IS NOT NULL AND doc_id = component_id")
-    kept = materialise(found.groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    ids = kept.select(F.col("doc_id").alias("__id"))
+    """The rows, with their own columns, that stand for their class: one each, with its smallest doc_id.
+
+    Where several texts of a class, or several rows of a text, have that id, the row with the least hash
+    of the text, then of all columns, stays. Texts without words are each a class by id and text. Rows
+    without an id stay. Empty tables give empty results.
+    """
+    names = docs.columns
+    found = _classed(docs, n, Fraction(threshold)).where("doc_id IS NOT NULL AND doc_id = coalesce(least, doc_id)")
+    own = F.when(F.col("root").isNull(), F.struct("doc_id", "th"))
+    kept = materialise(found.groupBy("root", own.alias("own")).agg(F.min(F.struct("doc_id", "th")).alias("one"), F.count("*").alias("rows")).select("one.*", "rows"), "kept")
+    ids = kept.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
     ids = F.broadcast(ids) if kept.count() <= BROADCAST_IDS else ids  # few enough ids spare the texts a shuffle
-    rows = docs.where(F.col("doc_id").isNotNull()).join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
+    rows = docs.where(F.col("doc_id").isNotNull()).join(ids, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left_semi")
     if kept.where("rows > 1").limit(1).count():
-        rows = rows.dropDuplicates(["doc_id"])
+        # rows of one id and text: the least hash of all columns is found before rows are dealt; equal rows are then interchangeable
+        rows = rows.withColumn("__th", F.xxhash64("text")).withColumn("__all", F.xxhash64(*names))
+        least = rows.groupBy(F.col("doc_id").alias("__id"), F.col("__th").alias("__t")).agg(F.min("__all").alias("__least"))
+        least = F.broadcast(least) if kept.count() <= BROADCAST_IDS else least
+        rows = rows.join(least, (F.col("doc_id") == F.col("__id")) & (F.col("__th") == F.col("__t")) & (F.col("__all") == F.col("__least")), "left_semi").dropDuplicates(["doc_id", "__th"]).select(*names)
     return rows.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import fresh, held_out, lean, materialise, table
+from lattica.llm.common import KEEP, discard, extended, fresh, held_out, lean, materialise, table
 
 UND = "und"
 #: Training texts of each language, about: all of a smaller language, an even sample by id of a larger one.
@@ -28,8 +28,8 @@ BROADCAST_LANGS = 10_000
 #: Texts of which the model is less sure are rejected in pipelines; few clean texts come near it.
 MIN_SCORE = 0.3
 
-#: Words whose scores are kept, and their letters at most; longer ones are scored anew.
-_CACHE, _CACHED = 100_000, 64
+#: Scores of unseen words that are kept, over all languages, and the words' letters at most; longer ones are scored anew.
+_CACHE, _CACHED = 800_000, 64
 
 
 def words_of(text: str) -> list[str]:
@@ -49,14 +49,32 @@ def grams_of(word: str) -> list[str]:
 
 @dataclass
 class Model:
+    """Known words and n-grams with rows of scores. A row holds only the languages that have its key: ``starts``
+    are the rows' starts in ``lang`` and ``gain``; other languages score ``floor`` of the row's kind (0: word, else the n-gram's length)."""
+
     langs: list[str]
     words: dict[str, int]
     grams: dict[str, int]
-    table: np.ndarray
+    starts: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray
     floor: np.ndarray
 
     def __post_init__(self) -> None:
         self.cache: dict[str, np.ndarray] = {}
+        self.room = _CACHE // max(1, len(self.langs))
+
+    def row(self, row: int, kind: int) -> np.ndarray:
+        out = self.floor[kind].copy()
+        a, b = self.starts[row], self.starts[row + 1]
+        out[self.lang[a:b]] += self.gain[a:b]
+        return out
+
+    def known(self, rows: np.ndarray) -> np.ndarray:
+        """The summed scores of known words."""
+        sizes = self.starts[rows + 1] - self.starts[rows]
+        at = np.repeat(self.starts[rows + 1] - np.cumsum(sizes), sizes) + np.arange(int(sizes.sum()))
+        return np.bincount(self.lang[at], weights=self.gain[at], minlength=len(self.langs)) + len(rows) * self.floor[0]
 
     def unseen(self, word: str) -> np.ndarray:
         """The score of a word that is not known, by the longest n-grams that are; a bounded cache keeps it."""
@@ -67,47 +85,68 @@ class Model:
                 for n in range(min(MAX_GRAM, len(w) - at), 0, -1):
                     row = self.grams.get(w[at : at + n])
                     if row is not None:
-                        found = found + self.table[row]
+                        found += self.row(row, n)
                         break
                 else:
-                    n, found = 1, found + self.floor
+                    n = 1  # a letter that no language has tells nothing
                 at += n
             found = found / (len(w) / 2)  # as much as a known word, not as its many pieces
             if len(word) <= _CACHED:
-                if len(self.cache) >= _CACHE:
+                if len(self.cache) >= self.room:
                     self.cache.clear()
                 self.cache[word] = found
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        """The language and its share of the belief, 0 to 1. Equal beliefs: the first language in code-point order."""
         words = words_of(text) if text else []
         if not words or not self.langs:
             return UND, 0.0
         get = self.words.get
         rows = [get(w, -1) for w in words]
         ids = np.array(rows)
-        total = self.table[ids[ids >= 0]].sum(axis=0) if (ids >= 0).any() else np.zeros(len(self.langs))
+        total = self.known(ids[ids >= 0])
         if (ids < 0).any():
-            unseen = self.unseen
-            total = total + sum(unseen(w) for w, r in zip(words, rows) if r < 0)
+            for w, r in zip(words, rows):
+                if r < 0:
+                    total += self.unseen(w)
         z = total / np.sqrt(len(words))
         z = np.exp(z - z.max())
         best = int(z.argmax())
         return self.langs[best], float(z[best] / z.sum())
 
 
+def build(langs: list[str], top: list[tuple[str, int, str, int]], sums: dict[tuple[str, int], int]) -> Model:
+    """A model of the kept keys (lang, kind, key, n) and all counts of each (lang, kind): log((n + 1/2) / (all + 1)), n is 0 for languages that haven't kept the key."""
+    at = {x: i for i, x in enumerate(langs)}
+    top = sorted((k, x, at[g], n) for g, k, x, n in top)
+    floor = np.log(0.5 / (np.array([[sums.get((x, k), 0) for x in langs] for k in range(MAX_GRAM + 1)], float) + 1.0))
+    words: dict[str, int] = {}
+    grams: dict[str, int] = {}
+    starts: list[int] = []
+    before = None
+    for i, (kind, x, _, _) in enumerate(top):
+        if (kind, x) != before:
+            before = (kind, x)
+            (grams if kind else words)[x] = len(starts)
+            starts.append(i)
+    return Model(langs, words, grams, np.array([*starts, len(top)], np.int64), np.array([i for _, _, i, _ in top], np.int32), np.log(2 * np.array([n for *_, n in top], float) + 1).astype(np.float32), floor)
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learn from doc_id, text and lang (rows without a lang or an id are left out).
 
     Fitted on a bounded sample: about ``sample_docs`` whole texts of each language, chosen by the
     hash of the id, so that reruns agree. Counting is done in Spark; what is gathered is bounded by
-    KEEP_WORDS and KEEP_GRAMS for each language.
+    KEEP_WORDS and KEEP_GRAMS for each language: the most frequent keys, equal counts in the order of
+    a hash of the key. Null texts have no words. Repeated rows count as often as they stand. An empty
+    table gives a model that knows no language.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], {}, {}, np.zeros((0, 0)), np.zeros(0))
+        return build([], [], {})
     spark = docs.sparkSession
     rates = spark.createDataFrame([(x, min(1.0, sample_docs / n)) for x, n in sizes.items()], "lang string, rate double")
     even = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
@@ -130,61 +169,70 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
                     yield pd.DataFrame(rows, columns=["lang", "kind", "key", "n"])
 
     counted = sample.mapInPandas(lean(count), "lang string, kind int, key string, n bigint")
-    counts = materialise(counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).where("n > 1"), "lang-counts")  # read three times
-    # the least count that keeps the wanted number of keys, by a histogram of counts: no key is ranked in one task
-    held = counts.groupBy("lang", "kind", "n").agg(F.count("*").alias("keys")).groupBy("lang", "kind").agg(F.sort_array(F.collect_list(F.struct("n", "keys")), False).alias("h")).collect()
+    counts = materialise(counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "lang-counts")  # read four times
+    # the least count of which all keys have room, by a histogram of counts; the keys of the next one fill what is left
+    held = counts.groupBy("lang", "kind", "n").agg(F.count("*").alias("keys")).groupBy("lang", "kind").agg(F.sort_array(F.collect_list(F.struct("n", "keys")), False).alias("h"), F.sum(F.col("n") * F.col("keys")).alias("total")).collect()
     least = []
     for r in held:
-        room, cut = KEEP_GRAMS if r.kind else KEEP_WORDS, 1 << 62
+        room, cut, last = KEEP_GRAMS if r.kind else KEEP_WORDS, 1 << 62, 0
         for h in r.h:
-            room -= h.keys
-            if room < 0:
+            if h["keys"] > room:
+                last = h.n
                 break
+            room -= h["keys"]
             cut = h.n
-        least.append((r.lang, r.kind, cut))
-    sums = {(r.lang, r.kind): r.total for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("total")).collect()}
-    cuts = spark.createDataFrame(least, "lang string, kind int, least bigint")
+        least.append((r.lang, r.kind, cut, last, room))
+    sums = {(r.lang, r.kind): r.total for r in held}
+    cuts = spark.createDataFrame(least, "lang string, kind int, least bigint, last bigint, room int")
     cuts = F.broadcast(cuts) if len(langs) <= BROADCAST_LANGS else cuts
-    top = counts.join(cuts, ["lang", "kind"]).where("n >= least").select("lang", "kind", "key", "n").collect()
-    at = {x: i for i, x in enumerate(langs)}
-    keys = sorted({(r.kind, r.key) for r in top})
-    place = {k: i for i, k in enumerate(keys)}
-    freq = np.zeros((len(keys), len(langs)))
-    for r in top:
-        freq[place[r.kind, r.key], at[r.lang]] = r.n
-    total = np.array([[sums.get((x, k), 0) for x in langs] for k in range(MAX_GRAM + 1)], float) + 1.0
-    kinds = np.array([k for k, _ in keys], int)
-    scores = np.log((freq + 0.5) / total[kinds]) if len(keys) else np.zeros((0, len(langs)))
-    scores -= scores.mean(axis=1, keepdims=True)  # only differences between languages matter
-    words = {x: place[k, x] for k, x in keys if k == 0}
-    grams = {x: place[k, x] for k, x in keys if k}
-    return Model(langs, words, grams, scores.astype(np.float32), np.zeros(len(langs)))
+    marked = counts.join(cuts, ["lang", "kind"])
+    # equal counts of one language: at most the different keys of the bounded sample, sorted with spilling
+    nr = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.xxhash64("key"), "key"))
+    ties = marked.where("n = last AND room > 0").withColumn("nr", nr).where("nr <= room")
+    columns = ["lang", "kind", "key", "n"]
+    top = marked.where("n >= least").select(*columns).unionByName(ties.select(*columns)).collect()
+    discard(counts)
+    return build(langs, [tuple(r) for r in top], sums)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """The input's columns with lang_pred and score (0 to 1); only the text is looked at.
 
-    A null text, and one without a letter, is ``und`` with score 0. Equal rows get equal results.
+    A null text, and one without a letter, is ``und`` with score 0. Runs of letters count whole,
+    however long (a text without spaces is one run). Equal rows get equal results; equal beliefs go to
+    the first language in code-point order. Input columns named lang_pred or score are replaced. An
+    empty table gives an empty result.
     """
     docs = fresh(docs, "lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by KEEP_WORDS and KEEP_GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most KEEP_WORDS + MAX_GRAM * KEEP_GRAMS entries a language
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for pdf in batches:
-            found = [m.predict(t) for t in pdf["text"]]
-            pdf["lang_pred"] = [x for x, _ in found]
-            pdf["score"] = np.array([s for _, s in found], float)
-            yield pdf
+    def start():
+        model = shared.value
+
+        def work(texts: list[str | None]) -> dict[str, list]:
+            found = [model.predict(t) for t in texts]
+            return {"lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(lean(run), f"{fields}, lang_pred string, score double")
+        return work
+
+    return extended(docs, ["text"], start, "lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows, with their own columns, whose language is told with at least min_score."""
+    """The rows, with their own columns, whose language is told with at least min_score; null texts and those without a letter go."""
     names = docs.columns
-    return identify(docs, model).where((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select(*names)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        model = shared.value
+
+        def work(texts: list[str | None]) -> dict[str, list]:
+            found = [model.predict(t) for t in texts]
+            return {KEEP: [x != UND and s >= min_score for x, s in found]}
+
+        return work
+
+    return extended(docs, ["text"], start, "").select(*names)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,17 +2,24 @@
 
 All rolling word k-grams of the texts are joined to the places of the same k-grams in licence
 templates. A hit votes for its diagonal (place in the text minus place in the template); the
-votes are aggregated by diagonal, neighbouring diagonals are merged, so that a few words put in
-or left out do not break a match, and a merged span counts if it covers enough of its template.
+votes are aggregated by diagonal, and neighbouring diagonals are merged, so that a few words put in
+or left out do not break a match. A merged span whose votes cover enough of its template is verified:
+its hits are put in the order of the text, the longest run that ascends in the template as well is
+kept, and within a stretch of the text not much longer than the template that run must cover enough.
+Equal 64-bit hashes of words are taken as equal words.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lattica.llm import license_texts
 from lattica.llm.common import ALNUM_WORD, fresh, table
 
 K = 3
@@ -36,23 +43,57 @@ BASE = (
     Template("cc-by-nc", "cc by nc", True),
 )
 
-#: Public licence texts' own wording. Short ones need every word; long ones may miss a few.
-TEMPLATES = (
-    Template("mit", "released under the mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", cover=0.8),
-    Template("apache-2", "licensed under the apache license version 2 0"),
-    Template("gpl-2", "gnu general public license version 2"),
-    Template("gpl-3", "gnu general public license version 3"),
-    Template("lgpl-3", "gnu lesser general public license version 3"),
-    Template("agpl-3", "gnu affero general public license version 3"),
-    Template("mpl-2", "mozilla public license version 2 0"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", cover=0.8),
-    Template("cc-by", "licensed under cc by 4 0"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0"),
-    Template("cc-by-sa", "licensed under cc by sa 4 0"),
-    Template("cc0", "cc0 1 0 universal"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", cover=0.8),
-)
+#: Notices and whole texts differ in a few words; their names don't.
+TEMPLATES = tuple(Template(label, words, cover=0.8) for label, words in license_texts.TEXTS) + tuple(Template(label, words) for label, words in license_texts.NAMES)
+
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A verified span is at most so many times as long as its template.
+STRETCH = 1.25
+
+
+def words_of(text: str) -> list[str]:
+    return _WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+
+
+def verified(hits: list[tuple[int, int]], length: int) -> tuple[float, int, int]:
+    """The share of a template's words that an ascending run of hits (place, at) covers in one stretch, and the stretch's first and last word.
+
+    The run is a longest one with both numbers strictly ascending. Ties: the earliest stretch.
+    """
+    tails: list[int] = []
+    ends: list[int] = []
+    back: list[int] = []
+    hits = sorted(hits, key=lambda h: (h[0], -h[1]))  # of one place, only one hit can be in a run
+    for i, (_, at) in enumerate(hits):
+        k = bisect_left(tails, at)
+        back.append(ends[k - 1] if k else -1)
+        if k == len(tails):
+            tails.append(at)
+            ends.append(i)
+        else:
+            tails[k], ends[k] = at, i
+    run, i = [], ends[-1] if ends else -1
+    while i >= 0:
+        run.append(hits[i])
+        i = back[i]
+    run.reverse()
+    best, first, low, covered = (0, 0, 0), 0, 0, 0
+    gains = [K if i == 0 else min(K, at - run[i - 1][1]) for i, (_, at) in enumerate(run)]
+    for last, (place, _) in enumerate(run):
+        covered += gains[last]
+        while place + K - run[first][0] > STRETCH * length + K:
+            covered -= gains[first]
+            first += 1
+            covered += K - gains[first]
+            gains[first] = K
+        if covered > best[0]:
+            best = (covered, run[first][0], place + K - 1)
+    return best[0] / length, best[1], best[2]
+
+
+def _verified_share(spans: pd.Series, lengths: pd.Series) -> pd.Series:
+    return pd.Series([verified([(int(d["diagonal"]) + int(at), int(at)) for d in span for at in d["votes"]], int(n))[0] for span, n in zip(spans, lengths)], dtype=float)
+
 
 _ADDED = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
@@ -60,16 +101,18 @@ _ADDED = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels
 def scan(docs: DataFrame, base: tuple[Template, ...] = BASE, templates: tuple[Template, ...] = TEMPLATES, gap: int = 3) -> DataFrame:
     """Per row: the input's columns but the text, and n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Null and empty texts have no words, empty labels and score 0. Rows are told apart by doc_id and
-    text; equal rows have equal results, and a null doc_id is an id like any other. Texts of under
-    k words match nothing. Input columns of the added names are replaced.
+    score is the largest share of a template's words that one merged span votes for. Null and empty
+    texts have no words, empty labels and score 0. Rows are told apart by doc_id and text; equal rows
+    have equal results, and a null doc_id is an id like any other. Texts of under k words match
+    nothing; long ones are taken whole. Input columns of the added names are replaced. An empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     docs = fresh(docs, *_ADDED)
     every = (*base, *templates)
     grams = []
     for i, t in enumerate(every):
-        words = t.words.split()
+        words = words_of(t.words)
         if len(words) < K:
             raise ValueError(f"a template needs {K} words: {t.words!r}")
         grams += [(words[p : p + K], i, p) for p in range(len(words) - K + 1)]
@@ -87,18 +130,22 @@ def scan(docs: DataFrame, base: tuple[Template, ...] = BASE, templates: tuple[Te
 
     by_span = Window.partitionBy("doc_id", "__th", "template").orderBy("diagonal")
     starts = (F.col("diagonal") - F.lag("diagonal").over(by_span) > gap).cast("int")
-    facts = spark.createDataFrame([(i, t.label, len(t.words.split()), t.exact, float(t.cover)) for i, t in enumerate(every)], "template int, label string, length int, exact boolean, cover double")
+    facts = spark.createDataFrame([(i, t.label, len(words_of(t.words)), t.exact, float(t.cover)) for i, t in enumerate(every)], "template int, label string, length int, exact boolean, cover double")
     spans = votes.withColumn("span", F.sum(F.coalesce(starts, F.lit(0))).over(by_span)).join(F.broadcast(facts), "template")
     whole = F.col("exact") & (F.size("votes") == F.col("length") - (K - 1))
     merged = spans.groupBy("doc_id", "__th", "template", "label", "length", "exact", "cover", "span").agg(
+        F.when(~F.first("exact"), F.collect_list(F.struct("diagonal", "votes"))).alias("diagonals"),
         F.array_distinct(F.flatten(F.collect_list("votes"))).alias("votes"),
         F.sum(whole.cast("bigint")).alias("places"),
         F.min(F.when(whole, F.col("diagonal"))).alias("first"),
         F.max(F.when(whole, F.col("diagonal"))).alias("last"),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("votes", lambda p: F.sequence(p, p + (K - 1))))))
-    merged = merged.withColumn("share", covered / F.col("length"))
-    base_hit, own_hit = F.col("exact") & (F.col("places") > 0), ~F.col("exact") & (F.col("share") >= F.col("cover"))
+    merged = merged.withColumn("share", covered / F.col("length")).drop("votes")
+    asked = ~F.col("exact") & (F.col("share") >= F.col("cover"))
+    checked = merged.where(asked).withColumn("real", F.pandas_udf(_verified_share, "double")("diagonals", "length"))
+    merged = merged.where(~asked).withColumn("real", F.lit(0.0)).unionByName(checked).drop("diagonals")
+    base_hit, own_hit = F.col("exact") & (F.col("places") > 0), ~F.col("exact") & (F.col("real") >= F.col("cover"))
     found = merged.groupBy("doc_id", "__th").agg(
         F.sum(F.when(F.col("exact"), F.col("places")).otherwise(0)).alias("n_base"),
         F.min("first").cast("bigint").alias("first_word"),

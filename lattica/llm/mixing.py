@@ -3,20 +3,19 @@
 Every document of a source should be taken x = target / size of the source times. The whole part
 of x is certain; the fraction is rounded at random, dependently: two documents that are still
 open exchange mass, in words, until one of them is settled, so that the words taken stay equal to
-the words wanted throughout. A bucket of a source settles all its documents but one; those are
-settled in the next level of a reduction tree, and so on until each source has one open document.
+the words wanted throughout. A bucket of a source settles all its documents but one, each against all
+smaller ones of the bucket; the open ones are settled in pairs in the next level of a reduction tree,
+and so on until each source has one open document.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import SPACE_WORD, fresh, materialise, table
+from lattica.llm.common import SPACE_WORD, discard, fresh, materialise, table
 
 #: The weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -24,25 +23,38 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BUCKET, BUCKET_WORDS = 10_000, 5_000_000
 #: Sources are told to the tasks by broadcast up to this count (about 50 bytes each).
 BROADCAST_SOURCES = 100_000
+#: Equal rows that are settled as one row with their number, at most, and buckets that meet in one of the next level.
+PIECE, FAN = 1_000, 1_000
 ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], at_most: float) -> dict[str | None, float]:
-    """Words wanted of each source: all words shared by weight, none above at_most times its own size."""
-    order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
-    w = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    cap = {s: at_most * n for s, n in order}
-    left, open_, out = float(sum(n for _, n in order)), [s for s, _ in order], {}
-    while open_:
-        total = sum(w[s] for s in open_)
-        full = [s for s in open_ if left * w[s] / total >= cap[s]]
-        if not full:
-            out |= {s: left * w[s] / total for s in open_}
+def wanted(sums: DataFrame, weights: tuple[float, ...] = WEIGHTS, at_most: float = 3.0) -> DataFrame:
+    """Rows source, n (words) to source, source_size and target: all words shared by weight, none above at_most times its own size.
+
+    Sources take the weights in code-point order, null last. They are sorted and numbered in
+    partitions, and the share of a unit of weight is found by sums over all sources, one pass for
+    each time that it grows: no list of sources is gathered.
+    """
+    spark = sums.sparkSession
+    order = F.col("source").asc_nulls_last()
+    parted = materialise(sums.select("source", "n").repartitionByRange(order).withColumn("part", F.spark_partition_id()), "sources")
+    before, rows = 0, []
+    for r in parted.groupBy("part").agg(F.count("*").alias("sources")).orderBy("part").collect():  # a row for each partition
+        rows.append((r.part, before))
+        before += r.sources
+    offsets = spark.createDataFrame(rows, "part int, before bigint")
+    nr = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1 + F.col("before")
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (nr % len(weights) + 1).cast("int"))
+    known = materialise(parted.join(F.broadcast(offsets), "part").select("source", "n", weight.alias("w"), (F.col("n") * at_most).alias("cap")), "weights")
+    discard(parted)
+    share, open_ = 0.0, -1
+    while True:
+        full = F.col("cap") <= share * F.col("w") if open_ >= 0 else F.lit(False)
+        r = known.agg(F.sum("n").alias("n"), F.sum(F.when(full, F.col("cap"))).alias("caps"), F.sum(F.when(~full, F.col("w"))).alias("w"), F.count_if(~full).alias("open")).collect()[0]
+        if r.open in (0, open_):
             break
-        out |= {s: float(cap[s]) for s in full}
-        left -= sum(cap[s] for s in full)
-        open_ = [s for s in open_ if s not in out]
-    return out
+        share, open_ = ((r.n or 0) - (r.caps or 0.0)) / r.w, r.open
+    return known.select("source", F.col("n").alias("source_size"), F.least("cap", share * F.col("w")).alias("target"))
 
 
 def settle(x: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> None:
@@ -70,32 +82,49 @@ def settle(x: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> None:
         held = a if 0.0 < x[a] < 1.0 else b if 0.0 < x[b] < 1.0 else -1
 
 
-def close(x: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
-    """Round the one open document of a whole source and turn over settled ones, nearest in size first, while that brings the words nearer to the target."""
-    off = float(((np.rint(x) - x) * size).sum())
-    x[:] = np.rint(x)
-    free = (first > 0) & (first < 1) & (size > 0)
-    for _ in range(32):
-        able = free & (x == (1.0 if off > 0 else 0.0))
-        gain = np.where(able, np.abs(abs(off) - size), np.inf)
-        i = int(np.argmin(gain))
-        if not gain[i] < abs(off):
-            return
-        off += size[i] if x[i] == 0 else -size[i]
-        x[i] = 1.0 - x[i]
+def settle_alike(f: float, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Round documents that all have the fraction f, sizes descending, until at most one is open.
+
+    Each document is paired with all smaller ones as one: mass goes from it to them, spread by size, or
+    back, until it is settled or they are. They keep a common fraction, so that the largest documents
+    are settled first and what stays open is small, unless one document outweighs all the others.
+    """
+    x, left = np.zeros(len(size)), float(size.sum())
+    for k in range(len(size)):
+        if f < 1e-9 or f > 1 - 1e-9:
+            x[k:] = round(f)
+            return x
+        rest = left - size[k]
+        if rest < 0.5:  # sizes are whole
+            x[k] = f
+            return x
+        up, down = min((1 - f) * size[k], f * rest), min(f * size[k], (1 - f) * rest)
+        move = up if draws[k] * (up + down) < down else -down
+        x[k] = f + move / size[k]
+        f = min(1.0, max(0.0, f - move / rest))
+        if x[k] < 1e-9 or x[k] > 1 - 1e-9:
+            x[k] = round(x[k])
+        left = rest
+    return x
 
 
 def _level(seed: int, level: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "__tie"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        key = [seed, level, int(pdf["__bucket"].iloc[0]), int(pdf["__source"].iloc[0]) & 0xFFFFFFFF, int(pdf["__source"].iloc[0]) >> 32 & 0xFFFFFFFF]
-        x = pdf["__x"].to_numpy(float).copy()
-        size = pdf["size"].to_numpy(float)
-        settle(x, size, np.random.default_rng(key))
-        if level == 0 and pdf["__buckets"].iloc[0] == 1:
-            close(x, pdf["__x"].to_numpy(float), size)
-        pdf["__x"] = x
-        return pdf
+    def run(rows: pa.Table) -> pa.Table:
+        column = lambda c: rows[c].to_numpy()
+        rows = rows.take(pa.array(np.lexsort((column("__piece"), column("__tie"), -column("size")))))
+        key = [seed, level, *(int(column(c)[0]) & 0xFFFFFFFFFFFFFFFF for c in ("__bucket", "__source"))]
+        nr = np.repeat(np.arange(len(rows)), column("__n"))  # equal rows come as one, with their number
+        x, size, rng = column("__x")[nr].astype(float), column("size")[nr].astype(float), np.random.default_rng(key)
+        if level:
+            settle(x, size, rng)
+        else:  # all documents of a source start with one fraction; empty ones, which come last, with none
+            some = int((size > 0).sum())
+            x[:some] = settle_alike(float(x[0]), size[:some], rng.random(some))
+        kind = np.where(x <= 0, 0, np.where(x >= 1, 1, 2))
+        kinds, first, count = np.unique(nr * 3 + kind, return_index=True, return_counts=True)
+        out = rows.take(pa.array(kinds // 3))
+        out = out.set_column(out.column_names.index("__x"), "__x", pa.array(x[first]))
+        return out.set_column(out.column_names.index("__n"), "__n", pa.array(count.astype(np.int64)))
 
     return run
 
@@ -109,43 +138,49 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, at_most: float =
 
     ``size`` names a column with sizes that are known already; the texts may then be left out.
 
-    Sources may be null (one source, the last). A null text has size 0 and is not taken. Equal rows
-    are each settled by themselves; they are interchangeable, so reruns give the same rows. Each
-    source's words taken miss the target by less than the size of one document; where a source is
-    one bucket, turning over a few documents of fitting size brings them nearer still. Input columns of
-    the added names are replaced. Sources are gathered as one row of sums each.
+    Sources may be null (one source, the last). A null or empty text has size 0 and is not taken.
+    The mean of a document's copies is target / source_size exactly, at every size of a source, and the
+    words taken of a source miss its target by less than the size of one document. Equal rows are
+    settled each by itself; as they are interchangeable, reruns give the same rows. They come as one
+    row with their number, in pieces, so that no bucket is larger for them. Input columns of the added
+    names are replaced; all columns must be of types that can be grouped by. An empty table gives an
+    empty result.
     """
     docs = docs.withColumn("__size", F.col(size).cast("bigint") if size else words_in("text"))
     docs = fresh(docs, *ADDED)
     keep = [c for c in docs.columns if c != "__size"]
     sized = docs.withColumnRenamed("__size", "size")
-    sums = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()
-    want = targets([(r.source, r.n) for r in sums], weights, at_most)
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(r.source, r.n, want[r.source], max(1, math.ceil(max(r.docs / bucket, r.n / BUCKET_WORDS)))) for r in sums], "__s string, source_size bigint, target double, __buckets int")
-    known = F.broadcast(known) if len(sums) <= BROADCAST_SOURCES else known
-    rows = sized.join(known, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
+    tie = F.xxhash64(*[F.col(c) for c in keep])
+    equal = materialise(sized.groupBy(*keep, "size").agg(F.count("*").alias("__n")).withColumn("__tie", tie), "equal-rows")
+    sums = equal.groupBy("source").agg(F.sum(F.col("size") * F.col("__n")).alias("n"), F.sum("__n").alias("docs"))
+    sums = materialise(sums, "sums")
+    buckets = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("docs") / bucket, F.col("n") / BUCKET_WORDS))).cast("int")
+    known = wanted(sums, weights, at_most).join(sums.select(F.col("source").alias("__s"), buckets.alias("__buckets")), F.col("source").eqNullSafe(F.col("__s")))
+    known = materialise(known.select(F.col("source").alias("__s"), "source_size", "target", "__buckets"), "wanted")
+    facts = known.agg(F.count("*").alias("sources"), F.max("__buckets").alias("most")).collect()[0]
+    known = F.broadcast(known) if facts.sources <= BROADCAST_SOURCES else known
+    rows = equal.join(known, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
     x = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("__mean", F.when(F.col("size") > 0, x).otherwise(F.lit(0.0)))
     rows = rows.withColumn("__whole", F.floor(F.col("__mean") + 1e-9)).withColumn("__x", F.greatest(F.col("__mean") - F.col("__whole"), F.lit(0.0))).drop("__mean")
-    rows = rows.withColumn("__source", F.xxhash64("source")).withColumn("__tie", F.xxhash64(*[F.col(c) for c in keep]))
-    rows = rows.withColumn("__bucket", F.pmod("__tie", "__buckets").cast("int"))
-    level, biggest, done = 0, max([max(r.docs / bucket, r.n / BUCKET_WORDS) for r in sums], default=0), None
+    rows = rows.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / PIECE))))
+    rows = rows.withColumn("__n", F.least(F.col("__n") - F.col("__piece") * PIECE, F.lit(PIECE)).cast("bigint"))
+    rows = rows.withColumn("__source", F.xxhash64("source")).withColumn("__bucket", F.pmod(F.xxhash64("__tie", "__piece"), "__buckets")).drop("__buckets")
+    level, biggest, done = 0, facts.most or 1, None
     while True:
-        settled = rows.groupBy("__source", "__bucket").applyInPandas(_level(seed, level), rows.schema)
+        settled = rows.groupBy("__source", "__bucket").applyInArrow(_level(seed, level), rows.schema)
         settled = materialise(settled, f"mix{level}")
         open_ = settled.where("__x > 0 AND __x < 1")
         closed = settled.where("NOT (__x > 0 AND __x < 1)")
+        done = closed if done is None else done.unionByName(closed)
         if biggest <= 1:  # one bucket for each source: what is still open is the last document of its source
             coin = F.pmod(F.xxhash64(F.lit(seed), "__source", "__tie"), F.lit(1 << 30)) / float(1 << 30)
-            open_ = open_.withColumn("__x", (coin < F.col("__x")).cast("double"))
-            closed = closed.unionByName(open_)
-            done = closed if done is None else done.unionByName(closed)
+            done = done.unionByName(open_.withColumn("__x", (coin < F.col("__x")).cast("double")))
             break
-        done = closed if done is None else done.unionByName(closed)
-        rows = open_.withColumn("__bucket", F.floor(F.col("__bucket") / 1000).cast("int"))
-        biggest, level = biggest / 1000, level + 1
+        rows = open_.withColumn("__bucket", F.floor(F.col("__bucket") / FAN))
+        biggest, level = -(-biggest // FAN), level + 1
     copies = (F.col("__whole") + F.round("__x")).cast("bigint")
+    done = done.withColumn("__each", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
     return done.select(*keep, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 

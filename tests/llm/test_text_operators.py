@@ -53,12 +53,57 @@ def test_licences(table, docs):
     assert by_id[7004].labels == "gpl-2" and by_id[7005].labels == "" and by_id[7001].labels == "mit"
 
 
-def test_licence_spans_with_a_gap(spark):
-    t = licenses.TEMPLATES[1].words.split()
-    broken = " ".join(t[:9] + ["oddly", "put"] + t[9:])
-    far = " ".join(t[:9])
-    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame([(1, broken), (2, far)], "doc_id bigint, text string")).collect()}
-    assert got == {1: "mit", 2: ""}
+def brute_labels(text):
+    """Labels of the method in plain Python: diagonals, chains of neighbours, the best ascending run by comparing all pairs of hits."""
+    w, found = words(text), set()
+    for t in licenses.TEMPLATES:
+        p = licenses.words_of(t.words)
+        places = collections.defaultdict(list)
+        for at in range(len(p) - 2):
+            places[tuple(p[at : at + 3])].append(at)
+        diagonals = collections.defaultdict(set)
+        for i in range(len(w) - 2):
+            for at in places.get(tuple(w[i : i + 3]), ()):
+                diagonals[i - at].add(at)
+        spans = []
+        for d in sorted(diagonals):
+            if not spans or d - spans[-1][-1] > 3:
+                spans.append([])
+            spans[-1].append(d)
+        for span in spans:
+            hits = sorted(((d + at, at) for d in span for at in diagonals[d]), key=lambda h: (h[0], -h[1]))
+            best = []
+            for place, at in hits:  # a longest ascending run that ends here
+                best.append(max((b for b, h in zip(best, hits) if h[0] < place and h[1] < at), key=len, default=[]) + [(place, at)])
+            run = max(best, key=len)
+            share = max(len({a + k for _, a in run[i:j] for k in range(3)}) for i in range(len(run)) for j in range(i + 1, len(run) + 1) if run[j - 1][0] + 3 - run[i][0] <= 1.25 * len(p) + 3) / len(p)
+            if share >= t.cover:
+                found.add(t.label)
+    return found
+
+
+def test_licence_spans_with_changes(spark):
+    """Whole texts with changed words are found; their pieces in another order, and far apart, are not."""
+    import random
+
+    rng, rows = random.Random(5), []
+    for k, t in enumerate(licenses.TEMPLATES):
+        w = t.words.split()
+        edited = [rng.choice(("changed", x + " oddly put")) if rng.random() < 0.03 else x for x in w]
+        pieces = [w[i : i + 5] for i in range(0, len(w), 5)]
+        rng.shuffle(pieces)
+        rows += [(3 * k, "some words " + " ".join(edited) + " and more"), (3 * k + 1, " ".join(sum(pieces, []))), (3 * k + 2, " ".join(" ".join(x) + " far apart" * 30 for x in pieces))]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    brute = {k: brute_labels(t) for k, t in rows}
+    own = {k: {t.label for t in licenses.BASE if re.search(rf"\b{t.words}\b", " ".join(words(x)))} for k, x in rows}
+    assert got == {k: ",".join(sorted(brute[k] | own[k])) for k, _ in rows}
+    assert all(t.label in got[3 * k] for k, t in enumerate(licenses.TEMPLATES) if t.cover < 1) and got[7] == "" and got[2] == ""
+
+
+def test_verified_runs():
+    assert licenses.verified([(10 + i, i) for i in range(8)], 10) == (1.0, 10, 19)
+    assert licenses.verified([(i, 7 - i) for i in range(8)], 10)[0] == 0.3
+    assert licenses.verified([], 10)[0] == 0 and licenses.verified([(0, 0), (500, 7)], 10)[0] == 0.3
 
 
 def test_licence_edges(empty, clashing):
@@ -153,17 +198,33 @@ def test_binomial_bounds():
         assert quality.binomial_cdf(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel=1e-9)
 
 
+def test_the_path_tightens():
+    steps = quality.path(quality.RULES)
+    assert steps[-1] == {r.name: r.grid[-1] for r in quality.RULES} and len(steps) == sum(len(r.grid) for r in quality.RULES)
+    for r in quality.RULES:
+        seen = [step[r.name] for step in steps if r.name in step]
+        assert seen == sorted(seen, reverse=r.upper)
+
+
 def test_cutoffs_keep_their_promise(spark):
-    """Bad texts have many symbols; the cutoff found turns them away and at most the allowed share of good ones."""
-    rows = [(k, ("good words " * 40) + "#" * (k % 4) if k % 3 else "###% " * 60, "xx") for k in range(6000)]
+    """Bad texts have many symbols; the cutoffs found turn them away and at most the allowed share of good ones. The chosen step is that of a plain walk along the path."""
+    rows = [(k, ("good words " * 40) + "#" * (k % 4 + 12 * (k % 101 == 0)) if k % 3 else "###% " * 60, ("xx", "yy")[k % 2]) for k in range(6000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(6000)], "doc_id bigint, quality int")
-    rules = (quality.RULES[0],)
+    rules = (quality.RULES[0], quality.RULES[4])
     feats = quality.text_features(docs)
     cutoffs = quality.learn_cutoffs(feats, labels, "lang", 0.02, 0.95, rules)
+    for lang in ("xx", "yy"):
+        good = [(x.n_symbols / max(1, x.n_words), x.word_chars / max(1, x.n_words)) for x in feats.where(f"lang = '{lang}' AND doc_id % 3 > 0").collect()]
+        want = None
+        for step in quality.path(rules):
+            bad = sum(a > step["symbols"] or b > step.get("long_words", 1e9) for a, b in good)
+            if sum(math.comb(len(good), i) * 0.02**i * 0.98 ** (len(good) - i) for i in range(bad + 1)) > 0.025:
+                break
+            want = step
+        assert cutoffs[lang] == want
     judged = quality.apply_cutoffs(feats, cutoffs, "lang", rules).join(labels, "doc_id")
-    assert cutoffs["xx"]["symbols"] == 0.1
-    assert judged.where("quality = 1 AND n_symbols / n_words > 0.1").count() / 4000 <= 0.02
+    assert cutoffs["xx"]["symbols"] <= 0.25 and judged.where("quality = 0 AND kept").count() == 0
     few = quality.learn_cutoffs(feats, labels.limit(20), "lang", 0.02, 0.95, rules)
     assert not few  # too few labels promise nothing
 
@@ -191,24 +252,85 @@ def test_language(spark, table):
     assert kept.where("doc_id < 9000").count() >= 0.97 * table.where("doc_id < 9000").count()
 
 
-def test_backoff_takes_the_longest_known_gram():
+def small_model(words, grams, langs=("a", "b")):
+    """Keys with their scores by language."""
     import numpy as np
 
-    m = langid.Model(["a", "b"], {"the": 0}, {"^x": 1, "y": 2, "^": 3}, np.array([[1, 0], [0, 4], [2, 0], [9, 9]], np.float32), np.zeros(2))
+    rows = [*words.values(), *grams.values()]
+    lang = [i for r in rows for i, x in enumerate(r) if x]
+    starts = np.cumsum([0, *(sum(x != 0 for x in r) for r in rows)])
+    gain = np.array([x for r in rows for x in r if x], np.float32)
+    return langid.Model(list(langs), {w: i for i, w in enumerate(words)}, {g: len(words) + i for i, g in enumerate(grams)}, starts, np.array(lang, np.int32), gain, np.zeros((langid.MAX_GRAM + 1, len(langs))))
+
+
+def test_backoff_takes_the_longest_known_gram():
+    m = small_model({"the": (1, 0)}, {"^x": (0, 4), "y": (2, 0), "^": (9, 9)})
     assert m.unseen("xyz").tolist() == pytest.approx([2 / 2.5, 4 / 2.5])
     assert m.predict("the")[0] == "a" and m.predict("x")[0] == "b" and m.predict(None) == ("und", 0.0) and m.predict("12 !")[0] == "und"
+    assert m.predict("q") == ("a", 0.5)  # equal beliefs
 
 
 def test_long_runs_of_letters_count_whole(spark):
-    import numpy as np
-
-    m = langid.Model(["a", "b"], {}, {"x": 0, "y": 1}, np.array([[1, 0], [0, 1]], np.float32), np.zeros(2))
-    run = "x" * 64 + "y" * 300
-    assert m.predict(run)[0] == "b" and m.unseen(run) == pytest.approx(np.array([64, 300]) / (366 / 2)) and run not in m.cache
+    m = small_model({}, {"x": (1, 0), "y": (0, 1)})
+    run = "x" * 64 + "y" * 10_000
+    assert m.predict(run)[0] == "b" and m.unseen(run) == pytest.approx([64 / (10_066 / 2), 10_000 / (10_066 / 2)]) and run not in m.cache
     docs = spark.createDataFrame([(k, "x" * 64 + "qz" * 40, "en") for k in range(3)], "doc_id bigint, text string, lang string")
     assert "qzqz" in langid.train(docs).grams
 
 
+def test_ties_fill_the_room(spark, monkeypatch):
+    monkeypatch.setattr(langid, "KEEP_WORDS", 300)
+    monkeypatch.setattr(langid, "KEEP_GRAMS", 50)
+    text = "often often " + " ".join("".join(chr(97 + int(c)) for c in f"{k:03d}") for k in range(400))
+    model = langid.train(spark.createDataFrame([(1, text, "en")], "doc_id bigint, text string, lang string"))
+    again = langid.train(spark.createDataFrame([(1, text, "en")], "doc_id bigint, text string, lang string").repartition(3))
+    assert len(model.words) == 300 and "often" in model.words and set(model.words) == set(again.words)
+    assert all(sum(len(g) == n for g in model.grams) <= 50 for n in range(1, 5))
+
+
+def brute_language(docs, texts):
+    """Counts and scores as dictionaries, one language at a time."""
+    words_, grams_ = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for lang, t in docs:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            words_[lang][w] += 1
+            for n in range(1, 5):
+                for i in range(len(w) + 3 - n):
+                    grams_[lang, n][f"^{w}$"[i : i + n]] += 1
+    langs = sorted(words_)
+    known, kgrams = set().union(*words_.values()), {n: set().union(*(grams_[x, n] for x in langs)) for n in range(1, 5)}
+
+    def score(lang, t):
+        total, ws = 0.0, re.findall(r"[^\W\d_]+", t.lower())
+        for w in ws:
+            if w in known:
+                total += math.log((words_[lang][w] + 0.5) / (sum(words_[lang].values()) + 1))
+                continue
+            x, at, here = f"^{w}$", 0, 0.0
+            while at < len(x):
+                n = next((n for n in range(min(4, len(x) - at), 0, -1) if x[at : at + n] in kgrams[n]), 0)
+                here += math.log((grams_[lang, n][x[at : at + n]] + 0.5) / (sum(grams_[lang, n].values()) + 1)) if n else 0
+                at += n or 1
+            total += here / (len(x) / 2)
+        return total / math.sqrt(len(ws))
+
+    out = []
+    for t in texts:
+        z = {x: score(x, t) for x in langs}
+        top = max(z.values())
+        out.append((max(langs, key=lambda x: z[x]), 1 / sum(math.exp(v - top) for v in z.values())))
+    return out
+
+
+def test_language_against_brute_force(spark, table):
+    some = table.where("doc_id < 60 AND text IS NOT NULL AND lang IS NOT NULL")
+    rows = some.select("lang", "text").collect()
+    texts = [t for (t,) in table.where("doc_id BETWEEN 60 AND 110 AND text RLIKE '[a-z]'").select("text").collect()] + ["zzqx unseen words", "x"]
+    model = langid.train(some)
+    for got, want in zip(map(model.predict, texts), brute_language([tuple(r) for r in rows], texts)):
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], rel=1e-4)
+
+
 def test_language_edges(empty, clashing):
     model = langid.train(empty)
     assert model.predict("any words") == ("und", 0.0)
@@ -218,10 +340,43 @@ def test_language_edges(empty, clashing):
 # ---- mixing
 
 
-def test_targets():
-    got = mixing.targets([("b", 100), (None, 1000), ("a", 10), ("c", 500)], mixing.WEIGHTS, 3.0)
-    assert sum(got.values()) == pytest.approx(1610) and got["a"] == 30 and got["b"] == 300
-    assert got[None] / got["c"] == pytest.approx(5) and mixing.targets([], mixing.WEIGHTS, 3.0) == {}
+def brute_targets(sizes, weights, at_most):
+    """All words shared by weight; what is above a source's bound is shared anew among the others."""
+    order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
+    w = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
+    cap, left, open_, out = {s: at_most * n for s, n in order}, float(sum(n for _, n in order)), [s for s, _ in order], {}
+    while open_:
+        total = sum(w[s] for s in open_)
+        full = [s for s in open_ if left * w[s] / total >= cap[s]]
+        if not full:
+            return out | {s: left * w[s] / total for s in open_}
+        out |= {s: float(cap[s]) for s in full}
+        left -= sum(cap[s] for s in full)
+        open_ = [s for s in open_ if s not in out]
+    return out
+
+
+def test_targets(spark):
+    import random
+
+    rng = random.Random(3)
+    cases = [[("b", 100), (None, 1000), ("a", 10), ("c", 500)], [("x", 0), ("y", 0)], [("only", 7)]]
+    cases.append([(f"s{k}", rng.choice((0, 1, 10, 1000, 100_000))) for k in range(60)])
+    for sizes in cases:
+        got = {r.source: r.target for r in mixing.wanted(spark.createDataFrame(sizes, "source string, n bigint").repartition(3)).collect()}
+        assert got == pytest.approx(brute_targets(sizes, mixing.WEIGHTS, 3.0))
+    assert mixing.wanted(spark.createDataFrame([], "source string, n bigint")).count() == 0
+
+
+def test_equal_rows_and_large_ids(spark):
+    """Rows that are alike in every column are settled one by one, in pieces; ids beyond 2^53 beside null ones stay."""
+    big = 9007199254740993
+    rows = [(None, "a", 3)] * 2500 + [(big + k, "a", 5) for k in range(50)] + [(k, "b", 4) for k in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string, size bigint").repartition(3), size="size", bucket=400).collect()
+    assert collections.Counter((r.doc_id, r.source, r["size"]) for r in got) == collections.Counter(rows)
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 5
 
 
 def test_mixing(table):
@@ -257,6 +412,18 @@ def test_settling_keeps_the_mean():
     assert np.abs(hits / 3000 - 0.3).max() < 0.04
 
 
+@pytest.mark.parametrize("f, size", [(0.3, [20, 9, 7, 3, 2, 1, 1]), (0.8, [50, 2, 1]), (0.5, [4]), (0.4, [1] * 9)])
+def test_settling_against_the_smaller_keeps_the_mean(f, size):
+    import numpy as np
+
+    size, hits = np.array(size, float), np.zeros(len(size))
+    for k in range(4000):
+        x = mixing.settle_alike(f, size, np.random.default_rng(k).random(len(size)))
+        assert abs((x * size).sum() - f * size.sum()) < 1e-6 and ((x > 0) & (x < 1)).sum() <= 1
+        hits += x
+    assert np.abs(hits / 4000 - f).max() < 0.035
+
+
 def test_mixing_edges(empty, clashing):
     assert mixing.mix(empty).count() == 0
     assert mixing.mix(clashing).where("copies IS NULL OR taken < 0").count() == 0
@@ -323,25 +490,90 @@ def test_coding_is_a_round_trip():
         assert back(coder(lm.words_of(text))) == b" ".join(lm.words_of(text)).decode()
 
 
-def test_probabilities_of_next_symbols_sum_to_one(monkeypatch):
+def test_probabilities_of_next_symbols_sum_to_one():
     """After any prefix, the bits of all continuations by one symbol are a distribution."""
     import numpy as np
 
-    monkeypatch.setattr(lm, "HASH_BITS", 8)
     rng = np.random.default_rng(1)
-    tables = [rng.integers(-60, 60, n).astype(np.int8) for n in lm.table_sizes()]
+    tables = [rng.integers(-60, 60, n).astype(np.int8) for n in lm.table_sizes(8)]
     prefix = rng.integers(1, 30, 40).astype(np.uint8)
     base = lm.score_streams([prefix], tables)[0]
     more = lm.score_streams([np.append(prefix, s).astype(np.uint8) for s in range(32)], tables)
     assert np.exp2(base - more).sum() == pytest.approx(1, abs=1e-3)
 
 
-def test_scores_do_not_depend_on_company(monkeypatch):
+def brute_bits(stream, tables, bits, segment):
+    """One decision at a time."""
+    import numpy as np
+
+    total, past = 0.0, [0] * 8
+    weights = scale = offset = None
+    for i, symbol in enumerate(stream):
+        if i % segment == 0:
+            weights, scale, offset = [[w * float(lm.UNIT) for w in lm.START] for _ in range(5)], [1.0] * 5, [0.0] * 5
+        if i % segment % lm.STEP == 0:
+            moves = [[0.0] * 5 for _ in range(5)]
+        begin = max((k + 1 for k in range(i) if stream[k] <= 1), default=0)
+        word = np.array(stream[begin:i], np.uint8)
+        places = []
+        for order in lm.ORDERS:
+            h = 0
+            for back in range(order):
+                h |= int(past[-1 - back]) << (5 * back)
+            places.append(int(lm._place(np.array([h], np.uint64), bits)[0]) if 5 * order > bits else h << 5)
+        places.append(int(lm._place(lm._word_so_far(np.append(word, 0).astype(np.uint8))[-1:] if begin == 0 else lm._word_so_far(np.concatenate(([1], word, [0])).astype(np.uint8))[-1:], bits)[0]))
+        for d in range(5):
+            node, bit = (1 << d) | (int(symbol) >> (5 - d)), (int(symbol) >> (4 - d)) & 1
+            x = [float(t[p + node]) for t, p in zip(tables, places)]
+            z = sum(a * b for a, b in zip(x, weights[d]))
+            p1 = 1 / (1 + math.exp(-(z * scale[d] + offset[d])))
+            total -= math.log2(p1 if bit else 1 - p1)
+            lack = bit - p1
+            for k in range(3):
+                moves[d][k] += lm.RATE * float(lm.UNIT) ** 2 * x[k] * lack
+            moves[d][3] += lm.SCALE_RATE * z * lack
+            moves[d][4] += lm.OFFSET_RATE * lack
+        past.append(symbol)
+        if (i % segment + 1) % lm.STEP == 0:
+            for d in range(5):
+                weights[d] = [w + m for w, m in zip(weights[d], moves[d])]
+                scale[d] += moves[d][3]
+                offset[d] += moves[d][4]
+    return total
+
+
+@pytest.mark.parametrize("segment", [64, 2048])
+def test_mixing_of_predictions_against_brute_force(segment):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    tables = [rng.integers(-40, 40, n).astype(np.int8) for n in lm.table_sizes(8)]
+    for n in (1, 15, 16, 200):
+        stream = np.append(rng.integers(1, 32, n), 0).astype(np.uint8)
+        assert lm.score_streams([stream], tables, segment)[0] == pytest.approx(brute_bits(stream.tolist(), tables, 8, segment), rel=1e-4)
+
+
+def test_tables_grow_with_the_corpus(table):
+    assert [lm.bits_for(n) for n in (0, 1 << 14, (1 << 14) + 1, 1 << 17, 1 << 60)] == [14, 14, 15, 17, lm.MAX_BITS]
+    texts = [r.text for r in table.collect()]
+    chars = [r.key for r in lm.count_tokens(table).where("kind = 1").orderBy(F.desc("n"), "key").limit(61).collect()]
+    import numpy as np
+
+    coder, counts = lm.Coder(chars), [np.zeros(n, np.int64) for n in lm.table_sizes(14)]
+    for t in texts:
+        stream = coder(lm.words_of(t))
+        symbols, starts, bases = lm.contexts([stream], 14)
+        at = np.arange(starts[0], starts[0] + len(stream))
+        for c, b in zip(counts, bases):
+            np.add.at(c, b[at] + symbols[at], 1)
+    assert all((lm._stretched(a) == b).all() for a, b in zip(counts, lm.learn_tables(table, chars, 14)))
+
+
+def test_scores_do_not_depend_on_company():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    monkeypatch.setattr(lm, "HASH_BITS", 8)
-    tables = [rng.integers(-60, 60, n).astype(np.int8) for n in lm.table_sizes()]
+    tables = [rng.integers(-60, 60, n).astype(np.int8) for n in lm.table_sizes(8)]
     streams = [rng.integers(1, 30, n).astype(np.uint8) for n in (1, 17, 5000, 300)]
     alone = [lm.score_streams([s], tables)[0] for s in streams]
     assert np.allclose(lm.score_streams(streams, tables), alone, rtol=1e-5)
