@@ -16,12 +16,14 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return row.n, row.s or 0
 
 
-def _with_least(edges: DataFrame, low: DataFrame, hub: int) -> DataFrame:
-    """Edges u, v with m of low (u, m, n: its edges).
+def _with_least(edges: DataFrame, low: DataFrame, hub: int | None) -> DataFrame:
+    """Edges u, v with m of low (u, m, n: its edges); hub is None where no node has that many edges.
 
     The edges of a hub aren't dealt by u, or all of them would meet in one task: what is known of hubs
     is broadcast. Of E edges there are at most E / hub hubs, which ``components`` bounds by 2 * HUBS.
     """
+    if hub is None:
+        return edges.join(low.select("u", "m"), "u")
     marked = edges.join(F.broadcast(low.where(F.col("n") >= hub).select("u", F.col("m").alias("hm"))), "u", "left")
     rest = marked.where("hm IS NULL").drop("hm").join(low.where(F.col("n") < hub).select("u", "m"), "u")
     return marked.where("hm IS NOT NULL").select("u", "v", F.col("hm").alias("m")).unionByName(rest)
@@ -41,6 +43,9 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         hub = max(HUB_EDGES, mark[0] // HUBS)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # the edges of a node do not get more within a round: one look at them does for both stars
+        if mark[0] < hub or not both.groupBy("u").count().where(F.col("count") >= hub).limit(1).count():
+            hub = None
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
         large = _with_least(both, low, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
