@@ -15,6 +15,7 @@ from lattica.plans.blocks import multiply, tile_product
 from lattica.plans.einsum import einsum
 from lattica.plans.nodes import Node
 from lattica.plans.planner import evaluate
+from lattica.sources.shared import fresh_path
 from lattica.sources.tables import Tables
 from lattica.tensor import SPARSE, Tensor, diagonal, fill, from_numpy, init_elements
 from lattica.tiling import TiledRange, Tiling
@@ -63,11 +64,10 @@ def _(t: Tables) -> DataFrame:
     return rows(2.0 * (t.supplier_part()["i,k"] * t.prices()["j,k"]), "j,i")
 
 
-@query("contract_assigned", f"WITH {_Q} SELECT a.p AS i, b.p AS j, SUM(a.v * b.v) AS v FROM q a JOIN q b ON a.s = b.s WHERE a.p < 100 AND b.p < 100 GROUP BY ALL")
+@query("contract_assigned", f"WITH {_E} SELECT a.t AS i, b.t AS j, SUM(a.v * b.v) AS v FROM e a JOIN e b ON a.u = b.u GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    q, c = t.supplier_part(), Tensor(None, TiledRange.whole((1, 1)))
-    tiles = q.trange.modes[0].tiles
-    c["i,j"] = q["k,i"].block((0, 0), (tiles, 1)) * q["k,j"].block((0, 0), (tiles, 1))
+    e, c = t.user_event(), Tensor(None, TiledRange.whole((1, 1)))
+    c["i,j"] = e["k,i"] * e["k,j"]
     return rows(c, "i,j")
 
 
@@ -115,25 +115,22 @@ def _(t: Tables) -> DataFrame:
     return rows(b["i"] * b["j"], "i,j")
 
 
-@query("chain3", f"WITH {_Q}, g AS (SELECT a.s AS i, b.s AS j, SUM(a.v * b.v) AS v FROM q a JOIN q b ON a.p = b.p GROUP BY ALL), l AS (SELECT s, p, v FROM q WHERE p < 100) SELECT g.i, l.p AS l, SUM(g.v * l.v) AS v FROM g JOIN l ON g.j = l.s GROUP BY ALL")
+@query("chain3", f"WITH {_L}, y AS (SELECT s, m, SUM(v) AS v FROM lm GROUP BY ALL), g AS (SELECT a.m AS k, b.m AS l, SUM(a.v * b.v) AS v FROM y a JOIN y b ON a.s = b.s GROUP BY ALL) SELECT y.s AS i, g.l AS l, SUM(y.v * g.v) AS v FROM y JOIN g ON y.m = g.k GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    q = t.supplier_part()
-    head = q["j,l"].block((0, 0), (q.trange.modes[0].tiles, 1))
-    return rows(q["i,k"] * q["j,k"] * head, "i,l")
+    y = R.reduce_modes(t.supplier_month_flag()["s,m,f"], 1)
+    return rows(y["i,k"] * y["j,k"] * y["j,l"], "i,l")
 
 
-@query("einsum_chain", f"WITH {_Q}, {_E}, g AS (SELECT s, SUM(q.v) AS v FROM q WHERE p < 100 GROUP BY ALL), h AS (SELECT SUM(e.v * e.v) AS w FROM e) SELECT g.s AS i, SUM(g.v * w) AS v FROM g CROSS JOIN h GROUP BY ALL")
+@query("einsum_chain", f"WITH {_Q}, {_E}, g AS (SELECT s, SUM(q.v) AS v FROM q GROUP BY ALL), h AS (SELECT SUM(e.v * e.v) AS w FROM e) SELECT g.s AS i, SUM(g.v * w) AS v FROM g CROSS JOIN h GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
     q, e = t.supplier_part(), t.user_event()
-    head = evaluate(q["i,j"].block((0, 0), (q.trange.modes[0].tiles, 1)), Labels(("i", "j")))
-    ones = fill(t.spark, TiledRange((head.trange.modes[1],)), 1.0)
-    return rows(einsum("ij,j,ab,ab->i", head, ones, e, e), "i")
+    ones = fill(t.spark, TiledRange((q.trange.modes[1],)), 1.0)
+    return rows(einsum("ij,j,ab,ab->i", q, ones, e, e), "i")
 
 
-@query("label_demand", f"WITH {_X}, y AS (SELECT * FROM x WHERE n < 40 AND f < 8) SELECT a.n AS p, b.n AS q, SUM(a.v * b.v * (1 + a.f % 3)) AS v FROM y a JOIN y b ON a.f = b.f GROUP BY ALL")
+@query("label_demand", f"WITH {_L}, y AS (SELECT s, m, SUM(v) AS v FROM lm GROUP BY ALL) SELECT a.s AS p, b.s AS q, SUM(a.v * b.v * (1 + a.m % 3)) AS v FROM y a JOIN y b ON a.m = b.m GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    x = t.embedding()
-    y = convert.retile(x, TiledRange.uniform((40, 8), 8))
+    y = R.reduce_modes(t.supplier_month_flag()["s,m,f"], 1)
     z = init_elements(t.spark, TiledRange((y.trange.modes[1],)), lambda k: 1 + k % 3)
     return rows(y["p,r"] * y["q,r"] * z["r"], "p,q")
 
@@ -144,9 +141,9 @@ def _(t: Tables) -> DataFrame:
     return rows(tile_product(x, "n,f", x, "m,f", "n,m", 128), "n,m")
 
 
-@query("gram_embeddings_elements", f"WITH {_X}, y AS (SELECT * FROM x WHERE n < 100) SELECT a.n AS n, b.n AS m, SUM(a.v * b.v) AS v FROM y a JOIN y b ON a.f = b.f GROUP BY ALL")
+@query("gram_embeddings_elements", f"WITH {_X} SELECT a.n AS n, b.n AS m, SUM(a.v * b.v) AS v FROM x a JOIN x b ON a.f = b.f GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    x = convert.retile(t.embedding(), TiledRange.uniform((100, 64), 50))
+    x = t.embedding()
     return rows(multiply(x, "n,f", x, "m,f", "n,m"), "n,m")
 
 
@@ -163,14 +160,11 @@ def _(t: Tables) -> DataFrame:
     return rows(2.0 * t.supplier_part()["i,j"] - 3.0 * t.prices()["i,j"], "i,j")
 
 
-@query("add_disjoint_support", f"WITH {_Q} SELECT s AS i, p AS j, v FROM q WHERE p < 200")
+@query("add_disjoint_support", f"WITH {_Q} SELECT s AS i, p AS j, v FROM q")
 def _(t: Tables) -> DataFrame:
     q = t.supplier_part()
-    n = q.trange.modes[0].tiles
-    a, b = q["i,j"].block((0, 0), (n, 1), preserve=True), q["i,j"].block((0, 1), (n, 2), preserve=True)
-    wide = convert.retile(q, TiledRange((q.trange.modes[0], Tiling.uniform(200, 100))))
-    left = Tensor(evaluate(a, Labels(("i", "j"))).df, wide.trange)
-    right = Tensor(evaluate(b, Labels(("i", "j"))).df, wide.trange)
+    n, m = (x.tiles for x in q.trange.modes)
+    left, right = (Tensor(evaluate(q["i,j"].block((0, a), (n, b), preserve=True), Labels(("i", "j"))).df, q.trange) for a, b in ((0, m // 2), (m // 2, m)))
     return rows(left["i,j"] + right["i,j"], "i,j")
 
 
@@ -194,13 +188,11 @@ def _(t: Tables) -> DataFrame:
     return rows(2.0 * z["i,j"].conj(), "i,j")
 
 
-@query("complex_contract", f"WITH {_Q}, {_C}, z AS (SELECT s, p, a.v AS re, b.v AS im FROM q a JOIN c b USING (s, p) WHERE p < 300) SELECT a.s AS i, b.s AS j, SUM(a.re * b.re + a.im * b.im) AS re, SUM(a.im * b.re - a.re * b.im) AS im FROM z a JOIN z b ON a.p = b.p GROUP BY ALL")
+@query("complex_contract", f"WITH {_Q}, {_C}, z AS (SELECT s, p, a.v AS re, b.v AS im FROM q a JOIN c b USING (s, p)) SELECT a.s AS i, b.s AS j, SUM(a.re * b.re + a.im * b.im) AS re, SUM(a.im * b.re - a.re * b.im) AS im FROM z a JOIN z b ON a.p = b.p GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
     q, c = t.supplier_part(), t.prices()
     z = Tensor(q.df.withColumnRenamed("v", "re").join(c.df.withColumnRenamed("v", "im"), ["i0", "i1"]), q.trange)
-    n = q.trange.modes[0].tiles
-    last = min(3, q.trange.modes[1].tiles)
-    return rows(z["i,k"].block((0, 0), (n, last)) * z["j,k"].block((0, 0), (n, last)).conj(), "i,j")
+    return rows(z["i,k"] * z["j,k"].conj(), "i,j")
 
 
 @query("cast", f"WITH {_Q} SELECT s AS i, p AS j, CAST(v AS BIGINT) AS v FROM q")
@@ -312,20 +304,18 @@ _one("abs_min", f"WITH {_X} SELECT MIN(abs(v)) AS value FROM x", lambda t: R.red
 _one("trace", f"WITH {_Q} SELECT COALESCE(SUM(v), 0) AS value FROM q WHERE s = p", lambda t: R.reduction("trace", t.supplier_part()["i,j"]))
 _one("volume", f"WITH {_Q} SELECT COUNT(*) AS value FROM q", lambda t: R.reduction("volume", t.supplier_part()["i,j"]))
 _one("dot", f"WITH {_Q}, {_C} SELECT SUM(a.v * b.v) AS value FROM q a JOIN c b USING (s, p)", lambda t: R.dot_frame(t.supplier_part()["i,j"], t.prices()["i,j"]))
-_one("ternary_dot", f"WITH {_L}, y AS (SELECT * FROM lm WHERE s < 10) SELECT SUM(a.v * b.v * c.v) AS value FROM y a JOIN y b ON a.s = b.s AND a.f = b.f JOIN y c ON c.s = a.s AND c.m = b.m AND c.f = a.f AND c.m = a.m", lambda t: _ternary(t))
-
-
-def _ternary(t: Tables) -> DataFrame:
+@query("ternary_dot", f"WITH {_L}, g AS (SELECT a.s AS s, a.f AS f, b.f AS g, SUM(a.v * b.v) AS v FROM lm a JOIN lm b ON a.s = b.s AND a.m = b.m GROUP BY ALL) SELECT SUM(a.v * b.v * g.v) AS value FROM lm a JOIN lm b ON a.s = b.s AND a.m = b.m JOIN g ON g.s = a.s AND g.f = b.f AND g.g = a.f")
+def _(t: Tables) -> DataFrame:
     x = t.supplier_month_flag()
-    y = convert.retile(x, TiledRange((Tiling.whole(min(10, x.extents[0])), *x.trange.modes[1:])))
-    return R.ternary_dot("smf,smf,smf", y, y, y)
+    flipped = evaluate(x["s,m,f"], Labels(("s", "f", "m")))
+    return R.ternary_dot("hik,hkj,hji", flipped, x, evaluate(x["s,m,a"] * x["s,m,b"], Labels(("s", "a", "b"))))
 
 
-@query("product_small", f"WITH {_E} SELECT round(ln(exp(SUM(ln(v)))), 6) AS value FROM e WHERE u = 0")
+@query("product_small", f"WITH {_E} SELECT round(SUM(ln(1 + v / 1000)), 6) AS value FROM e")
 def _(t: Tables) -> DataFrame:
     e = t.user_event()
-    first = Tensor(e.df.where("i0 = 0"), TiledRange((Tiling.whole(1), e.trange.modes[1])))
-    return R.reduction("product", first["u,t"]).select(F.round(F.log("value"), 6).alias("value"))
+    x = Tensor(e.df.withColumnRenamed("i1", "n0"), TiledRange((e.trange.modes[0],)), SPARSE, 1)  # cells without holes, which would count as zeros
+    return R.reduction("product", foreach.map_elements(x, lambda v: 1 + v / 1000)["u;t"]).select(F.round(F.log("value"), 6).alias("value"))
 
 
 @query("inner_product_complex", f"WITH {_Q}, {_C} SELECT SUM(a.v * a.v + b.v * b.v) AS re, CAST(0 AS DOUBLE) AS im FROM q a JOIN c b USING (s, p)")
@@ -335,9 +325,9 @@ def _(t: Tables) -> DataFrame:
     return R.dot_frame(z["i,j"], z["i,j"], conjugate=True)
 
 
-@query("custom_reduction", f"WITH {_Q} SELECT MAX(v) AS value FROM q")
+@query("custom_reduction", f"WITH {_Q} SELECT SUM(v * v) + COUNT(*) AS value FROM q")
 def _(t: Tables) -> DataFrame:
-    return R.custom(t.supplier_part()["i,j"], F.lit(0.0), lambda a, b: F.greatest(a, b))
+    return R.custom(t.supplier_part()["i,j"], F.lit(0.0), lambda a, b: a + b, element=lambda v: v * v + 1)
 
 
 @query("reduce_modes", f"WITH {_L} SELECT s, m, SUM(v) AS v FROM lm GROUP BY ALL")
@@ -399,13 +389,11 @@ def _(t: Tables) -> DataFrame:
     return rows(fill(t.spark, TiledRange((Tiling((0, 2, 5, 10, 17, 28)), Tiling.uniform(11, 3))), 1.5), "i,j")
 
 
-@query("save_load", f"WITH {_Q} SELECT s AS i, p AS j, v FROM q WHERE s < 5")
+@query("save_load", f"WITH {_Q} SELECT s AS i, p AS j, v FROM q")
 def _(t: Tables) -> DataFrame:
-    from lattica.sources.shared import settled
-
-    q = t.supplier_part()
-    kept = Tensor(settled(q.df.sortWithinPartitions("i0", "i1")), q.trange, q.policy)
-    return rows(Tensor(kept.df.where("i0 < 5"), kept.trange), "i,j")
+    path = fresh_path(t.spark)
+    t.supplier_part().save(path)
+    return rows(Tensor.load(t.spark, path), "i,j")
 
 
 # ---- functions of one's own
@@ -416,17 +404,17 @@ def _(t: Tables) -> DataFrame:
     return rows(foreach.map_elements(t.supplier_part(), lambda v: F.floor(v / 2)), "i,j")
 
 
-@query("foreach_intersect", f"WITH {_Q}, {_C} SELECT s AS i, p AS j, greatest(a.v, 2 * b.v) AS v FROM (SELECT * FROM q WHERE p < 500) a JOIN c b USING (s, p)")
+@query("foreach_intersect", f"WITH {_Q}, {_C} SELECT s AS i, p AS j, greatest(a.v, 2 * b.v) AS v FROM (SELECT * FROM q WHERE v > 25) a JOIN c b USING (s, p)")
 def _(t: Tables) -> DataFrame:
     q = t.supplier_part()
-    a = Tensor(q.df.where("i1 < 500"), q.trange)
+    a = Tensor(q.df.where("v > 25"), q.trange)
     return rows(foreach.zip_elements(a, t.prices(), lambda v, w: F.greatest(v, 2 * w)), "i,j")
 
 
-@query("foreach_union", f"WITH {_Q}, {_C} SELECT COALESCE(a.s, b.s) AS i, COALESCE(a.p, b.p) AS j, COALESCE(a.v, 0) - COALESCE(b.v, 0) AS v FROM (SELECT * FROM q WHERE p < 500) a FULL JOIN c b ON a.s = b.s AND a.p = b.p")
+@query("foreach_union", f"WITH {_Q}, {_C} SELECT COALESCE(a.s, b.s) AS i, COALESCE(a.p, b.p) AS j, COALESCE(a.v, 0) - COALESCE(b.v, 0) AS v FROM (SELECT * FROM q WHERE v > 25) a FULL JOIN c b ON a.s = b.s AND a.p = b.p")
 def _(t: Tables) -> DataFrame:
     q = t.supplier_part()
-    a = Tensor(q.df.where("i1 < 500"), q.trange)
+    a = Tensor(q.df.where("v > 25"), q.trange)
     return rows(foreach.zip_elements(a, t.prices(), lambda v, w: v - w, foreach.UNION), "i,j")
 
 
@@ -444,11 +432,10 @@ def _(t: Tables) -> DataFrame:
     return rows(x["p;n"] * x["p;n"], "p;n")
 
 
-@query("nested_outer", f"WITH {_T} SELECT a.p AS p, a.n AS m, b.n AS n, a.v * b.v AS v FROM t a JOIN t b ON a.p = b.p WHERE a.p < 50")
+@query("nested_outer", f"WITH {_T} SELECT a.p AS p, a.n AS m, b.n AS n, a.v * b.v AS v FROM t a JOIN t b ON a.p = b.p")
 def _(t: Tables) -> DataFrame:
     x = t.part_suppliers()
-    head = Tensor(x.df.where("i0 < 50"), TiledRange((Tiling.whole(50),)), SPARSE, 1)
-    return rows(head["p;m"] * head["p;n"], "p;m,n")
+    return rows(x["p;m"] * x["p;n"], "p;m,n")
 
 
 @query("nested_contract", f"WITH {_T} SELECT a.n AS m, SUM(a.v * b.v) AS v FROM t a JOIN t b ON a.p = b.p AND a.n = b.n GROUP BY ALL")
@@ -479,84 +466,164 @@ def _(t: Tables) -> DataFrame:
     return rows(x["p;n"].dot_inner(x["p;n"]), "p")
 
 
-@query("einsum_denest", f"WITH {_T} SELECT a.p AS p, b.p AS q, SUM(a.v * b.v) AS v FROM t a JOIN t b ON a.n = b.n WHERE a.p < 40 AND b.p < 40 GROUP BY ALL")
+@query("einsum_denest", f"WITH {_E} SELECT a.u AS p, b.u AS q, SUM(a.v * b.v) AS v FROM e a JOIN e b ON a.t = b.t GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    x = t.part_suppliers()
-    head = Tensor(x.df.where("i0 < 40"), TiledRange((Tiling.whole(40),)), SPARSE, 1)
-    return rows(einsum(head["p;n"], head["q;n"], "p,q", denest=True), "p,q")
+    e = t.user_event()
+    x = Tensor(e.df.withColumnRenamed("i1", "n0"), TiledRange((e.trange.modes[0],)), SPARSE, 1)
+    return rows(einsum(x["p;n"], x["q;n"], "p,q", denest=True), "p,q")
+
+
+@query("einsum_implicit", f"WITH {_Q}, {_C} SELECT a.s AS i, b.s AS j, SUM(a.v * b.v) AS v FROM q a JOIN c b ON a.p = b.p GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return rows(einsum(t.supplier_part()["i,k"], t.prices()["j,k"]), "i,j")
+
+
+@query("block_subtracted", f"WITH {_Q}, {_C} SELECT s AS i, p AS j, CASE WHEN p < 100 THEN a.v - b.v ELSE a.v END AS v FROM q a JOIN c b USING (s, p)")
+def _(t: Tables) -> DataFrame:
+    q = t.supplier_part()
+    n = q.trange.modes[0].tiles
+    block = q["i,j"].block((0, 0), (n, 1))
+    block -= t.prices()["i,j"].block((0, 0), (n, 1))
+    return rows(q, "i,j")
+
+
+@query("block_multiplied", f"WITH {_Q}, {_C} SELECT s AS i, p AS j, CASE WHEN p < 100 THEN a.v * b.v ELSE a.v END AS v FROM q a JOIN c b USING (s, p)")
+def _(t: Tables) -> DataFrame:
+    q = t.supplier_part()
+    n = q.trange.modes[0].tiles
+    block = q["i,j"].block((0, 0), (n, 1))
+    block *= t.prices()["i,j"].block((0, 0), (n, 1))
+    return rows(q, "i,j")
+
+
+@query("shape_add_constant", f"WITH {_Q}, n AS (SELECT {_TILES}, sqrt(SUM(v * v)) / 500 AS norm FROM q GROUP BY ALL) SELECT t0, t1, round(norm + 2 / sqrt(500), 4) AS norm FROM n")
+def _(t: Tables) -> DataFrame:
+    q = _cut(t)
+    return shape.add_constant(shape.norms(q), q.trange, 2.0).select("t0", "t1", F.round("norm", 4).alias("norm"))
 
 
-# ---- linear algebra: residuals of small systems, rounded
+# ---- linear algebra: products of factors and solutions, as rows that SQL tells from the tables
+
+
+_Y = f"{_L}, y AS (SELECT m, f, SUM(v) AS v FROM lm GROUP BY ALL), a AS (SELECT a.m AS i, b.m AS j, SUM(a.v * b.v) + CASE WHEN a.m = b.m THEN 1000000 ELSE 0 END AS v FROM y a JOIN y b ON a.f = b.f GROUP BY a.m, b.m)"
+_MATRIX = f"WITH {_Y} SELECT i, j, CAST(v AS DOUBLE) AS v FROM a"
+_RIGHT = f"WITH {_Y} SELECT m AS i, f AS j, CAST(v AS DOUBLE) AS v FROM y"
+
+
+def _right(t: Tables) -> Tensor:
+    """Y(m, f): quantities by month and flag."""
+    x = t.supplier_month_flag()
+    return R.reduce_modes(evaluate(x["s,m,f"], Labels(("m", "f", "s")))["m,f,s"], 1)
 
 
 def _spd(t: Tables) -> Tensor:
     """A positive definite matrix of whole numbers: the Gram matrix of flags and months plus a diagonal."""
-    x = t.supplier_month_flag()
-    y = R.reduce_modes(evaluate(x["s,m,f"], Labels(("m", "f", "s")))["m,f,s"], 1)
+    y = _right(t)
     g = evaluate(y["m,f"] * y["n,f"], Labels(("m", "n")))
     return evaluate(g["m,n"] + diagonal(t.spark, g.trange, 1e6)["m,n"], Labels(("m", "n")))
 
 
-def _residual(t: Tables, name: str, value: float) -> DataFrame:
-    return t.spark.createDataFrame([(name, round(abs(value), 6))], "name string, residual double")
+def _whole(node: Node) -> DataFrame:
+    """Rows i, j, v; all that these queries give are whole numbers."""
+    found = rows(node, "i,j")
+    return found.select("i", "j", (F.round("v") + 0.0).alias("v"))
 
 
-def _linear(name: str, residual: Callable[[Tables], float]) -> None:
-    query(name, f"SELECT '{name}' AS name, CAST(0 AS DOUBLE) AS residual")(lambda t: _residual(t, name, residual(t)))
+def _sparse(x: Tensor) -> Tensor:
+    return Tensor(x.df, x.trange, SPARSE, x.inner)
 
 
-def _cholesky(t: Tables) -> float:
-    a = _spd(t)
-    low = linalg.cholesky(a).to_numpy()
-    m = a.to_numpy()
-    return float(np.abs(low @ low.T - m).max() / np.abs(m).max())
+def _scaled(t: Tables, values: np.ndarray, m: Tensor) -> Node:
+    """Columns of m times values."""
+    return _sparse(m)["i,k"] * _sparse(from_numpy(t.spark, np.asarray(values)))["k"]
 
 
-def _heig(t: Tables) -> float:
+@query("cholesky", _MATRIX)
+def _(t: Tables) -> DataFrame:
+    low = linalg.cholesky(_spd(t))
+    return _whole(low["i,k"] * low["j,k"])
+
+
+@query("cholesky_linv", f"WITH {_Y} SELECT DISTINCT i, i AS j, CAST(1000000 AS DOUBLE) AS v FROM a")
+def _(t: Tables) -> DataFrame:
     a = _spd(t)
-    values, vectors = linalg.heig(a)
-    m, v = a.to_numpy(), vectors.to_numpy()
-    return float(np.abs(m @ v - v * values).max() / np.abs(m).max())
+    inv = linalg.cholesky_linv(a)
+    found = evaluate(_sparse(inv)["i,k"] * (_sparse(a)["k,l"] * _sparse(inv)["j,l"]), Labels(("i", "j")))
+    return _whole(1e6 * found["i,j"]).where("v <> 0")
 
 
-def _svd(t: Tables) -> float:
+@query("cholesky_solve", _RIGHT)
+def _(t: Tables) -> DataFrame:
     a = _spd(t)
-    s, u, vh = linalg.svd(a)
-    m = a.to_numpy()
-    return float(np.abs(u.to_numpy() * s @ vh.to_numpy() - m).max() / np.abs(m).max())
+    return _whole(_sparse(a)["i,k"] * _sparse(linalg.cholesky_solve(a, _right(t)))["k,j"])
+
 
+@query("cholesky_lsolve", _RIGHT)
+def _(t: Tables) -> DataFrame:
+    low, x = linalg.cholesky_lsolve(_spd(t), _right(t))
+    return _whole(_sparse(low)["i,k"] * _sparse(x)["k,j"])
+
+
+@query("heig", _MATRIX)
+def _(t: Tables) -> DataFrame:
+    values, vectors = linalg.heig(_spd(t))
+    return _whole(_scaled(t, values, vectors) * _sparse(vectors)["j,k"])
 
-def _lu(t: Tables) -> float:
+
+@query("svd", _MATRIX)
+def _(t: Tables) -> DataFrame:
+    s, u, vh = linalg.svd(_spd(t))
+    return _whole(_scaled(t, s, u) * _sparse(vh)["k,j"])
+
+
+@query("lu_inv", _MATRIX)
+def _(t: Tables) -> DataFrame:
     a = _spd(t)
-    return float(np.abs(linalg.lu_inv(a).to_numpy() @ a.to_numpy() - np.eye(a.extents[0])).max())
+    return _whole(_sparse(a)["i,k"] * (_sparse(linalg.lu_inv(a))["k,l"] * _sparse(a)["l,j"]))
 
 
-def _qr(t: Tables) -> float:
-    x = t.embedding()
-    q, r = linalg.cholesky_qr(x)
-    return float(np.abs(q.to_numpy() @ r.to_numpy() - x.to_numpy()).max() / 1000)
+@query("lu_solve", _RIGHT)
+def _(t: Tables) -> DataFrame:
+    a = _spd(t)
+    return _whole(_sparse(a)["i,k"] * _sparse(linalg.lu_solve(a, _right(t)))["k,j"])
 
 
-def _solve(t: Tables) -> float:
+@query("qr_solve", _RIGHT)
+def _(t: Tables) -> DataFrame:
     a = _spd(t)
-    b = from_numpy(t.spark, np.ones((a.extents[0], 1)))
-    x = linalg.cholesky_solve(a, b)
-    return float(np.abs(a.to_numpy() @ x.to_numpy() - 1).max())
+    return _whole(_sparse(a)["i,k"] * _sparse(linalg.qr_solve(a, _right(t)))["k,j"])
+
+
+@query("householder_qr", _MATRIX)
+def _(t: Tables) -> DataFrame:
+    q, r = linalg.householder_qr(_spd(t))
+    return _whole(_sparse(q)["i,k"] * _sparse(r)["k,j"])
 
 
-def _cg(t: Tables) -> float:
-    a = from_numpy(t.spark, np.array([[1.0, 2, 3], [2, 5, 8], [3, 8, 15]]))
-    b, ones = from_numpy(t.spark, np.array([1.0, 4, 0])), from_numpy(t.spark, np.ones(3))
-    x = solvers.conjugate_gradient(lambda v: evaluate(a["i,j"] * v["j"], Labels(("i",))), b, from_numpy(t.spark, np.zeros(3)), ones, 1e-11)
-    return float(np.abs(x.to_numpy() - [-6.5, 9, -3.5]).max())
+@query("cholesky_qr", f"WITH {_X} SELECT n AS i, f AS j, v FROM x")
+def _(t: Tables) -> DataFrame:
+    """Q times R, which is the table's matrix: all in Spark, the matrix is never gathered."""
+    q, r = linalg.cholesky_qr(t.embedding())
+    found = rows(tile_product(q, "i,k", r, "k,j", "i,j", 128), "i,j")
+    return found.select("i", "j", (F.round("v") + 0.0).alias("v"))
 
 
-def _cp(t: Tables) -> float:
-    ones = fill(t.spark, TiledRange.uniform((11, 7, 15), 4), 1.0)
-    cp = solvers.Cp(ones)
-    cp.compute_rank(1)
-    return float(np.abs(cp.reconstruct().to_numpy() - 1).max())
+@query("conjugate_gradient", f"WITH {_Y} SELECT m AS i, CAST(SUM(v) AS DOUBLE) AS v FROM y GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    a, b = _sparse(_spd(t)), _sparse(R.reduce_modes(_right(t)["m,f"], 1))
+    ones = _sparse(fill(t.spark, b.trange, 1.0))
+    start = _sparse(fill(t.spark, b.trange, 0.0))
+    x = solvers.conjugate_gradient(lambda v: evaluate(a["i,j"] * v["j"], Labels(("i",))), b, start, ones, 1e-3)
+    return rows(a["i,j"] * x["j"], "i").select("i", F.round("v").alias("v"))
 
 
-for _name, _f in {"cholesky": _cholesky, "heig": _heig, "svd": _svd, "lu_inv": _lu, "cholesky_qr": _qr, "cholesky_solve": _solve, "conjugate_gradient": _cg, "cp_als": _cp}.items():
-    _linear(_name, _f)
+@query("cp_als", f"WITH {_E}, a AS (SELECT u, SUM(v) AS v FROM e GROUP BY ALL), b AS (SELECT t, SUM(v) AS v FROM e GROUP BY ALL) SELECT a.u AS i, b.t AS j, x.t AS k, a.v * b.v * x.v AS v FROM a CROSS JOIN b CROSS JOIN b x")
+def _(t: Tables) -> DataFrame:
+    """A tensor of rank one, of users and twice of events, decomposed and put together again."""
+    e = t.user_event()
+    users = R.reduce_modes(e["u,t"], 1)
+    kinds = R.reduce_modes(evaluate(e["u,t"], Labels(("t", "u")))["t,u"], 1)
+    whole = evaluate(users["i"] * kinds["j"] * kinds["k"], Labels(("i", "j", "k")))
+    cp = solvers.Cp(whole)
+    cp.compute_rank(1, tolerance=1e-12)
+    return rows(cp.reconstruct(), "i,j,k").select("i", "j", "k", F.round("v").alias("v"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -107,7 +108,8 @@ def ternary_dot(annotation: str, a: Tensor, b: Tensor, c: Tensor) -> DataFrame:
 def custom(node: Node, zero: Column, merge: Callable[[Column, Column], Column], finish: Callable[[Column], Column] = lambda x: x, other: Node | None = None, element: Callable[..., Column] | None = None) -> DataFrame:
     """A reduction of one's own: elements (or pairs of elements with equal labels) are folded by ``merge`` in every partition, then across.
 
-    merge must be associative and commutative. Folding is done by rows of a few hundred values at a time in the JVM.
+    merge must be associative and commutative. Runs of 256 neighbours are folded in the JVM, then runs of
+    the results, and so on: no row ever holds more than a few thousand values, however large the tensor.
     """
     p = _flat(node)
     df, value = p.df.select(*p.columns, F.col("v").alias("a")), F.col("a")
@@ -118,10 +120,12 @@ def custom(node: Node, zero: Column, merge: Callable[[Column, Column], Column],
     elif element:
         value = element(F.col("a"))
     df = df.select(value.alias("x"))
-    for width in (1024, 32, 1):  # a tree: many small folds, then few, then one
-        deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(width)) if width > 1 else F.lit(0)
-        folded = F.aggregate(F.collect_list("x"), zero, merge)
-        df = df.groupBy(deal.alias("__g")).agg(folded.alias("x")).select("x")
+    folded = F.aggregate(F.collect_list("x"), zero, merge)
+    left = math.prod(t.extent for t in p.tilings.values())
+    while left > 4096:
+        df = df.groupBy(F.shiftright(F.monotonically_increasing_id(), 8).alias("__g")).agg(folded.alias("x")).select("x")
+        left = left // 256 + 1
+    df = df.agg(folded.alias("x"))
     return df.select(finish(F.col("x")).alias("value"))
 
 

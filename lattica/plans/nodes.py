@@ -30,7 +30,7 @@ class Node:
     def __mul__(self, other: Node | complex) -> Node:
         if isinstance(other, numbers.Number):
             return Scaled(self, other)
-        return Product(self, _node(other))
+        return Product(self, _node(other), free=True)
 
     def __rmul__(self, other: complex) -> Node:
         return Scaled(self, other)
