@@ -625,5 +625,5 @@ def _(t: Tables) -> DataFrame:
     kinds = R.reduce_modes(evaluate(e["u,t"], Labels(("t", "u")))["t,u"], 1)
     whole = evaluate(users["i"] * kinds["j"] * kinds["k"], Labels(("i", "j", "k")))
     cp = solvers.Cp(whole)
-    cp.compute_rank(1, tolerance=1e-12)
+    cp.compute_rank(1, tolerance=1e-6)
     return rows(cp.reconstruct(), "i,j,k").select("i", "j", "k", F.round("v").alias("v"))
