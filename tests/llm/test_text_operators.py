@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.llm import decontaminate, langid, licenses, lm, mixing, quality, tokens
+from lattica.llm.common import materialise
 
 LOW = {c: c + 32 for c in range(65, 91)}
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -212,7 +213,7 @@ def test_cutoffs_keep_their_promise(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(6000)], "doc_id bigint, quality int")
     rules = (quality.RULES[0], quality.RULES[4])
-    feats = quality.text_features(docs)
+    feats = materialise(quality.text_features(docs), "features")  # as judge_quality does: else each count would work them out anew
     cutoffs = quality.learn_cutoffs(feats, labels, "lang", 0.02, 0.95, rules)
     for lang in ("xx", "yy"):
         good = [(x.n_symbols / max(1, x.n_words), x.word_chars / max(1, x.n_words)) for x in feats.where(f"lang = '{lang}' AND doc_id % 3 > 0").collect()]
