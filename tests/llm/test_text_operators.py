@@ -450,7 +450,7 @@ def test_language_model(table, docs, frequent, monkeypatch):
     got = sorted((str(r.doc_id), r.t or "", r.held, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in found)
     want = sorted((str(k[0]), k[1] or "", h, n, m, t, round(b, 5)) for k, h, n, m, t, b in brute_base(docs))
     assert [x[:6] for x in got] == [x[:6] for x in want] and all(abs(a[6] - b[6]) < 1e-4 for a, b in zip(got, want))
-    assert all(r.score < 0 for r in found) and all((r.bits_per_byte is None) == (not r.t) for r in found)
+    assert all(r.score < 0 for r in found) and all((r.bits_per_byte is None) == (not words(r.t, SPACED)) for r in found)  # of the words joined by single spaces
 
 
 def test_word_hashes():
