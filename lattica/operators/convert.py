@@ -12,11 +12,21 @@ from lattica.tensor import DENSE, EPSILON, SPARSE, Tensor, coordinates_frame, in
 from lattica.tiling import TiledRange, Tiling
 
 
-def retile(t: Tensor, trange: TiledRange) -> Tensor:
-    """New tiles. Elements outside the new range go; a dense tensor that grows gets zeros, a sparse one nothing."""
+def retile(t: Tensor, trange: TiledRange, value: float = 0.0) -> Tensor:
+    """New tiles. Elements outside the new range go; what a tensor grows by has the value.
+
+    Zeros are stored in dense tensors only; any other value is, whatever the policy.
+    """
     box = trange.elements
     df = t.df.where(inside(t.outer_columns, box.lower, box.upper))
     out = Tensor(df, trange, t.policy, t.inner)
+    if value:
+        if t.inner:
+            raise AnnotationError("tensors of tensors grow by empty cells only")
+        old = t.trange.elements
+        new = coordinates_frame(t.spark, trange).where(~inside(t.outer_columns, old.lower, old.upper))
+        parts = [F.lit(float(value) if c != "im" else 0.0).alias(c) for c in t.values]
+        out = Tensor(out.df.unionByName(new.select(*t.outer_columns, *parts)), trange, t.policy)
     return to_dense(out) if t.is_dense and box != t.trange.elements else out
 
 

@@ -28,6 +28,16 @@ def zip_elements(a: Tensor, b: Tensor, op: Callable[[Column, Column], Column], h
     return Tensor(joined.select(*a.coordinates, op(v, w).cast("double").alias("v")), a.trange, a.policy, a.inner)
 
 
+def update_elements(t: Tensor, op: Callable[[Column], Column]) -> None:
+    """map_elements, to which the handle is bound."""
+    t.swap(map_elements(t, op))
+
+
+def update_pairs(a: Tensor, b: Tensor, op: Callable[[Column, Column], Column], how: str = INTERSECT) -> None:
+    """zip_elements, to which the first handle is bound."""
+    a.swap(zip_elements(a, b, op, how))
+
+
 def map_tiles(t: Tensor, op: Callable[[np.ndarray, tuple[tuple[int, int], ...]], np.ndarray | None]) -> Tensor:
     """op over whole tiles as arrays, with their bounds; None, or only zeros, leaves the tile of a sparse tensor out."""
     modes, names, sparse = t.trange.modes, t.outer_columns, not t.is_dense
@@ -53,4 +63,4 @@ def map_and_screen(t: Tensor, op: Callable[[Column], Column], threshold: float)
     return truncate(map_elements(t, op), threshold)
 
 
-__all__ = ["INTERSECT", "UNION", "map_and_screen", "map_elements", "map_tiles", "zip_elements"]
+__all__ = ["INTERSECT", "UNION", "map_and_screen", "map_elements", "map_tiles", "update_elements", "update_pairs", "zip_elements"]

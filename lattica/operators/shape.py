@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.values import Value
 from lattica.labels import Labels
-from lattica.tensor import EPSILON, Tensor
+from lattica.tensor import EPSILON, Tensor, coordinates_frame
 from lattica.tiling import TiledRange
 
 
@@ -102,12 +102,15 @@ def gemm(a: DataFrame, a_labels: Labels, a_range: TiledRange, b: DataFrame, b_la
     return screened(summed.select(*[F.col(f"_{x}").alias(f"t{k}") for k, x in enumerate(target)], "norm"), threshold)
 
 
-def block(shape: DataFrame, lower: Sequence[int], upper: Sequence[int]) -> DataFrame:
+def block(shape: DataFrame, lower: Sequence[int], upper: Sequence[int], factor: complex = 1, order: Sequence[int] | None = None, threshold: float = EPSILON) -> DataFrame:
+    """Tiles lower to upper - 1, from 0 on; scaled by a factor and with modes in another order, if given."""
     from lattica.tensor import inside
 
     keys = [c for c in shape.columns if c != "norm"]
     cut = shape.where(inside(keys, lower, upper))
-    return cut.select(*[(F.col(c) - F.lit(a)).cast("int").alias(c) for c, a in zip(keys, lower)], "norm")
+    moved = cut.select(*[(F.col(c) - F.lit(a)).cast("int").alias(c) for c, a in zip(keys, lower)], "norm")
+    moved = moved if factor == 1 else scale(moved, factor, threshold)
+    return moved if order is None else permute(moved, order)
 
 
 def update_block(shape: DataFrame, lower: Sequence[int], upper: Sequence[int], other: DataFrame) -> DataFrame:
@@ -118,6 +121,18 @@ def update_block(shape: DataFrame, lower: Sequence[int], upper: Sequence[int], o
     return shape.where(~inside(keys, lower, upper)).unionByName(moved)
 
 
+def constant(spark, trange: TiledRange, norm: float, threshold: float = EPSILON) -> DataFrame:
+    """The same norm per element for every tile."""
+    return from_op(spark, trange, lambda *_: F.lit(float(norm)), threshold)
+
+
+def from_op(spark, trange: TiledRange, op: Callable[..., Column], threshold: float = EPSILON) -> DataFrame:
+    """Norms per element by an expression over the tiles' indices, made on the executors."""
+    tiles = coordinates_frame(spark, TiledRange.whole(trange.tiles.extents))
+    keys = [F.col(f"i{k}").cast("int").alias(f"t{k}") for k in range(trange.rank)]
+    return screened(tiles.select(*keys, op(*[F.col(f"i{k}") for k in range(trange.rank)]).cast("double").alias("norm")), threshold)
+
+
 def from_norms(spark, norms_: dict[tuple[int, ...], float], trange: TiledRange, scaled: bool = False, threshold: float = EPSILON) -> DataFrame:
     """A shape of one's own."""
     rows = [(*map(int, t), float(n) if scaled else float(n) / math.prod(trange.tile_range(t).extents)) for t, n in norms_.items()]

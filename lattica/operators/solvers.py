@@ -60,14 +60,21 @@ def conjugate_gradient(a: Callable[[Tensor], Tensor], b: Tensor, x: Tensor, prec
 class Diis:
     """Extrapolates from the last vectors so that the combination of their errors is smallest.
 
-    start: the first iteration that extrapolates. keep: vectors kept. damp: added to the error
-    matrix's diagonal, as a share. mix: how much of the extrapolated error is added to the vector.
+    start: iterations after this one extrapolate. keep: vectors kept. damp: added to the error
+    matrix's diagonal, as a share. group, group_diis: of each group of iterations the first group_diis
+    extrapolate, the others return the vector as it came. mix: the share of earlier results that is
+    blended into the vectors they came from; the newest vector has no result yet and counts as its own.
+    attenuate: once the error's norm is below this, damping shrinks in proportion to the norm.
     """
 
-    def __init__(self, start: int = 1, keep: int = 5, damp: float = 0.0, mix: float = 0.0):
-        self.start, self.keep, self.damp, self.mix = start, keep, damp, mix
+    def __init__(self, start: int = 1, keep: int = 5, damp: float = 0.0, group: int = 1, group_diis: int = 1, mix: float = 0.0, attenuate: float = 0.0):
+        if group < 1 or not 0 <= mix <= 1:
+            raise ValueError("a group has iterations, and a share is between 0 and 1")
+        self.start, self.keep, self.damp, self.group, self.group_diis = start, keep, damp, group, group_diis
+        self.mix, self.attenuate = mix, attenuate
         self.vectors: list[Tensor] = []
         self.errors: list[Tensor] = []
+        self.results: list[Tensor] = []
         self.iteration = 0
         self.matrix = np.zeros((0, 0))
 
@@ -82,29 +89,39 @@ class Diis:
         self.matrix = grown
         while len(self.vectors) > self.keep:
             self._drop()
-        if self.iteration < self.start or len(self.vectors) < 2:
-            return x
-        while len(self.vectors) > 1:
-            c = self._coefficients()
-            if c is not None:
-                out = scale(self.vectors[0], c[0])
-                for f, v in zip(c[1:], self.vectors[1:]):
-                    out = axpy(out, f, v)
-                if self.mix:
-                    for f, e in zip(c, self.errors):
-                        out = axpy(out, self.mix * f, e)
-                return _settled(out)
+        late = self.iteration - self.start
+        out = self._combined() if late > 0 and late % self.group < self.group_diis else x
+        if self.mix:
+            self.results.append(out)
+        return out
+
+    def _combined(self) -> Tensor:
+        """The vectors with the best coefficients; the oldest go while the errors are almost dependent."""
+        while len(self.vectors) > 1 and (c := self._coefficients()) is None:
             self._drop()
-        return x
+        if len(self.vectors) == 1:
+            return self.vectors[0]
+        parts = list(zip(c, self.vectors))
+        if self.mix:
+            blended = [*self.results, self.vectors[-1]]
+            parts = [((1 - self.mix) * f, v) for f, v in parts] + [(self.mix * f, v) for f, v in zip(c, blended)]
+        out = scale(parts[0][1], parts[0][0])
+        for f, v in parts[1:]:
+            out = axpy(out, f, v)
+        return _settled(out)
 
     def _drop(self) -> None:
         del self.vectors[0], self.errors[0]
+        if self.results:
+            del self.results[0]
         self.matrix = self.matrix[1:, 1:]
 
     def _coefficients(self) -> np.ndarray | None:
         n = len(self.vectors)
         b = self.matrix / max(np.abs(self.matrix).max(), 1e-300)
-        b = b + np.diag(np.diag(b)) * self.damp
+        norm = np.sqrt(max(self.matrix[-1, -1], 0.0))
+        damp = self.damp * min(1.0, norm / self.attenuate) if self.attenuate else self.damp
+        b = b + np.diag(np.diag(b)) * damp
         system = np.zeros((n + 1, n + 1))
         system[:n, :n] = b
         system[n, :n] = system[:n, n] = -1
@@ -121,15 +138,35 @@ def pseudo_inverse(m: np.ndarray, cutoff: float = 1e-12) -> np.ndarray:
     return (vh[keep].conj().T / s[keep]) @ u[:, keep].conj().T
 
 
+def cholesky_inverse(m: np.ndarray) -> np.ndarray:
+    """The inverse of a Hermitian matrix by its Cholesky factor; of one that isn't positive definite, by LU."""
+    try:
+        low = np.linalg.inv(np.linalg.cholesky(m))
+    except np.linalg.LinAlgError:
+        return np.linalg.inv(m)
+    return low.conj().T @ low
+
+
+def normalize_factor(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of length one, and the lengths they had; columns of zeros stay."""
+    lengths = np.linalg.norm(f, axis=0)
+    return f / np.where(lengths > 0, lengths, 1), lengths
+
+
 class Cp:
     """Canonical polyadic decomposition by alternating least squares.
 
+    ridge: how much a factor is held to its value before (regularised least squares), which lets
+    tensors converge whose factors are almost parallel; 0 is the plain method.
+
     The large products (tensor with all factors but one) are contractions in Spark; the factors, of
     extent x rank, and their rank x rank Gram matrices are on the driver.
     """
 
-    def __init__(self, t: Tensor, seed: int = 0):
-        self.tensor, self.rng = t, np.random.default_rng(seed)
+    def __init__(self, t: Tensor, seed: int = 0, ridge: float = 0.0):
+        if ridge < 0:
+            raise ValueError("a ridge is not negative")
+        self.tensor, self.rng, self.ridge = t, np.random.default_rng(seed), ridge
         self.factors: list[np.ndarray] = []
         self.weights = np.zeros(0)
         self.norm = t[_names(t)].norm()
@@ -151,7 +188,8 @@ class Cp:
         """Returns the relative error that is left."""
         t = self.tensor
         self.factors = [self.rng.uniform(-1, 1, (e, rank)) for e in t.extents]
-        self.factors = [f / np.linalg.norm(f, axis=0) for f in self.factors]
+        self.factors = [normalize_factor(f)[0] for f in self.factors]
+        self.weights = np.ones(rank)
         before, still = 0.0, 0
         for _ in range(iterations):
             for k in range(t.rank):
@@ -160,9 +198,12 @@ class Cp:
                     if m != k:
                         gram *= f.T @ f
                 product = self._product(k)
-                f = product @ pseudo_inverse(gram)
-                self.weights = np.linalg.norm(f, axis=0)
-                self.factors[k] = f / np.where(self.weights > 0, self.weights, 1)
+                if self.ridge:
+                    held = product + self.ridge * self.factors[k] * self.weights
+                    f = held @ cholesky_inverse(gram + self.ridge * np.eye(rank))
+                else:
+                    f = product @ pseudo_inverse(gram)
+                self.factors[k], self.weights = normalize_factor(f)
             grams = np.ones((rank, rank))
             for f in self.factors:
                 grams *= f.T @ f

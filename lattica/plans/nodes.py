@@ -62,6 +62,14 @@ class Node:
         """Outer and inner labels that the node has to offer."""
         raise NotImplementedError
 
+    def tree(self, depth: int = 0) -> str:
+        """The expression as text, a line for each node, its factors or terms below it."""
+        outer, inner = self.labels()
+        label = ",".join(outer) + (";" + ",".join(inner) if len(inner) else "")
+        facts, children = _told(self)
+        line = f"{'  ' * depth}{type(self).__name__.lower()} {label}{' ' + facts if facts else ''}{' masked' if self.mask is not None else ''}"
+        return "\n".join([line, *(c.tree(depth + 1) for c in children)])
+
     # reductions, in lattica.operators.reduce
     def __getattr__(self, name: str):
         from lattica.operators import reduce as R
@@ -186,3 +194,20 @@ class Mapped(Node):
 
     def labels(self) -> tuple[Labels, Labels]:
         return self.child.labels()
+
+
+def _told(node: Node) -> tuple[str, tuple[Node, ...]]:
+    """What a line of the tree says beside the labels, and the nodes below."""
+    match node:
+        case Leaf():
+            return repr(node.tensor), ()
+        case Block():
+            return f"tiles {node.lower} to {node.upper}", (node.leaf,)
+        case Scaled():
+            return f"by {node.factor}", (node.child,)
+        case Sum():
+            return "with " + ", ".join(str(f) for f, _ in node.terms), tuple(t for _, t in node.terms)
+        case Product():
+            return "of cells" if node.denest else "", (node.left, node.right)
+        case _:
+            return "", (node.child,)

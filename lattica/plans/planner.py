@@ -51,7 +51,7 @@ def plan(node: Node, want: Labels | None = None, want_inner: Labels | None = Non
     want, want_inner = outer if want is None else want, inner if want_inner is None else want_inner
     found = _PLANS[type(node)](node, want, want_inner)
     if node.mask is not None and not isinstance(node, Product):
-        found = replace(found, df=_masked(found.df, node.mask, found.outer, found.tilings))
+        found = replace(found, df=_masked(found.df, node.mask, found.outer, found.tilings), dense=False)
     return found
 
 
@@ -63,6 +63,14 @@ def _masked(df: DataFrame, shape: DataFrame, outer: Labels, tilings: dict[str, T
     return tiled.join(named, keys, "left_semi").drop(*keys)
 
 
+def _within(df: DataFrame, shape: DataFrame, target: Labels, have: Labels, tilings: dict[str, Tiling]) -> DataFrame:
+    """Rows of a factor that a wanted tile can need: its tiles in the modes that the factor has."""
+    own = [(k, x) for k, x in enumerate(target) if x in have]
+    if not own:
+        return df
+    return _masked(df, shape.select(*[F.col(f"t{k}").alias(f"t{n}") for n, (k, _) in enumerate(own)]), Labels([x for _, x in own]), tilings)
+
+
 def _no_orphans(labels: Labels, want: Labels) -> None:
     lost = labels - want
     if len(lost):
@@ -164,6 +172,8 @@ def _product(node: Product, want: Labels, want_inner: Labels) -> Planned:
     tilings = left.tilings | right.tilings
     shared = [x for x in left.columns if x in right.columns]
     keep, keep_inner = (left.outer | right.outer) & want, (left.inner | right.inner) & want_inner
+    if node.mask is not None:  # before the join, whose rows are many more
+        left, right = (replace(p, df=_within(p.df, node.mask, keep, p.outer, p.tilings)) for p in (left, right))
     l_df = left.df.select(*[F.col(f"`{x}`") for x in left.columns], *[F.col(c).alias(f"__l_{c}") for c in left.values])
     r_df = right.df.select(*[F.col(f"`{x}`") for x in right.columns], *[F.col(c).alias(f"__r_{c}") for c in right.values])
     df = l_df.join(r_df, shared) if shared else l_df.crossJoin(r_df)
@@ -175,7 +185,7 @@ def _product(node: Product, want: Labels, want_inner: Labels) -> Planned:
         df = _masked(df, node.mask, keep, tilings)
     if set(left.columns) | set(right.columns) != set(names):
         df = df.groupBy(*names).agg(*[F.sum(c).alias(c) for c in values])
-    return Planned(df, keep, keep_inner, values, {x: tilings[x] for x in keep}, left.dense and right.dense, left.factor * right.factor)
+    return Planned(df, keep, keep_inner, values, {x: tilings[x] for x in keep}, left.dense and right.dense and node.mask is None, left.factor * right.factor)
 
 
 def _keep_mask(chosen: Product, node: Product) -> Product:
@@ -194,6 +204,8 @@ def evaluate(node: Node, outer: Labels, inner: Labels = Labels(), policy: str |
     p = plan(node, outer, inner).settled()
     if not p.outer.same_set(outer) or not p.inner.same_set(inner):
         raise AnnotationError(f"{p.outer};{p.inner} cannot be assigned to {outer};{inner}")
+    if policy == DENSE and not p.dense:
+        raise AnnotationError("a dense tensor cannot take a sparse expression; convert it (to_dense)")
     columns = [F.col(f"`{x}`").alias(f"i{k}") for k, x in enumerate(outer)] + [F.col(f"`{x}`").alias(f"n{k}") for k, x in enumerate(inner)]
     trange = TiledRange(tuple(p.tilings[x] for x in outer))
     return Tensor(p.df.select(*columns, *p.values), trange, DENSE if p.dense else SPARSE, len(inner))
@@ -203,7 +215,7 @@ def assign_block(block: Block, node: Node) -> None:
     """Rows outside the block stay; rows inside are those of the expression, moved to the block."""
     target = block.leaf.tensor
     outer, inner = block.labels()
-    found = evaluate(node, outer, inner)
+    found = evaluate(node, outer, inner, target.policy)
     tilings = block.tilings()
     if found.extents != tuple(t.extent for t in tilings):
         raise AnnotationError(f"extents {found.extents} do not fit the block's {tuple(t.extent for t in tilings)}")

@@ -116,6 +116,22 @@ class Tensor:
         box = self.trange.tile_range(tile)
         return self.df.where(inside(self.outer_columns, box.lower, box.upper))
 
+    def elements(self, lower: Sequence[int], upper: Sequence[int]) -> Tensor:
+        """The elements from lower to upper - 1, as one tile that keeps its bounds."""
+        box = self.trange.elements
+        if any(not a <= x < y <= b for a, b, x, y in zip(box.lower, box.upper, lower, upper)):
+            raise L.AnnotationError(f"{tuple(lower)} to {tuple(upper)} is not within {box}")
+        trange = TiledRange(tuple(Tiling((a, b)) for a, b in zip(lower, upper)))
+        return self._with(self.df.where(inside(self.outer_columns, lower, upper)), trange=trange)
+
+    def stored_tiles(self) -> DataFrame:
+        """A row t0.., stored for each tile that has elements, with their number."""
+        return self.df.select(*self.tile_columns()).groupBy(*[f"t{k}" for k in range(self.rank)]).agg(F.count("*").alias("stored"))
+
+    def size_of(self) -> int:
+        """Bytes of the coordinates and values stored, as 8 each, uncompressed."""
+        return 8 * (len(self.coordinates) + len(self.values)) * self.df.count()
+
     def set_tile(self, tile: Sequence[int], values: float | np.ndarray | DataFrame) -> None:
         """Put one tile in the place of what is stored there."""
         box = self.trange.tile_range(tile)
@@ -148,6 +164,13 @@ class Tensor:
     def to_complex(self) -> Tensor:
         return self if self.values == COMPLEX else self._with(self.df.select(*self.coordinates, F.col("v").alias("re"), F.lit(0.0).alias("im")))
 
+    def real(self) -> Tensor:
+        return self if self.values == REAL else self._with(self.df.select(*self.coordinates, F.col("re").alias("v")))
+
+    def imag(self) -> Tensor:
+        part = F.lit(0.0) if self.values == REAL else F.col("im")
+        return self._with(self.df.select(*self.coordinates, part.alias("v")))
+
     def to_numpy(self) -> np.ndarray:
         """All elements on the driver, absent ones as zeros; refused beyond LOCAL_ELEMENTS."""
         if self.inner:
