@@ -154,7 +154,10 @@ class Tiling:
         return Tiling(self.marks[first : last + 1])
 
     def tile_column(self, i: Column) -> Column:
-        """The tile of a coordinate, as an expression: closed form for uniform tilings, a search of the marks else."""
+        """The tile of a coordinate, as an expression: closed form for uniform tilings, a search of the marks else.
+
+        No lambdas: they stay out of generated code, and filters that Spark infers from them across self-joins are wrong.
+        """
         n = self.tiles
         if n <= 1:
             return F.lit(0)
@@ -165,8 +168,7 @@ class Tiling:
             head = big * sizes[0]
             first = F.floor(x / F.lit(sizes[0]))
             return first.cast("int") if big == n else F.when(x < head, first).otherwise(F.floor((x - head) / F.lit(sizes[0] - 1)) + big).cast("int")
-        marks = F.array(*[F.lit(m) for m in self.marks[1:-1]])
-        return F.size(F.filter(marks, lambda m: m <= i)).cast("int")
+        return _searched(i, self.marks[1:-1], 0) if n <= SEARCHED_TILES else _ranked(i, self.marks[1:-1])
 
     def size_column(self, tile: Column) -> Column:
         """The number of elements of a tile, as an expression."""
@@ -176,6 +178,25 @@ class Tiling:
         return F.element_at(F.array(*[F.lit(s) for s in sizes]), tile + 1)
 
 
+#: Up to this many tiles a coordinate's tile is found by nested comparisons, beyond it among sorted marks.
+SEARCHED_TILES = 128
+
+
+def _searched(i: Column, marks: Sequence[int], before: int) -> Column:
+    """How many marks are at most i, and before: halves of the marks, compared in turn."""
+    if not marks:
+        return F.lit(before)
+    middle = len(marks) // 2
+    return F.when(i < F.lit(marks[middle]), _searched(i, marks[:middle], before)).otherwise(_searched(i, marks[middle + 1 :], before + middle + 1))
+
+
+def _ranked(i: Column, marks: Sequence[int]) -> Column:
+    """The same by the place that i takes among the marks; doubled, with i in the gaps, none are equal."""
+    place = (2 * i + 1).cast("bigint")
+    doubled = F.array(*[F.lit(2 * m).cast("bigint") for m in marks])
+    return (F.array_position(F.sort_array(F.array_append(doubled, place)), place) - 1).cast("int")
+
+
 @dataclass(frozen=True)
 class TiledRange:
     modes: tuple[Tiling, ...]

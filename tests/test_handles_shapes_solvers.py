@@ -124,3 +124,13 @@ def test_decomposition_helpers(spark):
     parts = [np.random.default_rng(k).random((e, 2)) for k, e in enumerate((4, 3, 3))]
     cp = solvers.Cp(from_numpy(spark, np.einsum("ir,jr,kr->ijk", *parts)), ridge=0.01)
     assert cp.compute_rank(2, 1e-4, 15) < 0.05
+
+
+def test_tiles_of_uneven_marks(spark):
+    few = Tiling((-3, 0, 1, 5, 6, 13))
+    many = Tiling(tuple(k * k for k in range(140)))
+    for t in (few, many):
+        found = spark.range(t.lower, t.upper).select("id", t.tile_column(F.col("id")).alias("t")).collect()
+        assert all(r.t == t.tile_of(r.id) for r in found)
+    s = shape.norms(fill_random(spark, TiledRange((Tiling((0, 2, 5, 7)), Tiling((0, 5, 6, 10)))), 1))
+    assert shape.mask(s, s.where("t0 = 1")).count() == 3  # of itself
