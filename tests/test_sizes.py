@@ -28,3 +28,15 @@ def vectors(spark, folder, n):
 def test_foreach_tiles_of_vectors_that_fill_no_whole_tiles(spark, tmp_path, n):
     vectors(spark, tmp_path, n)
     agree(spark, tmp_path, "foreach_tiles", "embeddings")
+
+
+def lines(spark, folder, rows, suppliers, parts):
+    """lineitem of (supplier, part, quantity), and the keys' tables."""
+    spark.createDataFrame(rows, "l_suppkey bigint, l_partkey bigint, l_quantity double").write.parquet(f"{folder}/lineitem.parquet")
+    spark.range(suppliers).withColumnRenamed("id", "s_suppkey").write.parquet(f"{folder}/supplier.parquet")
+    spark.range(parts).withColumnRenamed("id", "p_partkey").write.parquet(f"{folder}/part.parquet")
+
+
+def test_shape_add_constant_leaves_tiles_out_that_are_not_stored(spark, tmp_path):
+    lines(spark, tmp_path, [(0, 0, 5.0), (4, 99, 7.0), (5, 150, 2.0), (14, 299, 3.0)], 15, 300)
+    agree(spark, tmp_path, "shape_add_constant", "lineitem", "supplier", "part")
