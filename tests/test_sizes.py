@@ -5,6 +5,9 @@ import numpy as np
 import pytest
 
 from lattica import catalogue
+from lattica.operators import reduce as R
+from lattica.tensor import Tensor
+from lattica.tiling import TiledRange
 
 
 def agree(spark, folder, name, *tables):
@@ -40,3 +43,19 @@ def lines(spark, folder, rows, suppliers, parts):
 def test_shape_add_constant_leaves_tiles_out_that_are_not_stored(spark, tmp_path):
     lines(spark, tmp_path, [(0, 0, 5.0), (4, 99, 7.0), (5, 150, 2.0), (14, 299, 3.0)], 15, 300)
     agree(spark, tmp_path, "shape_add_constant", "lineitem", "supplier", "part")
+
+
+def test_product_small_beyond_a_double(spark, tmp_path):
+    events = spark.range(300_000).selectExpr("id % 300 AS user_id", "concat('e', id % 2) AS event_type")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert float(catalogue.QUERIES["product_small"](spark, str(tmp_path)).collect()[0].value) == round(300 * np.log(2.0), 6)
+    events.where("user_id < 0").unionByName(spark.range(3_000_000).selectExpr("id % 3000 AS user_id", "'e' AS event_type")).write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+    agree(spark, tmp_path, "product_small", "events")  # 2 ** 3000
+
+
+def test_log_product_of_zeros_signs_holes_and_nothing(spark):
+    trange = TiledRange.uniform((4,), 2)
+    t = lambda rows: Tensor(spark.createDataFrame(rows, "i0 bigint, v double"), trange)
+    value = lambda x: R.reduction("log_product", x["i"]).collect()[0].value
+    assert value(t([(0, -2.0), (1, 3.0)])) == pytest.approx(np.log(6)) and value(t([])) == 0
+    assert value(t([(0, 0.0), (1, 3.0)])) == value(t([(1, 3.0)])) == -np.inf
