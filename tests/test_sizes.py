@@ -59,3 +59,16 @@ def test_log_product_of_zeros_signs_holes_and_nothing(spark):
     value = lambda x: R.reduction("log_product", x["i"]).collect()[0].value
     assert value(t([(0, -2.0), (1, 3.0)])) == pytest.approx(np.log(6)) and value(t([])) == 0
     assert value(t([(0, 0.0), (1, 3.0)])) == value(t([(1, 3.0)])) == -np.inf
+
+
+def above_the_join(frame):
+    """The plan from the result down to the first join."""
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    return plan[: plan.index("Join")]
+
+
+def test_gram_embeddings_deals_out_no_pairs_of_tiles(spark, tmp_path):
+    vectors(spark, tmp_path, 300)
+    agree(spark, tmp_path, "gram_embeddings", "embeddings")
+    above = above_the_join(catalogue.QUERIES["gram_embeddings"](spark, str(tmp_path)))
+    assert "MapInArrow" in above and "FlatMapGroups" not in above
