@@ -72,3 +72,16 @@ def test_gram_embeddings_deals_out_no_pairs_of_tiles(spark, tmp_path):
     agree(spark, tmp_path, "gram_embeddings", "embeddings")
     above = above_the_join(catalogue.QUERIES["gram_embeddings"](spark, str(tmp_path)))
     assert "MapInArrow" in above and "FlatMapGroups" not in above
+
+
+def test_gram_embeddings_elements_by_tiles_deals_out_no_pairs_of_tiles(spark, tmp_path):
+    vectors(spark, tmp_path, 900)  # enough multiplications for tiles
+    found = catalogue.QUERIES["gram_embeddings_elements"](spark, str(tmp_path))
+    above = above_the_join(found)
+    assert "MapInArrow" in above and "FlatMapGroups" not in above
+    x = np.zeros((900, 64))
+    for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect():
+        x[r.vec_id] = np.floor(np.array(r.embedding) * 1000)
+    got = found.toPandas()
+    assert len(got) == 900 * 900 and np.array_equal(np.sort(got["n"] * 900 + got["m"]), np.arange(900 * 900))
+    assert np.array_equal((x @ x.T)[got["n"], got["m"]], got["v"])
