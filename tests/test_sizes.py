@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 
 from lattica import catalogue
+from lattica.labels import Labels
 from lattica.operators import reduce as R
+from lattica.operators import shape
 from lattica.tensor import Tensor
 from lattica.tiling import TiledRange
 
@@ -85,3 +87,19 @@ def test_gram_embeddings_elements_by_tiles_deals_out_no_pairs_of_tiles(spark, tm
     got = found.toPandas()
     assert len(got) == 900 * 900 and np.array_equal(np.sort(got["n"] * 900 + got["m"]), np.arange(900 * 900))
     assert np.array_equal((x @ x.T)[got["n"], got["m"]], got["v"])
+
+
+def test_shape_gemm_joins_no_tiles_one_by_one(spark, tmp_path):
+    """What is joined on the contracted label is blocks of tiles: no more rows than blocks."""
+    rng = np.random.default_rng(3)
+    rows = [(int(s) + 50 * c, int(p) + 1000 * c, float(v)) for c in range(8) for s, p, v in zip(rng.integers(0, 50, 400), rng.integers(0, 1000, 400), rng.integers(1, 50, 400))]
+    lines(spark, tmp_path, rows, 400, 8000)
+    agree(spark, tmp_path, "shape_gemm", "lineitem", "supplier", "part")
+    above = above_the_join(catalogue.QUERIES["shape_gemm"](spark, str(tmp_path)))
+    assert "MapInArrow" in above and "sum(" not in above
+
+
+def test_shape_gemm_without_the_second_range(spark):
+    a, b = (spark.createDataFrame(r, "t0 int, t1 int, norm double") for r in ([(0, 0, 1.0), (1, 299, 2.0), (299, 1, 4.0)], [(5, 0, 3.0), (260, 299, 5.0), (7, 8, 1.0)]))
+    found = shape.gemm(a, Labels("ik"), TiledRange.uniform((300, 300), 1), b, Labels("jk"), Labels("ij"))
+    assert sorted(map(tuple, found.collect())) == [(0, 5, 3.0), (1, 260, 10.0)]
