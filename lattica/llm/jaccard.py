@@ -121,11 +121,13 @@ def _rarity(docs: DataFrame, n: int, slots: int) -> np.ndarray:
     # in two levels, so that no task gets a block from every other one
     kind = "block int, part int, counts binary"
     sums = docs.select("text").mapInPandas(lean(count), kind).groupBy("block", "part").applyInPandas(add, kind).groupBy("block").applyInPandas(add, kind)
-    counts = np.zeros(slots, np.int64)
-    for r in sums.collect():  # at most MAX_SLOTS counts
-        counts[r.block * _SLOT_BLOCK : (r.block + 1) * _SLOT_BLOCK] = _unpacked(r.counts)
-    scatter = math.sqrt(max(1.0, float(counts.mean())))
-    return np.minimum(counts >> max(0, int(math.log2(scatter / 4)) if scatter > 4 else 0), 65535).astype(np.uint16)
+    blocks = {r.block: bytes(r.counts) for r in sums.collect()}  # at most MAX_SLOTS counts, which stay compressed but for one block
+    scatter = math.sqrt(max(1.0, sum(int(_unpacked(c).sum()) for c in blocks.values()) / slots))
+    away = max(0, int(math.log2(scatter / 4)) if scatter > 4 else 0)
+    out = np.zeros(slots, np.uint16)
+    for b, c in blocks.items():
+        out[b * _SLOT_BLOCK : (b + 1) * _SLOT_BLOCK] = np.minimum(_unpacked(c) >> away, 65535)
+    return out
 
 
 def _vector(grams: np.ndarray) -> bytes:
