@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import discard, materialise
+from lattica.llm.common import discard, lean, materialise
 
 #: The most hubs that are broadcast (16 bytes each), and the least edges of a hub.
 HUBS, HUB_EDGES = 100_000, 1_000
+#: Up to so many edges one task solves at once (16 bytes each, some ten times that at work); more are solved in rounds of shuffles.
+TASK_EDGES = 1_000_000
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -29,10 +35,32 @@ def _with_least(edges: DataFrame, low: DataFrame, hub: int | None) -> DataFrame:
     return marked.where("hm IS NOT NULL").select("u", "v", F.col("hm").alias("m")).unionByName(rest)
 
 
+def _solved(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the smallest node of each one's component: roots go below the smallest root beside them until none is left to go."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b, root = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while len(a):
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(root, up := root[root]):
+            root = up
+    return nodes, nodes[root]
+
+
+def _in_one_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = [(pdf["u"].to_numpy(np.int64), pdf["v"].to_numpy(np.int64)) for pdf in batches]
+    if held:
+        node, root = _solved(*(np.concatenate(x) for x in zip(*held)))
+        yield pd.DataFrame({"node": node, "root": root})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Edges u, v to rows node, root: the smallest node of each node's component.
 
-    Each round joins a node's edges with its smallest neighbour (added up before the shuffle), first
+    Up to TASK_EDGES edges are solved by one task: rounds of many small shuffles cost the driver their plans, generated
+    code and tasks' statuses. With more, each round joins a node's edges with its smallest neighbour (added up before the shuffle), first
     over larger neighbours, then over smaller ones, until the edges are stars. The number of rounds
     grows with the logarithm of the longest path. Nothing is gathered but the edges' count and sum.
     Loops and repeated edges count once; no edges give no rows. The table of a round is deleted as soon as the next is written.
@@ -40,6 +68,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialise(edges, "edges")
     mark = _mark(edges)
+    if mark[0] <= TASK_EDGES:
+        found = materialise(edges.coalesce(1).mapInPandas(lean(_in_one_task), "node bigint, root bigint"), "components")
+        discard(edges)
+        return found
     while mark[0]:
         hub = max(HUB_EDGES, mark[0] // HUBS)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
