@@ -8,6 +8,7 @@ from lattica import catalogue
 from lattica.labels import Labels
 from lattica.operators import reduce as R
 from lattica.operators import shape
+from lattica.plans import blocks
 from lattica.tensor import Tensor
 from lattica.tiling import TiledRange
 
@@ -103,3 +104,34 @@ def test_shape_gemm_without_the_second_range(spark):
     a, b = (spark.createDataFrame(r, "t0 int, t1 int, norm double") for r in ([(0, 0, 1.0), (1, 299, 2.0), (299, 1, 4.0)], [(5, 0, 3.0), (260, 299, 5.0), (7, 8, 1.0)]))
     found = shape.gemm(a, Labels("ik"), TiledRange.uniform((300, 300), 1), b, Labels("jk"), Labels("ij"))
     assert sorted(map(tuple, found.collect())) == [(0, 5, 3.0), (1, 260, 10.0)]
+
+
+def far_apart(spark, folder, n, apart):
+    vectors(spark, folder / "near", n)
+    spark.read.parquet(f"{folder}/near/embeddings.parquet").selectExpr(f"vec_id * {apart} AS vec_id", "embedding").write.parquet(f"{folder}/embeddings.parquet")
+
+
+def test_gram_embeddings_elements_by_tiles_of_ids_far_apart(spark, tmp_path):
+    far_apart(spark, tmp_path, 900, 1_000_003)
+    above = above_the_join(catalogue.QUERIES["gram_embeddings_elements"](spark, str(tmp_path)))
+    assert "MapInArrow" in above and "FlatMapGroups" not in above and "sum(" not in above
+    agree(spark, tmp_path, "gram_embeddings_elements", "embeddings")
+
+
+def test_gram_embeddings_has_no_rows_of_ids_that_are_not_there(spark, tmp_path):
+    far_apart(spark, tmp_path, 90, 3)
+    agree(spark, tmp_path, "gram_embeddings", "embeddings")
+
+
+@pytest.mark.parametrize("buckets", [None, {"i": 2, "k": 3}])
+def test_tiles_with_holes_are_added_up_over_the_contracted_label(spark, buckets):
+    rng = np.random.default_rng(2)
+    tables = [{(int(i), int(k)): float(v) for i, k, v in zip(rng.integers(0, n, 120), rng.integers(0, 50, 120), rng.integers(-9, 9, 120))} for n in (40, 30)]
+    a, b = (Tensor(spark.createDataFrame([(i, k, v) for (i, k), v in t.items()], "i0 bigint, i1 bigint, v double"), TiledRange.uniform((n, 50), 10)) for t, n in zip(tables, (40, 30)))
+    want = {}
+    for (i, k), v in tables[0].items():
+        for (j, m), w in tables[1].items():
+            if k == m:
+                want[i, j] = want.get((i, j), 0.0) + v * w
+    got = blocks.tile_product(a, "i,k", b, "j,k", "i,j", 8, buckets).df.collect()
+    assert len(got) == len(want) and {(r.i0, r.i1): r.v for r in got} == want
