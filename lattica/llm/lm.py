@@ -4,8 +4,11 @@ Text is lower-cased (A-Z), its words are joined by single spaces, and it ends wi
 Characters are written in symbols of five binary decisions: the end, the space, the 28 most frequent other
 characters of the training texts, and two shifts, one before the 32 next frequent characters and one before
 a code point in five symbols. Each decision is predicted in several contexts: the last 4 and 8 symbols and the word so far, by tables of counts over
-all training texts. Contexts are hashed into tables that grow with the counted training tokens, up to MAX_BITS, as each
-task holds them in memory; beyond, contexts share places and predictions blur. The stretched predictions are mixed with weights
+all training texts. Of up to 2^MAX_BITS counted training tokens, contexts are hashed into tables that grow with the tokens and
+that each task holds in memory. Of more tokens, each context keeps counts of its own, however many there are: groups of texts
+send the different contexts with symbols that they hold (last symbols as they are, words so far by 48 bits of a hash and two symbols) to the part
+that their keys fall in, which adds up the counts of all training texts and sends each group its predictions back. Groups and
+parts are of bounded size and grow in number with the corpus. The stretched predictions are mixed with weights
 that are gated by the decision's depth and adapt online within a text; the mix is refined by an
 adaptive scale and offset. Long texts are mixed in segments of ``segment`` symbols that each start with the same weights,
 with contexts running across; that bounds the steps in which texts are scored together. Training
@@ -18,21 +21,24 @@ The unigram base needs the training count of every token. Counts of frequent wor
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lattica.llm.common import extended, fresh, held_out, lean, materialise, table
 from lattica.llm.tokens import chunks, powers, spread, tokenised
 
 ORDERS = (4, 8)
 #: Hashed contexts of an order: 2 to the power of so many bits, of 32 symbols each (a byte each when broadcast, four when counted).
+#: A corpus of more tokens than the most has no hashed tables, but keys of all contexts.
 MIN_BITS, MAX_BITS = 14, 19
 #: Words whose counts are broadcast, at most (16 bytes each).
 FREQUENT = 500_000
@@ -50,6 +56,14 @@ _BLOCK = 1 << 16
 _PIECE = 1 << 16
 #: Tables of so many tasks are added up in one group.
 _FAN = 256
+#: Characters, about, of the texts whose keys are asked for together, and of those whose keys make up a part.
+GROUP, PART = 16_000_000, 8_000_000
+#: Bits of a context in the keys of each order (of words: 48 of a hash, two symbols); five of the symbol follow.
+_KEY_BITS = (*(5 * o for o in ORDERS), 58)
+#: No key: keys have fewer bits.
+_NONE = np.uint64((1 << 64) - 1)
+#: Keys that are ranked at once, whose sort stays in a core's cache.
+_RANK = 1 << 17
 _LOG10_2 = math.log10(2.0)
 
 _SYMBOLS = np.arange(32)
@@ -106,15 +120,19 @@ def bits_for(tokens: int) -> int:
 
 def contexts(streams: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """All symbols, the start of each stream, and of each order the place of each symbol's context in the order's table."""
+    return _over(streams, lambda symbols: _contexts(symbols, bits), [np.int32] * (len(ORDERS) + 1))
+
+
+def _over(streams: list[np.ndarray], find: Callable[[np.ndarray], Iterator[np.ndarray]], types: list[type]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     gap = np.zeros(max(ORDERS), np.uint8)
     sizes = np.array([len(gap) + len(s) for s in streams], np.int64)
     ends = np.cumsum(sizes)
     symbols = np.concatenate([p for s in streams for p in (gap, s)]) if streams else gap
-    bases = [np.empty(len(symbols), np.int32) for _ in range(len(ORDERS) + 1)]
+    bases = [np.empty(len(symbols), t) for t in types]
     at = 0
     while at < len(symbols):  # whole streams, of so many symbols that what is at work stays in a core's cache
         stop = int(ends[np.searchsorted(ends, min(at + _PIECE, len(symbols)))]) if streams else len(symbols)
-        for base, found in zip(bases, _contexts(symbols[at:stop], bits)):
+        for base, found in zip(bases, find(symbols[at:stop])):
             base[at:stop] = found
         at = stop
     return symbols, ends - sizes + len(gap), bases
@@ -146,18 +164,86 @@ def _place(context: np.ndarray, bits: int) -> np.ndarray:
     return (((context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)) << np.uint64(5)).astype(np.int32)
 
 
+def _opens(symbols: np.ndarray) -> np.ndarray:
+    """Where the word begins that each place is in."""
+    opens = np.zeros(len(symbols), np.int64)
+    opens[1:] = np.where(symbols[:-1] <= _SPACE, np.arange(1, len(symbols)), 0)
+    return np.maximum.accumulate(opens)
+
+
 def _word_so_far(symbols: np.ndarray) -> np.ndarray:
     """A hash of the symbols since the last space or end, before each place: a difference of running sums of symbols times powers."""
-    n = len(symbols)
-    up, down = powers(n + 1)
+    up, down = powers(len(symbols) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * down[:-1])))[:-1]
-    opens = np.zeros(n, np.int64)
-    opens[1:] = np.where(symbols[:-1] <= _SPACE, np.arange(1, n), 0)
-    opens = np.maximum.accumulate(opens)
+    opens = _opens(symbols)
     h = (sums - sums[opens]) * up[opens]
     return (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def keys(streams: list[np.ndarray], nr: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All symbols, the start of each stream, and an order's context with the symbol at each place; at places between streams, ``_NONE``.
+
+    The last two symbols of a context, and the symbol, are the last bits, so that keys that differ only there are neighbours.
+    """
+    low, odd = np.uint64(10), np.uint64(0x9E3779B97F4A7C15)
+
+    def find(symbols: np.ndarray) -> Iterator[np.ndarray]:
+        if nr < len(ORDERS):  # older symbols times an odd number: others of as many bits, whose first bits are evenly dealt
+            past = _past(symbols, ORDERS[nr])
+            older, last = ((past >> low) * odd) & np.uint64((1 << (_KEY_BITS[nr] - 10)) - 1), past & np.uint64(1023)
+        else:  # the word without its last two symbols, and these; spaces where it has fewer
+            size = np.arange(len(symbols)) - _opens(symbols)
+            older, one, two = np.zeros(len(symbols), np.uint64), np.ones(len(symbols), np.uint64), np.ones(len(symbols), np.uint64)
+            older[2:] = _word_so_far(symbols)[:-2] >> np.uint64(74 - _KEY_BITS[nr])
+            one[1:], two[2:] = symbols[:-1], symbols[:-2]
+            older[size < 2], two[size < 2], one[size < 1] = 0, _SPACE, _SPACE
+            last = (two << np.uint64(5)) | one
+        yield (((older << low) | last) << np.uint64(5)) | symbols
+
+    symbols, starts, (found,) = _over(streams, find, [np.uint64])
+    if streams:
+        found[(starts[:, None] - np.arange(1, max(ORDERS) + 1)).ravel()] = _NONE
+    else:
+        found[:] = _NONE
+    return symbols, starts, found
+
+
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where values that are in order begin to differ from those before."""
+    first = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    return first
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values but ``_NONE`` in order, and how often each occurs. The array given is put in order."""
+    values.sort()
+    values = values[: np.searchsorted(values, _NONE)]
+    at = np.flatnonzero(_firsts(values))
+    return values[at], np.diff(np.append(at, len(values)))
+
+
+def _ranked(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of so many bits in order, and the number of each value among them: by one sort of values with their places in the last bits."""
+    low = max(1, (len(values) - 1).bit_length())
+    cut, packed = np.uint64(max(0, bits + low - 64)), values
+    if cut:  # bits above the last 15 are left out
+        packed = ((values >> (cut + np.uint64(15))) << np.uint64(15)) | (values & np.uint64(0x7FFF))
+    at = (np.sort((packed << np.uint64(low)) | np.arange(len(values), dtype=np.uint64)) & np.uint64((1 << low) - 1)).astype(np.intp)
+    ordered = values[at]
+    if cut and (ordered[1:] < ordered[:-1]).any():  # values that differ only in what was left out
+        return np.unique(values, return_inverse=True)
+    first = _firsts(ordered)
+    numbers = np.empty(len(values), np.int32)
+    numbers[at] = np.cumsum(first, dtype=np.int32) - 1
+    return ordered[first], numbers
+
+
+def _nodes(ordered: np.ndarray) -> list[np.ndarray]:
+    """At each decision, which of the keys in order are the first that come to it."""
+    return [_firsts(ordered >> np.uint64(5 - d)) for d in range(5)]
+
+
 def table_sizes(bits: int) -> list[int]:
     return [32 << min(5 * o, bits) for o in ORDERS] + [32 << bits]
 
@@ -172,9 +258,36 @@ def _stretched(counts: np.ndarray) -> np.ndarray:
     return np.rint(np.clip(out, -10, 10) / UNIT).astype(np.int8).ravel()
 
 
+def predictions(ordered: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For different keys in order with their counts, the same as ``_stretched`` at the five decisions of each key's symbol, positive where they favour it."""
+    sums = []
+    for d in range(6):  # keys that agree up to a decision stand together
+        first = _firsts(ordered >> np.uint64(5 - d))
+        sums.append(np.add.reduceat(counts, np.flatnonzero(first))[np.cumsum(first) - 1] if len(ordered) else counts)
+    out = np.empty((5, len(ordered)), np.int8)
+    for d in range(5):
+        one = (ordered >> np.uint64(4 - d)) & np.uint64(1) == 1
+        taken, other = (n.astype(np.float32) + np.float32(PRIOR) for n in (sums[d + 1], sums[d] - sums[d + 1]))
+        x = np.rint(np.clip(np.log(np.where(one, taken, other) / np.where(one, other, taken)), -10, 10) / UNIT)
+        out[d] = np.where(one, x, -x)
+    return out
+
+
 def score_streams(streams: list[np.ndarray], tables: list[np.ndarray], segment: int = SEGMENT) -> np.ndarray:
     """Bits of each stream."""
     symbols, starts, bases = contexts(streams, (len(tables[-1]) // 32).bit_length() - 1)
+
+    def look(at: np.ndarray, s: np.ndarray, sign: np.ndarray) -> list[np.ndarray]:
+        node = np.empty(sign.shape, np.intp)
+        for d in range(5):
+            node[:, d] = _NODE[d].take(s)
+        return [t.take(node + b.take(at).astype(np.intp)[:, None]).astype(np.float32) for t, b in zip(tables, bases)]
+
+    return _mixed(streams, symbols, starts, look, segment)
+
+
+def _mixed(streams: list[np.ndarray], symbols: np.ndarray, starts: np.ndarray, look: Callable[..., list[np.ndarray]], segment: int) -> np.ndarray:
+    """Bits of each stream. ``look`` has each order's predictions for symbols at some places, given minus the sign of their decisions."""
     owner, begin, end = [], [], []
     for i, (s, at) in enumerate(zip(streams, starts.tolist())):
         for b in range(0, len(s), segment):
@@ -198,13 +311,11 @@ def score_streams(streams: list[np.ndarray], tables: list[np.ndarray], segment:
         live = at < end[:a]
         np.minimum(at, len(symbols) - 1, out=at)
         s = symbols.take(at)
-        node, sign = np.empty((STEP, 5, a), np.intp), np.empty((STEP, 5, a), np.float32)
+        sign = np.empty((STEP, 5, a), np.float32)
         for d in range(5):
-            node[:, d], sign[:, d] = _NODE[d].take(s), _SIGN[d].take(s)
-        x, z = [], None
-        for k, t in enumerate(tables):
-            v = t.take(node + bases[k].take(at).astype(np.intp)[:, None]).astype(np.float32)
-            x.append(v)
+            sign[:, d] = _SIGN[d].take(s)
+        x, z = look(at, s, sign), None
+        for k, v in enumerate(x):
             m = v * weights[k][:, :a]
             z = m if z is None else np.add(z, m, out=z)
         e = z * scale[:, :a]
@@ -317,24 +428,143 @@ def learn_tables(training: DataFrame, chars: list[int], bits: int) -> list[np.nd
     return tables
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte: first all lowest bytes; how many bytes a number takes comes first."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _from_planes(held: bytes) -> np.ndarray:
+    width, n = held[0], int.from_bytes(held[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(held[9:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def _trimmed(run: Callable[..., pa.Table], *args: pa.Table) -> pa.Table:
+    """What ``run`` makes of a group, with memory given back."""
+    return list(lean(lambda groups: (run(*g) for g in groups))(iter([args])))[0]
+
+
+def ask(texts: DataFrame, chars: list[int], bits: int) -> DataFrame:
+    """nr, part, chunk, values: the predictions of each chunk's keys.
+
+    ``texts`` has text, __chunk and __learn (whether the text is counted); each chunk fits in a task.
+    Chunks below 0 ask for nothing. The keys of an order are dealt by their first ``bits`` bits into parts.
+    """
+    kind = "nr int, part int, chunk bigint, held binary, counts binary"
+    made, answers = to_arrow_schema(StructType.fromDDL(kind)), "nr int, part int, chunk bigint, values binary"
+    answered = to_arrow_schema(StructType.fromDDL(answers))
+
+    def send(group: pa.Table) -> pa.Table:
+        coder, streams = Coder(chars), ([], [])
+        for text, learn in zip(group["text"], group["__learn"].to_pylist()):
+            streams[learn].append(coder(words_of(text.as_py())))
+        chunk, rows = group["__chunk"][0].as_py(), []
+        for nr, size in enumerate(_KEY_BITS):
+            # an order and a side at a time, as keys take eight bytes a symbol
+            (other, _), (learned, n) = (_distinct(keys(side, nr)[2]) for side in streams)
+            found = _distinct(np.concatenate((other, learned)))[0] if len(other) else learned
+            counts = np.zeros(len(found), np.int64)
+            counts[np.searchsorted(found, learned)] = n
+            part_bits = min(bits, size)
+            bases = np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(size + 5 - part_bits)
+            cuts = [*np.searchsorted(found, bases).tolist(), len(found)]
+            # keys from their part's first one on, as differences
+            rows += [(nr, p, chunk, _planes(np.diff(found[a:b], prepend=bases[p])), _planes(counts[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), made.types)], schema=made)
+
+    def answer(group: pa.Table) -> pa.Table:
+        nr, part, chunks_ = group["nr"][0].as_py(), group["part"][0].as_py(), group["chunk"].to_pylist()
+        held = [np.cumsum(_from_planes(x.as_py()), dtype=np.uint64) for x in group["held"]]
+        found, numbers = _ranked(np.concatenate(held), _KEY_BITS[nr] + 5 - min(bits, _KEY_BITS[nr]))
+        counts = np.bincount(numbers, weights=np.concatenate([_from_planes(n.as_py()) for n in group["counts"]]), minlength=len(found)).astype(np.int64)
+        all_, rows, at = predictions(found, counts), [], 0
+        for chunk, own in zip(chunks_, held):
+            if chunk >= 0:
+                # once for each decision that its keys come to, as its first key has it
+                values = np.concatenate([all_[d].take(numbers[at : at + len(own)][first]) for d, first in enumerate(_nodes(own))])
+                rows.append((nr, part, chunk, pa.compress(values.tobytes(), codec="zstd", asbytes=True)))
+            at += len(own)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, answered.types)], schema=answered)
+
+    sent = texts.groupBy("__chunk").applyInArrow(lambda group: _trimmed(send, group), kind)
+    return sent.groupBy("nr", "part").applyInArrow(lambda group: _trimmed(answer, group), answers)
+
+
+def score_chunk(texts: list[str | None], coder: Coder, answers: pa.Table, bits: int, segment: int = SEGMENT) -> np.ndarray:
+    """Bits of each text of a chunk, by the predictions that ``ask`` gave for it."""
+    pieces, out = [], np.zeros(len(texts))
+    for rows in chunks(texts):
+        streams = [coder(words_of(texts[i])) for i in rows]
+        pieces.append((rows, streams, [], []))
+    parts, nrs, values = answers["part"].to_numpy(), answers["nr"].to_numpy(), answers["values"]
+    for nr, size in enumerate(_KEY_BITS):
+        for _, streams, numbers, own in pieces:
+            found, at, different = keys(streams, nr)[2], [], []
+            for a in range(0, len(found), _RANK):
+                here = found[a : a + _RANK]
+                live = here != _NONE
+                mine, number = _ranked(here[live], size + 5)
+                where = np.zeros(len(here), np.int32)
+                where[live] = (number + sum(map(len, different))) * 5
+                at.append(where)
+                different.append(mine)
+            numbers.append(np.concatenate(at))
+            own.append(np.concatenate(different))
+        mine = _distinct(np.concatenate([p[3][nr] for p in pieces]))[0]
+        known, part_bits = np.empty((len(mine), 5), np.int8), min(bits, size)
+        blobs = {int(parts[i]): values[i].as_py() for i in np.flatnonzero(nrs == nr).tolist()}
+        cuts = [*np.searchsorted(mine, np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(size + 5 - part_bits)).tolist(), len(mine)]
+        for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a == b:
+                continue
+            firsts, done = _nodes(mine[a:b]), 0
+            given = np.frombuffer(pa.decompress(blobs[part], decompressed_size=int(sum(map(np.sum, firsts))), codec="zstd", asbytes=True), np.int8)
+            for d, first in enumerate(firsts):
+                number = np.cumsum(first) - 1
+                one = (mine[a:b] >> np.uint64(4 - d)) & np.uint64(1)
+                known[a:b, d] = given[done : done + number[-1] + 1][number] * np.where(one == one[first][number], np.int8(1), np.int8(-1))
+                done += number[-1] + 1
+        for p in pieces:
+            p[3][nr] = known[np.searchsorted(mine, p[3][nr])].ravel()
+    depths = np.arange(5)[:, None]
+    gap = np.zeros(max(ORDERS), np.uint8)
+    for rows, streams, numbers, own in pieces:
+
+        def look(at: np.ndarray, s: np.ndarray, sign: np.ndarray, numbers: list = numbers, own: list = own) -> list[np.ndarray]:
+            return [-v.take(n.take(at).astype(np.intp)[:, None] + depths) * sign for n, v in zip(numbers, own)]
+
+        sizes = np.array([len(gap) + len(s) for s in streams], np.int64)
+        symbols = np.concatenate([p for s in streams for p in (gap, s)])
+        out[rows] = _mixed(streams, symbols, np.cumsum(sizes) - sizes + len(gap), look, segment)
+    return out
+
+
 _ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
-def score(docs: DataFrame, training: DataFrame, segment: int = SEGMENT) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame | Column, segment: int = SEGMENT) -> DataFrame:
     """The input's columns but the text, with n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
 
+    ``training`` is a table with a text, or a condition on the rows of ``docs``, which then are coded and counted in one go.
     Null texts are empty: their only token is the end, and bits_per_byte, of the words joined by single
     spaces, is null as for texts without words. Rows are told apart by doc_id and text, so that equal
     rows get equal results. No training texts: every count is 0. Texts are taken whole. Input columns
     of the added names are replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    within = isinstance(training, Column)
+    docs = docs.withColumn("__learn", F.coalesce(training, F.lit(False)) if within else F.lit(False))
+    training = docs.where("__learn") if within else training
     counts = count_tokens(training)
     words, chars = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1")
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()[0]
     n_all, vocabulary = total.n or 0, total.v or 0
     top = [r.key for r in chars.orderBy(F.desc("n"), "key").limit(61).collect()]
-    shared = spark.sparkContext.broadcast((top, learn_tables(training, top, bits_for(n_all))))  # 32 << MAX_BITS bytes an order at most
+    whole = n_all > 1 << MAX_BITS  # then no tables that fit in a task have a place for each context
+    shared = spark.sparkContext.broadcast((top, None if whole else learn_tables(training, top, bits_for(n_all))))  # 32 << MAX_BITS bytes an order at most
 
     # the least count that at most FREQUENT words reach; counts are few, words are not
     room, least = FREQUENT, 1 << 62
@@ -360,7 +590,8 @@ def score(docs: DataFrame, training: DataFrame, segment: int = SEGMENT) -> DataF
             at[at == len(keys)] = 0
             return logs[np.where(keys[at] == hashes, at, len(keys))] if len(keys) else np.full(len(hashes), np.nan)
 
-        def work(texts: list[str | None]) -> dict[str, list]:
+        def work(texts: list[str | None], answers: pa.Table | None = None, part_bits: int = 0) -> dict[str, list]:
+            whole_bits = None if answers is None else score_chunk(texts, coder, answers, part_bits, segment)
             out: dict[str, list] = {c: [] for c in ("n_tokens", "__often", "__base", "__rare", "score", "bits_per_byte")}
             for rows in chunks(texts):
                 here = [texts[i] for i in rows]
@@ -380,14 +611,18 @@ def score(docs: DataFrame, training: DataFrame, segment: int = SEGMENT) -> DataF
                 out["__base"] += (known - tokens * base_total).tolist()
                 out["__rare"] += [lost[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
                 split = [words_of(t) for t in here]
-                bits = score_streams([coder(w) for w in split], tables, segment)
+                bits = score_streams([coder(w) for w in split], tables, segment) if whole_bits is None else whole_bits[rows]
                 out["score"] += (-bits * _LOG10_2).tolist()
                 out["bits_per_byte"] += [b / (sum(map(len, w)) + len(w) - 1) if w else None for b, w in zip(bits.tolist(), split)]
             return out
 
         return work
 
-    scored = extended(docs, ["text"], start, "n_tokens bigint, __often bigint, __base double, __rare array<bigint>, score double, bits_per_byte double", drop=["text"])
+    added = "n_tokens bigint, __often bigint, __base double, __rare array<bigint>, score double, bits_per_byte double"
+    if whole:
+        scored = _by_chunks(docs, None if within else training, top, start, added)
+    else:
+        scored = extended(docs, ["text"], start, added, drop=["text", "__learn"])
     scored = materialise(scored, "scored")
     # a marker in each row tells how often equal rows have been counted
     rare = scored.where(F.size("__rare") > 0).select("doc_id", "__th", F.posexplode("__rare").alias("at", "key"))
@@ -399,13 +634,42 @@ def score(docs: DataFrame, training: DataFrame, segment: int = SEGMENT) -> DataF
     ).select("doc_id", "__th", (F.col("more") / F.col("rows")).alias("more"), (F.col("found") / F.col("rows")).cast("bigint").alias("found"))
     left, more = scored.alias("l"), sums.alias("s")
     same = F.col("l.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("l.__th").eqNullSafe(F.col("s.__th"))
-    keep = [F.col(f"l.`{c}`") for c in docs.columns if c not in ("text", "__th")]
+    keep = [F.col(f"l.`{c}`") for c in docs.columns if c not in ("text", "__th", "__learn")]
     return left.join(more, same, "left").select(
         *keep, "l.n_tokens", (F.col("l.__often") + F.coalesce("s.found", F.lit(0))).alias("n_known"), F.lit(n_all).cast("bigint").alias("train_tokens"),
         (F.col("l.__base") + F.coalesce("s.more", F.lit(0.0))).alias("base_score"), "l.score", "l.bits_per_byte",
     )
 
 
+def _by_chunks(docs: DataFrame, training: DataFrame | None, chars: list[int], start: Callable[[], Callable[..., dict[str, list]]], added: str) -> DataFrame:
+    """The columns of ``docs`` but the text, and the added ones, by chunks of texts and the predictions for each."""
+
+    def size(texts: DataFrame) -> int:
+        return texts.agg(F.sum(F.length("text"))).collect()[0][0] or 0
+
+    def dealt(by: list[str], n: int) -> Column:
+        return F.pmod(F.xxhash64(*by), F.lit(max(1, -(-n // GROUP))))
+
+    n, more = size(docs), size(training) if training is not None else 0
+    texts = docs = docs.withColumn("__chunk", dealt(["doc_id", "__th"], n))
+    if training is not None:
+        learned = training.select("text", F.lit(True).alias("__learn"), (-1 - dealt([c for c in ("doc_id", "text") if c in training.columns], more)).alias("__chunk"))
+        texts = docs.select("text", "__learn", "__chunk").unionByName(learned)
+    bits = max(0, -(-(n + more) // PART) - 1).bit_length()
+    asked = ask(texts, chars, bits)
+    kept = [f for f in docs.schema if f.name not in ("text", "__learn", "__chunk")]
+    out = StructType(kept + list(StructType.fromDDL(added)))
+    arrow = to_arrow_schema(out)
+
+    def made(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return arrow.empty_table()
+        found = start()(left["text"].to_pylist(), right, bits)
+        return pa.Table.from_arrays([left[f.name] if f.name in left.column_names else pa.array(found[f.name], t) for f, t in zip(out, arrow.types)], names=arrow.names)
+
+    return docs.groupBy("__chunk").cogroup(asked.groupBy("chunk")).applyInArrow(lambda left, right: _trimmed(made, left, right), out)
+
+
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id"), 7))
-    return score(docs, docs.where(~F.col("held_out"))).select("doc_id", "held_out", *_ADDED[:5], "bits_per_byte")
+    return score(docs, ~F.col("held_out")).select("doc_id", "held_out", *_ADDED[:5], "bits_per_byte")

@@ -1,6 +1,7 @@
 """Licences, decontamination, quality, language, mixing and the language model against plain Python."""
 
 import collections
+import functools
 import hashlib
 import math
 import re
@@ -570,6 +571,62 @@ def test_tables_grow_with_the_corpus(table):
     assert all((lm._stretched(a) == b).all() for a, b in zip(counts, lm.learn_tables(table, chars, 14)))
 
 
+def brute_scores(texts, training, chars):
+    """log10 probabilities by counts of each whole context, in dictionaries."""
+    import numpy as np
+
+    coder, counts = lm.Coder(chars), collections.defaultdict(lambda: np.zeros(32, np.int64))
+
+    def seen(stream):
+        past, word = (0,) * max(lm.ORDERS), ()
+        for s in stream.tolist():
+            yield [*((o, past[-o:]) for o in lm.ORDERS), ("word", word)], s
+            past, word = past[1:] + (s,), () if s <= lm._SPACE else word + (s,)
+
+    for t in training:
+        for found, s in seen(coder(lm.words_of(t))):
+            for c in found:
+                counts[c][s] += 1
+    stretched = functools.cache(lambda c: lm._stretched(counts[c]) if c in counts else np.zeros(32, np.int8))
+    out = []
+    for t in texts:
+        stream = coder(lm.words_of(t))
+        rows = [[stretched(c) for c in found] for found, _ in seen(stream)]
+        tables = [np.concatenate([r[k] for r in rows]) for k in range(3)]  # a row for each place in the text
+
+        def look(at, s, sign, tables=tables, first=max(lm.ORDERS)):
+            node = lm._NODE[:, s].transpose(1, 0, 2)
+            return [k.take(node + 32 * np.clip(at - first, 0, len(k) // 32 - 1)[:, None]).astype(np.float32) for k in tables]
+
+        symbols = np.concatenate((np.zeros(max(lm.ORDERS), np.uint8), stream))
+        out.append(-lm._mixed([stream], symbols, np.array([max(lm.ORDERS)]), look, lm.SEGMENT)[0] * math.log10(2))
+    return out
+
+
+@pytest.mark.parametrize("within", [True, False])
+def test_contexts_beyond_the_tables_keep_their_own_counts(table, within, monkeypatch):
+    """More tokens than the largest tables have places: as if each context had one, over several chunks and parts."""
+    monkeypatch.setattr(lm, "MAX_BITS", 6)
+    monkeypatch.setattr(lm, "GROUP", 20_000, raising=False)
+    monkeypatch.setattr(lm, "PART", 10_000, raising=False)
+    table = table.where(F.coalesce(F.length("text"), F.lit(0)) < 2_000)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    found = lm.score(table.withColumn("t", F.col("text")), ~held if within else table.where(~held)).collect()
+    chars = [r.key for r in lm.count_tokens(table.where(~held)).where("kind = 1").orderBy(F.desc("n"), "key").limit(61).collect()]
+    assert len(found) == table.count()
+    want = brute_scores([r.t for r in found], [r.text for r in table.where(~held).collect()], chars)
+    assert all(r.score == pytest.approx(w, rel=1e-4) for r, w in zip(found, want))
+
+
+def test_keys_are_ranked_with_their_last_bits():
+    import numpy as np
+
+    values = np.array([5, 3, 5, (1 << 62) + 1, 1 << 62, (1 << 62) + 1, 0], np.uint64)
+    for bits, kept in ((63, values), (4, values[values < 16])):
+        different, numbers = lm._ranked(kept, bits)
+        assert different.tolist() == sorted(set(kept.tolist())) and (different[numbers] == kept).all()
+
+
 def test_scores_do_not_depend_on_company():
     import numpy as np
 
