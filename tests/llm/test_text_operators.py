@@ -606,14 +606,14 @@ def brute_scores(texts, training, chars):
 @pytest.mark.parametrize("within", [True, False])
 def test_contexts_beyond_the_tables_keep_their_own_counts(table, within, monkeypatch):
     """More tokens than the largest tables have places: as if each context had one, over several chunks and parts."""
-    monkeypatch.setattr(lm, "MAX_BITS", 6)
+    monkeypatch.setattr(lm, "MAX_BITS", 11)
     monkeypatch.setattr(lm, "GROUP", 20_000, raising=False)
     monkeypatch.setattr(lm, "PART", 10_000, raising=False)
     table = table.where(F.coalesce(F.length("text"), F.lit(0)) < 2_000)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     found = lm.score(table.withColumn("t", F.col("text")), ~held if within else table.where(~held)).collect()
     chars = [r.key for r in lm.count_tokens(table.where(~held)).where("kind = 1").orderBy(F.desc("n"), "key").limit(61).collect()]
-    assert len(found) == table.count()
+    assert len(found) == table.count() and found[0].train_tokens > 1 << lm.MAX_BITS
     want = brute_scores([r.t for r in found], [r.text for r in table.where(~held).collect()], chars)
     assert all(r.score == pytest.approx(w, rel=1e-4) for r, w in zip(found, want))
 
