@@ -57,13 +57,19 @@ _PIECE = 1 << 16
 #: Tables of so many tasks are added up in one group.
 _FAN = 256
 #: Characters, about, of the texts whose keys are asked for together, and of those whose keys make up a part.
-GROUP, PART = 16_000_000, 8_000_000
+GROUP, PART = 10_000_000, 8_000_000
 #: Bits of a context in the keys of each order (of words: 48 of a hash, two symbols); five of the symbol follow.
 _KEY_BITS = (*(5 * o for o in ORDERS), 58)
+#: Kinds of texts, at most, that make up groups of their own, texts that they are found by, about, and characters of each that count.
+KINDS, SAMPLE, HEAD = 8, 2_000, 1_024
 #: No key: keys have fewer bits.
 _NONE = np.uint64((1 << 64) - 1)
 #: Keys that are ranked at once, whose sort stays in a core's cache.
 _RANK = 1 << 17
+#: Keys of a group are put together by ranges of so many first bits.
+_RANGE_BITS = 6
+#: Keys whose counts are added up by decisions at once, about.
+_RUN = 1 << 15
 _LOG10_2 = math.log10(2.0)
 
 _SYMBOLS = np.arange(32)
@@ -171,11 +177,11 @@ def _opens(symbols: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(opens)
 
 
-def _word_so_far(symbols: np.ndarray) -> np.ndarray:
+def _word_so_far(symbols: np.ndarray, opens: np.ndarray | None = None) -> np.ndarray:
     """A hash of the symbols since the last space or end, before each place: a difference of running sums of symbols times powers."""
     up, down = powers(len(symbols) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * down[:-1])))[:-1]
-    opens = _opens(symbols)
+    opens = _opens(symbols) if opens is None else opens
     h = (sums - sums[opens]) * up[opens]
     return (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
 
@@ -192,9 +198,10 @@ def keys(streams: list[np.ndarray], nr: int) -> tuple[np.ndarray, np.ndarray, np
             past = _past(symbols, ORDERS[nr])
             older, last = ((past >> low) * odd) & np.uint64((1 << (_KEY_BITS[nr] - 10)) - 1), past & np.uint64(1023)
         else:  # the word without its last two symbols, and these; spaces where it has fewer
-            size = np.arange(len(symbols)) - _opens(symbols)
+            opens = _opens(symbols)
+            size = np.arange(len(symbols)) - opens
             older, one, two = np.zeros(len(symbols), np.uint64), np.ones(len(symbols), np.uint64), np.ones(len(symbols), np.uint64)
-            older[2:] = _word_so_far(symbols)[:-2] >> np.uint64(74 - _KEY_BITS[nr])
+            older[2:] = _word_so_far(symbols, opens)[:-2] >> np.uint64(74 - _KEY_BITS[nr])
             one[1:], two[2:] = symbols[:-1], symbols[:-2]
             older[size < 2], two[size < 2], one[size < 1] = 0, _SPACE, _SPACE
             last = (two << np.uint64(5)) | one
@@ -220,7 +227,10 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values.sort()
     values = values[: np.searchsorted(values, _NONE)]
     at = np.flatnonzero(_firsts(values))
-    return values[at], np.diff(np.append(at, len(values)))
+    n = np.empty(len(at), np.int32)
+    np.subtract(at[1:], at[:-1], out=n[:-1], casting="unsafe")
+    n[-1:] = len(values) - at[-1:]
+    return values[at], n
 
 
 def _ranked(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +251,8 @@ def _ranked(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _nodes(ordered: np.ndarray) -> list[np.ndarray]:
     """At each decision, which of the keys in order are the first that come to it."""
-    return [_firsts(ordered >> np.uint64(5 - d)) for d in range(5)]
+    change = ordered[1:] ^ ordered[:-1]
+    return [np.concatenate((np.ones(min(1, len(ordered)), bool), change >= np.uint64(1 << (5 - d)))) for d in range(5)]
 
 
 def table_sizes(bits: int) -> list[int]:
@@ -258,18 +269,60 @@ def _stretched(counts: np.ndarray) -> np.ndarray:
     return np.rint(np.clip(out, -10, 10) / UNIT).astype(np.int8).ravel()
 
 
-def predictions(ordered: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For different keys in order with their counts, the same as ``_stretched`` at the five decisions of each key's symbol, positive where they favour it."""
-    sums = []
-    for d in range(6):  # keys that agree up to a decision stand together
-        first = _firsts(ordered >> np.uint64(5 - d))
-        sums.append(np.add.reduceat(counts, np.flatnonzero(first))[np.cumsum(first) - 1] if len(ordered) else counts)
-    out = np.empty((5, len(ordered)), np.int8)
-    for d in range(5):
-        one = (ordered >> np.uint64(4 - d)) & np.uint64(1) == 1
-        taken, other = (n.astype(np.float32) + np.float32(PRIOR) for n in (sums[d + 1], sums[d] - sums[d + 1]))
-        x = np.rint(np.clip(np.log(np.where(one, taken, other) / np.where(one, other, taken)), -10, 10) / UNIT)
-        out[d] = np.where(one, x, -x)
+def _levels(ordered: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """From the last decision to the first: its number, of each node the first node below, whether a second one is there, and the first key."""
+    firsts, below = _nodes(ordered), np.arange(len(ordered))
+    for d in reversed(range(5)):
+        at = np.flatnonzero(firsts[d][below])
+        two = np.diff(np.append(at, len(below))) == 2
+        below = below[at]
+        yield d, at, two, below
+
+
+def _runs(ordered: np.ndarray) -> Iterator[slice]:
+    """Keys in order by runs of whole contexts that stay in a core's cache."""
+    at = 0
+    while at < len(ordered):
+        stop = int(np.searchsorted(ordered, ((ordered[min(at + _RUN, len(ordered)) - 1] >> np.uint64(5)) + np.uint64(1)) << np.uint64(5)))
+        yield slice(at, stop)
+        at = stop
+
+
+def other_sides(ordered: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For different keys in order with their counts, at the five decisions of each key's symbol: the counts of the side it doesn't take."""
+    out = np.empty((5, len(ordered)), np.int32 if counts.sum() < 1 << 31 else np.int64)
+    for run in _runs(ordered):
+        sums = taken = counts[run]
+        for d, at, _, first in _levels(ordered[run]):
+            sums = np.add.reduceat(sums, at)
+            all_ = np.repeat(sums, np.diff(np.append(first, len(taken))))
+            out[d, run] = all_ - taken
+            taken = all_
+    return out
+
+
+def predictions(ordered: np.ndarray, counts: np.ndarray, others: list[np.ndarray] | None = None) -> np.ndarray:
+    """For different keys in order with their counts, the same as ``_stretched`` at the five decisions of each key's symbol, positive where they favour it.
+
+    ``others`` has by decision the counts of the sides that no key takes, one for each node with one node below; else these are 0.
+    """
+    out, done = np.empty((5, len(ordered)), np.int8), [0] * 5
+    for run in _runs(ordered):
+        here, sums = ordered[run], counts[run]
+        for d, at, two, first in _levels(here):
+            left = sums[at]
+            right = np.zeros_like(left)
+            right[two] = sums[at[two] + 1]
+            if others is not None:
+                n = len(two) - int(np.count_nonzero(two))
+                right[~two] = others[d][done[d] : done[d] + n]
+                done[d] += n
+            sums = left + right
+            swapped = (here[first] >> np.uint64(4 - d)) & np.uint64(1) == 1  # the only node below is a one
+            ones, zeros = (np.where(swapped, x, y).astype(np.float32) + np.float32(PRIOR) for x, y in ((left, right), (right, left)))
+            x = np.rint(np.clip(np.log(ones / zeros), -10, 10) / UNIT).astype(np.int8)
+            sides = ((here >> np.uint64(4 - d)).astype(np.int8) & np.int8(1)) * np.int8(2) - np.int8(1)
+            out[d, run] = np.repeat(x, np.diff(np.append(first, len(here)))) * sides
     return out
 
 
@@ -361,7 +414,9 @@ def count_tokens(training: DataFrame) -> DataFrame:
                 size += len(hashes)
                 # the characters of each different word, times its count
                 offsets = pc.utf8_length(words).to_numpy()
-                points = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.intp)
+                at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else (0, 0)
+                joined = words.buffers()[2][at[0] : at[-1]].to_pybytes() if at[-1] > at[0] else b""
+                points = np.frombuffer(joined.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.intp)
                 here = np.bincount(points, weights=np.repeat(counts, offsets), minlength=1)
                 chars[: len(here)] += here.astype(np.int64)
                 if size > _CACHE:
@@ -442,16 +497,32 @@ def _from_planes(held: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _small(values: np.ndarray) -> bytes:
+    """Whole numbers that mostly fit in a byte: bytes, and apart those from 255."""
+    large = values[values >= 255]
+    low = pa.compress(np.minimum(values, 255).astype(np.uint8).tobytes(), codec="zstd", asbytes=True)
+    return len(values).to_bytes(8, "little") + len(low).to_bytes(8, "little") + low + (_planes(large) if len(large) else b"")
+
+
+def _from_small(held: bytes) -> np.ndarray:
+    n, size = int.from_bytes(held[:8], "little"), int.from_bytes(held[8:16], "little")
+    out = np.frombuffer(pa.decompress(held[16 : 16 + size], decompressed_size=n, codec="zstd", asbytes=True), np.uint8).astype(np.int64)
+    if len(held) > 16 + size:
+        out[out == 255] = _from_planes(held[16 + size :])
+    return out
+
+
 def _trimmed(run: Callable[..., pa.Table], *args: pa.Table) -> pa.Table:
     """What ``run`` makes of a group, with memory given back."""
     return list(lean(lambda groups: (run(*g) for g in groups))(iter([args])))[0]
 
 
 def ask(texts: DataFrame, chars: list[int], bits: int) -> DataFrame:
-    """nr, part, chunk, values: the predictions of each chunk's keys.
+    """nr, part, chunk, values: what each chunk needs for the predictions of its keys.
 
-    ``texts`` has text, __chunk and __learn (whether the text is counted); each chunk fits in a task.
+    ``texts`` has chunk and held, packed rows with text and __learn (whether the text is counted); each chunk fits in a task.
     Chunks below 0 ask for nothing. The keys of an order are dealt by their first ``bits`` bits into parts.
+    A chunk gets the counts of its keys and of the sides of decisions that none of its keys takes.
     """
     kind = "nr int, part int, chunk bigint, held binary, counts binary"
     made, answers = to_arrow_schema(StructType.fromDDL(kind)), "nr int, part int, chunk bigint, values binary"
@@ -459,9 +530,11 @@ def ask(texts: DataFrame, chars: list[int], bits: int) -> DataFrame:
 
     def send(group: pa.Table) -> pa.Table:
         coder, streams = Coder(chars), ([], [])
-        for text, learn in zip(group["text"], group["__learn"].to_pylist()):
-            streams[learn].append(coder(words_of(text.as_py())))
-        chunk, rows = group["__chunk"][0].as_py(), []
+        for held in group["held"]:
+            rows = _opened(held.as_py())
+            for text, learn in zip(rows["text"], rows["__learn"].to_pylist()):
+                streams[learn].append(coder(words_of(text.as_py())))
+        chunk, rows = group["chunk"][0].as_py(), []
         for nr, size in enumerate(_KEY_BITS):
             # an order and a side at a time, as keys take eight bytes a symbol
             (other, _), (learned, n) = (_distinct(keys(side, nr)[2]) for side in streams)
@@ -480,16 +553,17 @@ def ask(texts: DataFrame, chars: list[int], bits: int) -> DataFrame:
         held = [np.cumsum(_from_planes(x.as_py()), dtype=np.uint64) for x in group["held"]]
         found, numbers = _ranked(np.concatenate(held), _KEY_BITS[nr] + 5 - min(bits, _KEY_BITS[nr]))
         counts = np.bincount(numbers, weights=np.concatenate([_from_planes(n.as_py()) for n in group["counts"]]), minlength=len(found)).astype(np.int64)
-        all_, rows, at = predictions(found, counts), [], 0
+        others, rows, at = other_sides(found, counts), [], 0
         for chunk, own in zip(chunks_, held):
             if chunk >= 0:
-                # once for each decision that its keys come to, as its first key has it
-                values = np.concatenate([all_[d].take(numbers[at : at + len(own)][first]) for d, first in enumerate(_nodes(own))])
-                rows.append((nr, part, chunk, pa.compress(values.tobytes(), codec="zstd", asbytes=True)))
+                mine = numbers[at : at + len(own)]
+                sides = [others[d].take(mine[first[~two]]) for d, _, two, first in _levels(own)]
+                sizes = np.array([len(x) for x in sides], "<u4").tobytes()
+                rows.append((nr, part, chunk, sizes + _small(np.concatenate([counts[mine], *sides]))))
             at += len(own)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, answered.types)], schema=answered)
 
-    sent = texts.groupBy("__chunk").applyInArrow(lambda group: _trimmed(send, group), kind)
+    sent = texts.groupBy("chunk").applyInArrow(lambda group: _trimmed(send, group), kind)
     return sent.groupBy("nr", "part").applyInArrow(lambda group: _trimmed(answer, group), answers)
 
 
@@ -501,44 +575,56 @@ def score_chunk(texts: list[str | None], coder: Coder, answers: pa.Table, bits:
         pieces.append((rows, streams, [], []))
     parts, nrs, values = answers["part"].to_numpy(), answers["nr"].to_numpy(), answers["values"]
     for nr, size in enumerate(_KEY_BITS):
+        windows = []
         for _, streams, numbers, own in pieces:
-            found, at, different = keys(streams, nr)[2], [], []
+            found, n = keys(streams, nr)[2], 0
+            where, here = np.zeros(len(found), np.int32), []
             for a in range(0, len(found), _RANK):
-                here = found[a : a + _RANK]
-                live = here != _NONE
-                mine, number = _ranked(here[live], size + 5)
-                where = np.zeros(len(here), np.int32)
-                where[live] = (number + sum(map(len, different))) * 5
-                at.append(where)
-                different.append(mine)
-            numbers.append(np.concatenate(at))
-            own.append(np.concatenate(different))
-        mine = _distinct(np.concatenate([p[3][nr] for p in pieces]))[0]
-        known, part_bits = np.empty((len(mine), 5), np.int8), min(bits, size)
+                live = found[a : a + _RANK] != _NONE
+                mine, number = _ranked(found[a : a + _RANK][live], size + 5)
+                where[a : a + _RANK][live] = number + np.int32(n)
+                here.append(mine)
+                n += len(mine)
+            numbers.append(where)
+            own.append(np.empty(n, np.uint64))
+            windows += zip(here, np.split(own[nr], np.cumsum([len(x) for x in here])[:-1]))
         blobs = {int(parts[i]): values[i].as_py() for i in np.flatnonzero(nrs == nr).tolist()}
-        cuts = [*np.searchsorted(mine, np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(size + 5 - part_bits)).tolist(), len(mine)]
-        for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a == b:
+        part_bits = min(bits, size)
+        range_bits = min(part_bits, _RANGE_BITS)
+        low, width = np.uint64(size + 5 - range_bits), size + 5 - part_bits
+        cuts = [np.append(np.searchsorted(x, np.arange(1 << range_bits, dtype=np.uint64) << low), len(x)) for x, _ in windows]
+        for r in range(1 << range_bits):  # the same range of keys of all windows
+            here = [(x[c[r] : c[r + 1]], v[c[r] : c[r + 1]]) for (x, v), c in zip(windows, cuts) if c[r] < c[r + 1]]
+            if not here:
                 continue
-            firsts, done = _nodes(mine[a:b]), 0
-            given = np.frombuffer(pa.decompress(blobs[part], decompressed_size=int(sum(map(np.sum, firsts))), codec="zstd", asbytes=True), np.int8)
-            for d, first in enumerate(firsts):
-                number = np.cumsum(first) - 1
-                one = (mine[a:b] >> np.uint64(4 - d)) & np.uint64(1)
-                known[a:b, d] = given[done : done + number[-1] + 1][number] * np.where(one == one[first][number], np.int8(1), np.int8(-1))
-                done += number[-1] + 1
-        for p in pieces:
-            p[3][nr] = known[np.searchsorted(mine, p[3][nr])].ravel()
-    depths = np.arange(5)[:, None]
+            mine, number = _ranked(np.concatenate([x for x, _ in here]) - (np.uint64(r) << low), int(low))
+            known, first = np.zeros((len(mine), 8), np.int8), r << (part_bits - range_bits)
+            ends = [*np.searchsorted(mine, np.arange(1 << (part_bits - range_bits), dtype=np.uint64) << np.uint64(width)).tolist(), len(mine)]
+            for part, (a, b) in enumerate(zip(ends, ends[1:]), first):
+                if a < b:
+                    given, *sides = np.split(_from_small(blobs[part][20:]), np.cumsum(np.append(b - a, np.frombuffer(blobs[part], "<u4", 5)))[:-1])
+                    known[a:b, :5] = predictions(mine[a:b], given, sides[::-1]).T
+            got, at = known.view(np.uint64).ravel()[number], 0
+            for x, v in here:
+                v[:] = got[at : at + len(x)]
+                at += len(x)
     gap = np.zeros(max(ORDERS), np.uint8)
     for rows, streams, numbers, own in pieces:
 
         def look(at: np.ndarray, s: np.ndarray, sign: np.ndarray, numbers: list = numbers, own: list = own) -> list[np.ndarray]:
-            return [-v.take(n.take(at).astype(np.intp)[:, None] + depths) * sign for n, v in zip(numbers, own)]
+            found = [v.take(n.take(at)).view(np.int8).reshape(*at.shape, 8) for n, v in zip(numbers, own)]
+            out = [np.empty_like(sign) for _ in found]
+            for v, x in zip(found, out):
+                for d in range(5):
+                    np.multiply(v[:, :, d], sign[:, d], out=x[:, d])
+                np.negative(x, out=x)
+            return out
 
         sizes = np.array([len(gap) + len(s) for s in streams], np.int64)
         symbols = np.concatenate([p for s in streams for p in (gap, s)])
         out[rows] = _mixed(streams, symbols, np.cumsum(sizes) - sizes + len(gap), look, segment)
+        numbers.clear()
+        own.clear()
     return out
 
 
@@ -641,33 +727,124 @@ def score(docs: DataFrame, training: DataFrame | Column, segment: int = SEGMENT)
     )
 
 
-def _by_chunks(docs: DataFrame, training: DataFrame | None, chars: list[int], start: Callable[[], Callable[..., dict[str, list]]], added: str) -> DataFrame:
-    """The columns of ``docs`` but the text, and the added ones, by chunks of texts and the predictions for each."""
+def _frequencies(texts: pa.Array) -> np.ndarray:
+    """How often each byte occurs in the first characters of each text: roots of shares, in whole numbers, so that no machine rounds sums in its own way."""
+    heads = pc.fill_null(pc.utf8_slice_codeunits(texts, 0, HEAD), "").cast(pa.large_binary())
+    out = np.empty((len(heads), 256))
+    for a in range(0, len(heads), 256):
+        here = heads[a : a + 256]
+        offsets = np.frombuffer(here.buffers()[1], np.int64)[here.offset : here.offset + len(here) + 1]
+        sizes, data = np.diff(offsets), np.frombuffer(here.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        n = np.bincount(np.repeat(np.arange(len(here)) * 256, sizes) + data, minlength=len(here) * 256).reshape(-1, 256)
+        out[a : a + 256] = np.rint(np.sqrt(n / np.maximum(1, sizes)[:, None]) * 1000)
+    return out
 
-    def size(texts: DataFrame) -> int:
-        return texts.agg(F.sum(F.length("text"))).collect()[0][0] or 0
 
-    def dealt(by: list[str], n: int) -> Column:
-        return F.pmod(F.xxhash64(*by), F.lit(max(1, -(-n // GROUP))))
+def _nearest(found: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    return ((kinds * kinds).sum(axis=1) - 2.0 * (found @ kinds.T)).argmin(axis=1)
+
+
+def kinds_of(texts: list[str], most: int) -> np.ndarray:
+    """Middles of so many kinds of texts at most, from the one farthest of all others on."""
+    found = _frequencies(pa.array(texts, pa.large_string()))
+    if not len(found):
+        return np.zeros((1, 256))
+    kinds = found[:1]
+    while len(kinds) < most:
+        far = ((found[:, None, :] - kinds[None]) ** 2).sum(axis=2).min(axis=1)
+        if not far.max():
+            break
+        kinds = np.concatenate((kinds, found[far.argmax()][None]))
+    for _ in range(10):
+        own = _nearest(found, kinds)
+        kinds = np.stack([np.rint(found[own == k].mean(axis=0)) if (own == k).any() else kinds[k] for k in range(len(kinds))])
+    return kinds
+
+
+def _opened(held: bytes) -> pa.Table:
+    """Rows that ``pack`` packed."""
+    return pa.ipc.open_stream(pa.decompress(held[8:], decompressed_size=int.from_bytes(held[:8], "little"), codec="zstd")).read_all()
+
+
+def pack(texts: DataFrame, kinds: np.ndarray, groups: np.ndarray, learned: bool = False) -> DataFrame:
+    """chunk and held: rows by kind of text and __deal, many together under zstd. Chunks are numbered from 0, or if learned from -1 down."""
+    first = np.cumsum(groups) - groups
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, to, size = [], [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            rows, chunk = pa.Table.from_batches(held).combine_chunks(), np.concatenate(to)
+            order = np.argsort(chunk, kind="stable")
+            cuts = np.flatnonzero(_firsts(chunk[order])).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(order)]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema) as out:
+                    out.write_table(rows.take(order[a:b]))
+                buffer = sink.getvalue()
+                found = buffer.size.to_bytes(8, "little") + pa.compress(buffer, codec="zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk[order[a]]], pa.int64()), pa.array([found], pa.binary())], names=["chunk", "held"])
+            held.clear()
+            to.clear()
 
-    n, more = size(docs), size(training) if training is not None else 0
-    texts = docs = docs.withColumn("__chunk", dealt(["doc_id", "__th"], n))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind, at = _nearest(_frequencies(batch["text"]), kinds), batch.schema.get_field_index("__deal")
+            chunk = first[kind] + batch["__deal"].to_numpy() % groups[kind]
+            to.append(-1 - chunk if learned else chunk)
+            held.append(pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at], names=[f for i, f in enumerate(batch.schema.names) if i != at]))
+            size += batch.nbytes
+            if size > GROUP:
+                yield from sent()
+                size = 0
+        if held:
+            yield from sent()
+
+    return texts.mapInArrow(lean(run), "chunk bigint, held binary")
+
+
+def _by_chunks(docs: DataFrame, training: DataFrame | None, chars: list[int], start: Callable[[], Callable[..., dict[str, list]]], added: str) -> DataFrame:
+    """The columns of ``docs`` but the text, and the added ones, by chunks of texts and the predictions for each.
+
+    Texts of one kind, by the frequencies of their bytes, meet in the same chunks: they share more contexts, of which there then are fewer to send.
+    """
+    docs = docs.withColumn("__deal", F.shiftrightunsigned(F.xxhash64("doc_id", "__th"), 1))
+    sides = [docs]
     if training is not None:
-        learned = training.select("text", F.lit(True).alias("__learn"), (-1 - dealt([c for c in ("doc_id", "text") if c in training.columns], more)).alias("__chunk"))
-        texts = docs.select("text", "__learn", "__chunk").unionByName(learned)
-    bits = max(0, -(-(n + more) // PART) - 1).bit_length()
-    asked = ask(texts, chars, bits)
-    kept = [f for f in docs.schema if f.name not in ("text", "__learn", "__chunk")]
+        sides.append(training.select("text", F.lit(True).alias("__learn"), F.shiftrightunsigned(F.xxhash64(*[c for c in ("doc_id", "text") if c in training.columns]), 1).alias("__deal")))
+    rows, n = docs.agg(F.count("*"), F.sum(F.length("text"))).collect()[0]
+    some = docs.where(F.col("__deal") % max(1, rows // SAMPLE) == 0).select(F.substring("text", 1, HEAD).alias("text")).where("text <> ''").limit(2 * SAMPLE).collect()
+    kinds = kinds_of(sorted(r.text for r in some), min(KINDS, max(1, (n or 0) // (2 * GROUP))))
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(kinds), np.int64)
+        for batch in batches:
+            total += np.bincount(_nearest(_frequencies(batch["text"]), kinds), weights=batch["n"].to_numpy(), minlength=len(kinds)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(kinds))), pa.array(total)], names=["kind", "n"])
+
+    packed, all_ = [], 0
+    for i, side in enumerate(sides):
+        heads = side.select(F.substring("text", 1, HEAD).alias("text"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n"))
+        total = np.zeros(len(kinds), np.int64)
+        for r in heads.mapInArrow(sizes, "kind bigint, n bigint").groupBy("kind").agg(F.sum("n").alias("n")).collect():
+            total[r.kind] = r.n
+        packed.append(pack(side, kinds, np.maximum(1, -(-total // GROUP)), learned=i > 0))
+        all_ += int(total.sum())
+    bits = max(0, -(-all_ // PART) - 1).bit_length()
+    asked = ask(packed[0] if training is None else packed[0].unionByName(packed[1]), chars, bits)
+    kept = [f for f in docs.schema if f.name not in ("text", "__learn", "__deal")]
     out = StructType(kept + list(StructType.fromDDL(added)))
     arrow = to_arrow_schema(out)
 
     def made(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return arrow.empty_table()
-        found = start()(left["text"].to_pylist(), right, bits)
-        return pa.Table.from_arrays([left[f.name] if f.name in left.column_names else pa.array(found[f.name], t) for f, t in zip(out, arrow.types)], names=arrow.names)
+        rows = pa.concat_tables(_opened(held.as_py()) for held in left["held"])
+        found = start()(rows["text"].to_pylist(), right, bits)
+        return pa.Table.from_arrays([rows[f.name] if f.name in rows.column_names else pa.array(found[f.name], t) for f, t in zip(out, arrow.types)], names=arrow.names)
 
-    return docs.groupBy("__chunk").cogroup(asked.groupBy("chunk")).applyInArrow(lambda left, right: _trimmed(made, left, right), out)
+    return packed[0].groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(lambda left, right: _trimmed(made, left, right), out)
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
