@@ -54,18 +54,20 @@ _CACHE = 1_000_000
 _BLOCK = 1 << 16
 #: Symbols whose contexts are found at once, about.
 _PIECE = 1 << 16
+#: Bytes of texts, about, that are packed together: what they come to is no large object for the JVM.
+_PACKED = 500_000
 #: Tables of so many tasks are added up in one group.
 _FAN = 256
 #: Characters, about, of the texts whose keys are asked for together, and of those whose keys make up a part.
-GROUP, PART = 10_000_000, 8_000_000
+GROUP, PART = 12_000_000, 8_000_000
 #: Bits of a context in the keys of each order (of words: 48 of a hash, two symbols); five of the symbol follow.
 _KEY_BITS = (*(5 * o for o in ORDERS), 58)
 #: Kinds of texts, at most, that make up groups of their own, texts that they are found by, about, and characters of each that count.
 KINDS, SAMPLE, HEAD = 8, 2_000, 1_024
 #: No key: keys have fewer bits.
 _NONE = np.uint64((1 << 64) - 1)
-#: Keys that are ranked at once, whose sort stays in a core's cache.
-_RANK = 1 << 17
+#: Keys that are ranked at once, whose sort stays in a core's cache and whose numbers fit in two bytes.
+_RANK = 1 << 16
 #: Keys of a group are put together by ranges of so many first bits.
 _RANGE_BITS = 6
 #: Keys whose counts are added up by decisions at once, about.
@@ -96,27 +98,36 @@ class Coder:
         self.code[rest[:28]] = np.arange(2, 2 + len(rest[:28]))
         self.code[32] = _SPACE
 
+        self.code[10] = _END  # no word has it
+
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        points = np.frombuffer(b" ".join(words).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = self.code.take(points)
+        return self.many([words])[0]
+
+    def many(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The symbols of each text, by its words; all at once."""
+        if not texts:
+            return []
+        joined = b"\n".join([b" ".join(words) for words in texts]) + b"\n"
+        points = np.frombuffer(joined.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends, codes = np.flatnonzero(points == 10) + 1, self.code.take(points)
         wide = np.flatnonzero(codes >= 32)
         if len(wide):
             size = np.ones(len(codes), np.int64)
             first = codes[wide] >> 5
             size[wide] = np.where(first == _SHIFT, 2, 6)
-            at = np.cumsum(size) - size
-            out = np.empty(int(size.sum()) + 1, np.uint8)
+            after = np.cumsum(size)
+            at = after - size
+            out = np.empty(int(after[-1]), np.uint8)
             out[at] = codes
             out[at[wide]] = first
             one, far = wide[first == _SHIFT], wide[first == _POINT]
             out[at[one] + 1] = codes[one] & 31
             for k in range(5):
                 out[at[far] + 1 + k] = (points[far] >> np.uint32(20 - 5 * k)) & np.uint32(31)
+            ends = after[ends - 1]
         else:
-            out = np.empty(len(codes) + 1, np.uint8)
-            out[:-1] = codes
-        out[-1] = _END
-        return out
+            out = codes.astype(np.uint8)
+        return np.split(out, ends[:-1])
 
 
 def bits_for(tokens: int) -> int:
@@ -483,32 +494,50 @@ def learn_tables(training: DataFrame, chars: list[int], bits: int) -> list[np.nd
     return tables
 
 
+def _squeezed(parts: list[np.ndarray]) -> bytes:
+    """Arrays of bytes, each compressed by itself, as its own frequencies have it: how many, their sizes and compressed sizes, and these bytes."""
+    held = [pa.compress(np.ascontiguousarray(p), codec="zstd", asbytes=True) for p in parts]
+    return bytes([len(parts)]) + np.array([[len(p), len(h)] for p, h in zip(parts, held)], "<u4").tobytes() + b"".join(held)
+
+
+def _unsqueezed(held: bytes, at: int = 0) -> tuple[list[np.ndarray], int]:
+    """What ``_squeezed`` made, and where it ends."""
+    out, sizes = [], np.frombuffer(held, "<u4", 2 * held[at], at + 1).reshape(-1, 2).tolist()
+    at += 1 + 8 * len(sizes)
+    for n, size in sizes:
+        out.append(np.frombuffer(pa.decompress(held[at : at + size], decompressed_size=n, codec="zstd", asbytes=True), np.uint8))
+        at += size
+    return out, at
+
+
 def _planes(values: np.ndarray) -> bytes:
-    """Whole numbers, byte by byte: first all lowest bytes; how many bytes a number takes comes first."""
+    """Whole numbers, byte by byte: first all lowest bytes."""
     width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return _squeezed(list(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T))
 
 
-def _from_planes(held: bytes) -> np.ndarray:
-    width, n = held[0], int.from_bytes(held[1:9], "little")
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(pa.decompress(held[9:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+def _from_planes(held: bytes, at: int = 0) -> np.ndarray:
+    planes, _ = _unsqueezed(held, at)
+    out = np.zeros((len(planes[0]), 8), np.uint8)
+    for k, p in enumerate(planes):
+        out[:, k] = p
     return out.view("<u8").ravel()
 
 
-def _small(values: np.ndarray) -> bytes:
-    """Whole numbers that mostly fit in a byte: bytes, and apart those from 255."""
-    large = values[values >= 255]
-    low = pa.compress(np.minimum(values, 255).astype(np.uint8).tobytes(), codec="zstd", asbytes=True)
-    return len(values).to_bytes(8, "little") + len(low).to_bytes(8, "little") + low + (_planes(large) if len(large) else b"")
+def _small(parts: list[np.ndarray]) -> bytes:
+    """Arrays of whole numbers that mostly fit in a byte: bytes, and apart those from 255."""
+    large = np.concatenate([p[p >= 255] for p in parts])
+    return _squeezed([np.minimum(p, 255).astype(np.uint8) for p in parts]) + (_planes(large) if len(large) else b"")
 
 
-def _from_small(held: bytes) -> np.ndarray:
-    n, size = int.from_bytes(held[:8], "little"), int.from_bytes(held[8:16], "little")
-    out = np.frombuffer(pa.decompress(held[16 : 16 + size], decompressed_size=n, codec="zstd", asbytes=True), np.uint8).astype(np.int64)
-    if len(held) > 16 + size:
-        out[out == 255] = _from_planes(held[16 + size :])
+def _from_small(held: bytes) -> list[np.ndarray]:
+    parts, end = _unsqueezed(held)
+    out, large, at = [p.astype(np.int64) for p in parts], _from_planes(held, end) if end < len(held) else None, 0
+    for p in out:
+        many = np.flatnonzero(p == 255)
+        if len(many):
+            p[many] = large[at : at + len(many)]
+            at += len(many)
     return out
 
 
@@ -532,15 +561,18 @@ def ask(texts: DataFrame, chars: list[int], bits: int) -> DataFrame:
         coder, streams = Coder(chars), ([], [])
         for held in group["held"]:
             rows = _opened(held.as_py())
-            for text, learn in zip(rows["text"], rows["__learn"].to_pylist()):
-                streams[learn].append(coder(words_of(text.as_py())))
+            for learn in (False, True):
+                texts_ = rows["text"].filter(pc.equal(rows["__learn"], learn)).to_pylist()
+                for some in chunks(texts_):
+                    streams[learn].extend(coder.many([words_of(texts_[i]) for i in some]))
         chunk, rows = group["chunk"][0].as_py(), []
         for nr, size in enumerate(_KEY_BITS):
             # an order and a side at a time, as keys take eight bytes a symbol
-            (other, _), (learned, n) = (_distinct(keys(side, nr)[2]) for side in streams)
-            found = _distinct(np.concatenate((other, learned)))[0] if len(other) else learned
-            counts = np.zeros(len(found), np.int64)
-            counts[np.searchsorted(found, learned)] = n
+            (other, _), (found, counts) = (_distinct(keys(side, nr)[2]) for side in streams)
+            if len(other):  # keys that only the others have come in between, with a count of 0
+                at = np.searchsorted(found, other)
+                new = found[np.minimum(at, len(found) - 1)] != other if len(found) else np.ones(len(other), bool)
+                found, counts = np.insert(found, at[new], other[new]), np.insert(counts, at[new], 0)
             part_bits = min(bits, size)
             bases = np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(size + 5 - part_bits)
             cuts = [*np.searchsorted(found, bases).tolist(), len(found)]
@@ -558,8 +590,7 @@ def ask(texts: DataFrame, chars: list[int], bits: int) -> DataFrame:
             if chunk >= 0:
                 mine = numbers[at : at + len(own)]
                 sides = [others[d].take(mine[first[~two]]) for d, _, two, first in _levels(own)]
-                sizes = np.array([len(x) for x in sides], "<u4").tobytes()
-                rows.append((nr, part, chunk, sizes + _small(np.concatenate([counts[mine], *sides]))))
+                rows.append((nr, part, chunk, _small([counts[mine], *sides])))
             at += len(own)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, answered.types)], schema=answered)
 
@@ -571,21 +602,22 @@ def score_chunk(texts: list[str | None], coder: Coder, answers: pa.Table, bits:
     """Bits of each text of a chunk, by the predictions that ``ask`` gave for it."""
     pieces, out = [], np.zeros(len(texts))
     for rows in chunks(texts):
-        streams = [coder(words_of(texts[i])) for i in rows]
+        streams = coder.many([words_of(texts[i]) for i in rows])
         pieces.append((rows, streams, [], []))
     parts, nrs, values = answers["part"].to_numpy(), answers["nr"].to_numpy(), answers["values"]
     for nr, size in enumerate(_KEY_BITS):
         windows = []
         for _, streams, numbers, own in pieces:
             found, n = keys(streams, nr)[2], 0
-            where, here = np.zeros(len(found), np.int32), []
+            where, here, ahead = np.zeros(len(found), np.uint16), [], []
             for a in range(0, len(found), _RANK):
                 live = found[a : a + _RANK] != _NONE
                 mine, number = _ranked(found[a : a + _RANK][live], size + 5)
-                where[a : a + _RANK][live] = number + np.int32(n)
+                where[a : a + _RANK][live] = number
                 here.append(mine)
+                ahead.append(n)
                 n += len(mine)
-            numbers.append(where)
+            numbers.append((where, np.array(ahead)))
             own.append(np.empty(n, np.uint64))
             windows += zip(here, np.split(own[nr], np.cumsum([len(x) for x in here])[:-1]))
         blobs = {int(parts[i]): values[i].as_py() for i in np.flatnonzero(nrs == nr).tolist()}
@@ -602,8 +634,8 @@ def score_chunk(texts: list[str | None], coder: Coder, answers: pa.Table, bits:
             ends = [*np.searchsorted(mine, np.arange(1 << (part_bits - range_bits), dtype=np.uint64) << np.uint64(width)).tolist(), len(mine)]
             for part, (a, b) in enumerate(zip(ends, ends[1:]), first):
                 if a < b:
-                    given, *sides = np.split(_from_small(blobs[part][20:]), np.cumsum(np.append(b - a, np.frombuffer(blobs[part], "<u4", 5)))[:-1])
-                    known[a:b, :5] = predictions(mine[a:b], given, sides[::-1]).T
+                    given, *sides = _from_small(blobs[part])
+                    known[a:b, :5] = -predictions(mine[a:b], given, sides[::-1]).T
             got, at = known.view(np.uint64).ravel()[number], 0
             for x, v in here:
                 v[:] = got[at : at + len(x)]
@@ -612,12 +644,12 @@ def score_chunk(texts: list[str | None], coder: Coder, answers: pa.Table, bits:
     for rows, streams, numbers, own in pieces:
 
         def look(at: np.ndarray, s: np.ndarray, sign: np.ndarray, numbers: list = numbers, own: list = own) -> list[np.ndarray]:
-            found = [v.take(n.take(at)).view(np.int8).reshape(*at.shape, 8) for n, v in zip(numbers, own)]
+            window = at // _RANK
+            found = [v.take(ahead.take(window) + n.take(at)).view(np.int8).reshape(*at.shape, 8) for (n, ahead), v in zip(numbers, own)]
             out = [np.empty_like(sign) for _ in found]
             for v, x in zip(found, out):
                 for d in range(5):
                     np.multiply(v[:, :, d], sign[:, d], out=x[:, d])
-                np.negative(x, out=x)
             return out
 
         sizes = np.array([len(gap) + len(s) for s in streams], np.int64)
@@ -776,7 +808,8 @@ def pack(texts: DataFrame, kinds: np.ndarray, groups: np.ndarray, learned: bool
         def sent() -> Iterator[pa.RecordBatch]:
             rows, chunk = pa.Table.from_batches(held).combine_chunks(), np.concatenate(to)
             order = np.argsort(chunk, kind="stable")
-            cuts = np.flatnonzero(_firsts(chunk[order])).tolist()
+            lengths = pc.fill_null(pc.binary_length(rows["text"]), 0).to_numpy().astype(np.int64)[order]
+            cuts = np.flatnonzero(_firsts(chunk[order]) | _firsts(np.cumsum(lengths) // _PACKED)).tolist()
             for a, b in zip(cuts, [*cuts[1:], len(order)]):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, rows.schema) as out:
