@@ -7,7 +7,8 @@ a code point in five symbols. Each decision is predicted in several contexts: th
 all training texts. Of up to 2^MAX_BITS counted training tokens, contexts are hashed into tables that grow with the tokens and
 that each task holds in memory. Of more tokens, each context keeps counts of its own, however many there are: groups of texts
 send the different contexts with symbols that they hold (last symbols as they are, words so far by 48 bits of a hash and two symbols) to the part
-that their keys fall in, which adds up the counts of all training texts and sends each group its predictions back. Groups and
+that their keys fall in, which adds up the counts of all training texts and sends each group what its predictions are made of.
+Groups are of texts with similar frequencies of bytes, which share contexts; that changes no score. Groups and
 parts are of bounded size and grow in number with the corpus. The stretched predictions are mixed with weights
 that are gated by the decision's depth and adapt online within a text; the mix is refined by an
 adaptive scale and offset. Long texts are mixed in segments of ``segment`` symbols that each start with the same weights,
