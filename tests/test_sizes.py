@@ -10,7 +10,7 @@ from lattica.operators import reduce as R
 from lattica.operators import shape
 from lattica.plans import blocks
 from lattica.tensor import Tensor
-from lattica.tiling import TiledRange
+from lattica.tiling import TiledRange, Tiling
 
 
 def agree(spark, folder, name, *tables):
@@ -135,3 +135,21 @@ def test_tiles_with_holes_are_added_up_over_the_contracted_label(spark, buckets)
                 want[i, j] = want.get((i, j), 0.0) + v * w
     got = blocks.tile_product(a, "i,k", b, "j,k", "i,j", 8, buckets).df.collect()
     assert len(got) == len(want) and {(r.i0, r.i1): r.v for r in got} == want
+
+
+def test_shape_add_constant_has_every_tile_of_the_range(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shape, "RUN_TILES", 7)
+    lines(spark, tmp_path, [(0, 0, 5.0), (4, 99, 7.0), (5, 150, 2.0), (39, 699, 3.0), (39, 0, 4.0)], 40, 700)
+    agree(spark, tmp_path, "shape_add_constant", "lineitem", "supplier", "part")
+    found = {(r.t0, r.t1): r.norm for r in catalogue.QUERIES["shape_add_constant"](spark, str(tmp_path)).collect()}
+    assert set(found) == {(i, j) for i in range(8) for j in range(7)} and found[7, 5] == 0.0894 and found[7, 6] == 0.0954
+
+
+def test_a_constant_is_added_to_tiles_of_unlike_sizes(spark):
+    trange = TiledRange((Tiling((0, 2, 5, 10)), Tiling((3, 4, 10))))
+    a = spark.createDataFrame([(0, 1, 1.0), (2, 0, float("nan")), (3, 0, 1.0), (0, 2, 1.0)], "t0 int, t1 int, norm double")  # the last two are not of the range
+    found = {(r.t0, r.t1): r.norm for r in shape.add_constant(a, trange, -3.0).collect()}
+    sizes = {(i, j): m * n for i, m in enumerate((2, 3, 5)) for j, n in enumerate((1, 6))}
+    assert np.isnan(found.pop((2, 0))) and len(found) == 5
+    assert all(v == pytest.approx((t == (0, 1)) + 3 / np.sqrt(sizes[t])) for t, v in found.items())
+    assert shape.add_constant(a.where("t0 < 2"), trange, 1e-9).count() == 1
