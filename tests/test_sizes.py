@@ -153,3 +153,24 @@ def test_a_constant_is_added_to_tiles_of_unlike_sizes(spark):
     assert np.isnan(found.pop((2, 0))) and len(found) == 5
     assert all(v == pytest.approx((t == (0, 1)) + 3 / np.sqrt(sizes[t])) for t, v in found.items())
     assert shape.add_constant(a.where("t0 < 2"), trange, 1e-9).count() == 1
+
+
+@pytest.mark.parametrize("buckets", [None, {"i": 2, "k": 3}])
+def test_whole_tiles_of_a_large_result_are_added_up_in_one_task(spark, buckets):
+    """No parts of the result's tiles are dealt out, only the factors."""
+    rng = np.random.default_rng(5)
+    x, y = (rng.integers(-9, 9, (n, 50)) * (rng.random((n, 50)) < 0.2) for n in (70, 60))
+    a, b = (Tensor(spark.createDataFrame([(int(i), int(k), float(m[i, k])) for i, k in zip(*np.nonzero(m))], "i0 bigint, i1 bigint, v double"), TiledRange.uniform(m.shape, 10)) for m in (x, y))
+    found = blocks.tile_product(a, "i,k", b, "j,k", "i,j", 8, buckets).df
+    above = above_the_join(found)
+    assert "MapInArrow" in above and "FlatMapGroups" not in above
+    got, want, stored = {(r.i0, r.i1): r.v for r in found.collect()}, x @ y.T, (x != 0).astype(int) @ (y != 0).T > 0
+    assert found.count() == len(got) == stored.sum() and all(stored[t] and want[t] == v for t, v in got.items())
+
+
+def test_shape_gemm_deals_out_no_parts_of_its_result(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shape, "GEMM_TILES", 16)
+    rng = np.random.default_rng(3)
+    lines(spark, tmp_path, [(int(s), int(p), float(v)) for s, p, v in zip(rng.integers(0, 200, 900), rng.integers(0, 4000, 900), rng.integers(1, 50, 900))], 200, 4000)
+    agree(spark, tmp_path, "shape_gemm", "lineitem", "supplier", "part")
+    assert "FlatMapGroups" not in above_the_join(catalogue.QUERIES["shape_gemm"](spark, str(tmp_path)))
