@@ -174,3 +174,22 @@ def test_shape_gemm_deals_out_no_parts_of_its_result(spark, tmp_path, monkeypatc
     lines(spark, tmp_path, [(int(s), int(p), float(v)) for s, p, v in zip(rng.integers(0, 200, 900), rng.integers(0, 4000, 900), rng.integers(1, 50, 900))], 200, 4000)
     agree(spark, tmp_path, "shape_gemm", "lineitem", "supplier", "part")
     assert "FlatMapGroups" not in above_the_join(catalogue.QUERIES["shape_gemm"](spark, str(tmp_path)))
+
+
+@pytest.mark.parametrize("name", ["gram_embeddings", "gram_embeddings_elements"])
+def test_vectors_times_themselves_are_dealt_out_once(spark, tmp_path, name):
+    vectors(spark, tmp_path, 900)
+    found = catalogue.QUERIES[name](spark, str(tmp_path))
+    assert len(found.collect()) == 900 * 900
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "CartesianProduct" in plan or "NestedLoop" in plan
+    assert "ReusedExchange" in plan
+
+
+def test_wide_vectors_are_added_up_whole(spark, tmp_path):
+    x = np.random.default_rng(9).integers(-900, 900, (300, 300)) / 1000 + 0.0004
+    spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = catalogue.QUERIES["gram_embeddings"](spark, str(tmp_path))
+    assert "FlatMapGroups" not in above_the_join(found)
+    got, y = found.toPandas(), np.floor(x.astype(np.float32).astype(float) * 1000)
+    assert len(got) == 90000 and np.array_equal((y @ y.T)[got["n"], got["m"]], got["v"])
